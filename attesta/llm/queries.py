@@ -6,14 +6,26 @@ same over whole tables in fair time.
 
 from __future__ import annotations
 
-from . import simhash
+from . import embeddings, packing, simhash
 from .common import table
 
 
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return out.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES = {
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op8_packing": op8_packing,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}
