@@ -6,7 +6,9 @@ same over whole tables in fair time.
 
 from __future__ import annotations
 
-from . import embeddings, packing, simhash
+from pyspark.sql import functions as F
+
+from . import embeddings, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +16,24 @@ def op5_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def _fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def _scored(scored, modulus: int, held: int):
+    return scored.select("doc_id", F.coalesce(_fold(modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(quality.score(documents, quality.train(documents, labels.where(_fold(3) != 1))), 3, 1)
+
+
+def op10_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(toxicity.score(documents, toxicity.learn(documents, labels.where(_fold(5) != 0))), 5, 0)
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -25,7 +45,9 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
