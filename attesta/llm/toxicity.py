@@ -2,9 +2,9 @@
 
 Texts are folded first: compatibility forms, homoglyphs of other scripts, digits and signs that
 stand for letters, accents and case.  What is left of a text are runs of letters between single
-spaces, and a term matches whole runs only.  The sum of the weights of matched terms, without those
-inside an exception phrase, is divided by the logarithm of the text's length, and a logistic curve
-makes it 0 to 1.
+spaces.  A term matches a whole run, or as a stem the beginning of a longer one; each run counts with
+the largest weight it matches.  The sum of the weights, without those inside an exception phrase, is
+divided by the logarithm of the text's length, and a logistic curve makes it 0 to 1.
 
 Terms and weights are learned: a term's weight is its log odds between texts of label 1 and 0,
 counted in distinct neighbourhoods, so copies of one text count once.  A neighbour with which a term
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, utf8
 from .quality import scorer
 
-SAMPLE, TERMS, EXCEPTIONS = 20_000, 2_000, 2_000
+SAMPLE, TERMS, EXCEPTIONS, STEMS = 20_000, 2_000, 2_000, (4, 8)
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝӏмтвнкαεορνικτυχηɡıℓ", "aeopcyxijsdhqwlmtbhkaeopviktuxngil", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
@@ -49,7 +49,10 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with weights, exception phrases, and the curve from normalised sums to 0 to 1."""
+    """Terms with weights, exception phrases, and the curve from normalised sums to 0 to 1.
+
+    A term that ends with ``*`` is a stem.
+    """
 
     weights: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = ()
@@ -59,9 +62,10 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for phrase in self.exceptions:
-            found.add_word(f" {phrase} ", (len(phrase), None))
+            found.add_word(f" {phrase} ", (len(phrase) + 1, None))
         for term, weight in self.weights:
-            found.add_word(f" {term} ", (len(term), weight))
+            pattern = f" {term[:-1]}" if term.endswith("*") else f" {term} "
+            found.add_word(pattern, (len(pattern) - 1, weight))
         if len(found):
             found.make_automaton()
         return found
@@ -70,11 +74,22 @@ class Lexicon:
         folded = fold(text.decode("utf-8", "replace"))
         if not len(automaton):
             return 0.0
-        terms, excepted = [], []
-        for last, (size, weight) in automaton.iter(folded):
-            (excepted if weight is None else terms).append((last - size, last, weight))
-        total = sum(w for a, b, w in terms if not any(x <= a and b <= y for x, y, _ in excepted)) if excepted else sum(w for *_, w in terms)
-        return total / math.log2(4 + folded.count(" "))
+        runs: dict[int, float] = {}
+        excepted = []
+        for last, (back, weight) in automaton.iter(folded):
+            if weight is None:
+                excepted.append((last - back, last))
+            else:
+                runs[last - back] = max(weight, runs.get(last - back, 0.0))
+        if excepted:
+            reach, at, covered = 0, 0, sorted(excepted)
+            for start in sorted(runs):
+                while at < len(covered) and covered[at][0] <= start:
+                    reach = max(reach, covered[at][1])
+                    at += 1
+                if folded.find(" ", start + 1) <= reach:
+                    del runs[start]
+        return sum(runs.values()) / math.log2(4 + folded.count(" "))
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (raw - self.middle), -30, 30)))
@@ -105,20 +120,23 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
                 after += [x[2] for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(before, pa.string()), pa.array(term, pa.string()), pa.array(after, pa.string())], ["y", "before", "term", "after"])
 
-    seen = rows.mapInArrow(neighbourhoods, "y int, before string, term string, after string").where("length(term) > 2").distinct()
+    seen = cut(rows.mapInArrow(neighbourhoods, "y int, before string, term string, after string").where("length(term) > 2").distinct())
     count = lambda y: F.sum((F.col("y") == y).cast("long"))
-    totals = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
+    totals = {r[0]: r[1] for r in seen.groupBy("y").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Lexicon(())
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    ranked = seen.groupBy("term").agg(count(1).alias("p"), count(0).alias("n")).where("p >= 5").select("term", "p", "n", odds.alias("w"), (odds / spread).alias("z"))
+    stems = F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.when(F.length("term") > k, F.concat(F.substring("term", F.lit(1), k), F.lit("*"))))
+    forms = seen.groupBy("y", "term").count().select("y", "count", F.explode(F.array_compact(F.concat(F.array("term"), stems))).alias("term"))
+    sums = lambda y: F.sum(F.when(F.col("y") == y, F.col("count")).otherwise(0))
+    ranked = forms.groupBy("term").agg(sums(1).alias("p"), sums(0).alias("n")).where("p >= 5").select("term", "p", "n", odds.alias("w"), (odds / spread).alias("z"))
     chosen = ranked.where(f"z >= 4 and w >= {math.log(8)}").orderBy(F.desc("z"), "term").limit(terms).collect()
     weights = tuple((r["term"], min(float(r["w"]), 8.0)) for r in chosen)
     if not weights:
         return Lexicon(())
-    near = seen.where(F.col("term").isin([t for t, _ in weights]))
+    near = seen.where(F.col("term").isin([t for t, _ in weights if not t.endswith("*")]))
     phrases = near.where("before != ''").select("y", F.concat_ws(" ", "before", "term").alias("phrase")).unionByName(near.where("after != ''").select("y", F.concat_ws(" ", "term", "after").alias("phrase")))
     kept = phrases.groupBy("phrase").agg(count(1).alias("p"), count(0).alias("n")).where("n >= 3 and n >= 4 * p").orderBy(F.desc("n"), "phrase").limit(EXCEPTIONS).collect()
     lexicon = Lexicon(weights, tuple(r["phrase"] for r in kept))
