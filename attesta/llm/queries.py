@@ -8,10 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, packing, quality, simhash, toxicity
+from . import embeddings, licenses, packing, quality, simhash, toxicity, urls
 from .common import table
 
 
+def op1_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -44,10 +53,12 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op4_license_scan": op4_license_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE}
