@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, packing, quality, simhash, toxicity, urls
+from . import embeddings, licenses, lines, packing, quality, simhash, spans, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_url_filters(spark, sf_dir):
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_line_dedup(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(documents, min_lines=2).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,10 @@ def op10_toxicity(spark, sf_dir):
     return _scored(toxicity.score(documents, toxicity.learn(documents, labels.where(_fold(5) != 0))), 5, 0)
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return spans.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_sentences", "first_doc_id")
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -54,11 +63,13 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op3_line_dedup": lines.ORACLE}
