@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, lines, packing, quality, simhash, spans, toxicity, urls
+from . import decontaminate, embeddings, licenses, lines, packing, quality, simhash, spans, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_url_filters(spark, sf_dir):
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(documents, min_lines=2).select("doc_id", "n_lines", "n_removed", "text")
@@ -63,6 +67,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
