@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .plans import file_queries, record_queries, timeline_queries
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["file_queries", "flagship", "oracle_sql", "queries", "record_queries"]
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+    return timeline_queries.timeline_histogram_range(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
