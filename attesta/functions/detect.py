@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shannon(data: bytes) -> float:
@@ -19,13 +20,13 @@ def shannon(data: bytes) -> float:
     return float(max(0.0, -(p * np.log2(p)).sum()))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def byte_entropy(content: pa.Array) -> pa.Array:
     """Shannon entropy of a binary column."""
     return pa.array([None if b is None else shannon(b) for b in content.to_pylist()], pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def char_entropy(text: pa.Array) -> pa.Array:
     """Shannon entropy over the characters of a text.
 
@@ -64,7 +65,7 @@ def class_of(data: bytes) -> tuple[str, float]:
     return ("high" if h > 7.6 else "dense" if h > 6.0 else "structured"), h
 
 
-@F.arrow_udf("struct<class:string,entropy:double>")
+@F.arrow_udf(T.StructType().add("class", "string").add("entropy", "double"))
 def block_class(content: pa.Array) -> pa.Array:
     rows = [None if b is None else dict(zip(("class", "entropy"), class_of(b), strict=True)) for b in content.to_pylist()]
     return pa.array(rows, pa.struct([("class", pa.string()), ("entropy", pa.float64())]))
@@ -154,7 +155,7 @@ def wallet_candidates(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WALLET_PATTERN), F.lit(0)))
 
 
-@F.arrow_udf("array<struct<address:string,kind:string>>")
+@F.arrow_udf(T.ArrayType(T.StructType().add("address", "string").add("kind", "string")))
 def wallet_kinds(candidates: pa.Array) -> pa.Array:
     """Candidates whose checksum holds; hexadecimal ones have none and count as shaped only."""
     rows = []

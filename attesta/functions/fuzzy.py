@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 MIN_BLOCK, LENGTH, WINDOW = 3, 64, 7
@@ -106,12 +107,12 @@ def compare(a: str, b: str) -> int:
     return _score(a2, b1, m) if m == n * 2 else 0
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def fuzzy(content: pa.Array) -> pa.Array:
     """Signature of a binary column; null and empty content have none."""
     return pa.array([fuzzy_hash(b) if b else None for b in content.to_pylist()], pa.string())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def fuzzy_score(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else compare(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())

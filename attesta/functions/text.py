@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,7 +63,7 @@ def collapse(c: Column) -> Column:
 def casefold(c: Column) -> Column:
     """Full case folding; plain lower-casing serves where a text is ASCII."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def fold(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
@@ -103,7 +104,7 @@ def visible_of(html: str | None) -> str | None:
     return " ".join("".join(parser.parts).split())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def visible_text(html: pa.Array) -> pa.Array:
     """What a reader of an HTML page sees, as one line of text."""
     return pa.array([visible_of(h) for h in html.to_pylist()], pa.string())
@@ -152,7 +153,7 @@ class _Sanitiser(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-@F.arrow_udf("struct<html:string,removed:array<string>>")
+@F.arrow_udf(T.StructType().add("html", "string").add("removed", T.ArrayType(T.StringType())))
 def sanitised(html: pa.Array) -> pa.Array:
     """HTML without scripts, handlers, frames and remote references, and what was taken out."""
     rows = []

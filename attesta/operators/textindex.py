@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}]+"
 FIELDS = ("name", "path", "body")
@@ -87,7 +88,7 @@ def snippet(terms: list[str], size: int = 12):
     """A column function: the ``size`` words round the first match, or the opening words without one."""
     words = sorted({t for p in terms for t in tokens_of(p)})
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def cut_out(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
@@ -121,6 +122,6 @@ def extract(data: bytes, cap: int = 256 * 1024) -> str:
     return " ".join(" ".join(t for _, t in sorted(runs)).split())[:cap]
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def extracted(content: pa.Array) -> pa.Array:
     return pa.array([None if b is None else extract(b) for b in content.to_pylist()], pa.string())
