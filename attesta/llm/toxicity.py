@@ -65,7 +65,7 @@ class Lexicon:
             found.add_word(f" {phrase} ", (len(phrase) + 1, None))
         for term, weight in self.weights:
             pattern = f" {term[:-1]}" if term.endswith("*") else f" {term} "
-            found.add_word(pattern, (len(pattern) - 1, weight))
+            found.add_word(pattern, (len(pattern) - 1, -weight if term.endswith("*") else weight))
         if len(found):
             found.make_automaton()
         return found
@@ -79,8 +79,8 @@ class Lexicon:
         for last, (back, weight) in automaton.iter(folded):
             if weight is None:
                 excepted.append((last - back, last))
-            else:
-                runs[last - back] = max(weight, runs.get(last - back, 0.0))
+            elif weight > 0 or folded[last + 1] != " ":  # a stem, marked by the sign, needs more of its run
+                runs[last - back] = max(abs(weight), runs.get(last - back, 0.0))
         if excepted:
             reach, at, covered = 0, 0, sorted(excepted)
             for start in sorted(runs):
