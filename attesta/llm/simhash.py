@@ -205,7 +205,8 @@ _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 
 def _spread(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-    h = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ salt
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
