@@ -36,14 +36,16 @@ def _named(documents: DataFrame, min_lines: int, id_col: str, text_col: str) ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("dig", F.md5("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
-    names = docs.select("id", "dig", F.transform(lines, lambda x: _digest(x.cast("binary"))).alias("names")).distinct()
+    names = docs.select("id", "dig", F.transform(lines, lambda x: _digest(x.cast("binary"))).alias("names"))
     h = 1
     while h < min_lines:
         step = min(h, min_lines - h)
         left = F.slice("names", F.lit(1), F.greatest(F.size("names") - step, F.lit(0)))
         names = names.select("id", "dig", _doubled(left, step).alias("names"))
         h += step
-    return names.select("id", "dig", F.posexplode("names").alias("at", "name"))
+    # The outer form: the plain one adds a filter on the array's size, for which the optimiser repeats
+    # the whole expression of ``names`` below, once more for each element.
+    return names.select("id", "dig", F.posexplode_outer("names").alias("at", "name")).where("name is not null")
 
 
 def later_copies(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
