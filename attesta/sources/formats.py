@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from . import records
+from . import documents, records
 from .containers import open_image
 from .filesystems import SCHEMA as ENTRY_SCHEMA
 from .filesystems import Fat, Ntfs, open_filesystem
@@ -158,6 +158,8 @@ def _sqlite_rows(table: str):
     return rows
 
 
+SHORTCUT_SCHEMA = "target_created string, target_accessed string, target_modified string, target_size long, local_path string, name string, relative_path string, working_dir string, arguments string, icon string"
+
 DECODERS = {
     "usn": (records.usn, records.USN_SCHEMA),
     "evtx": (records.evtx, records.EVTX_SCHEMA),
@@ -166,7 +168,11 @@ DECODERS = {
     "leveldb_table": (records.leveldb_table, records.LEVELDB_SCHEMA),
     "zip": (records.zip_members, records.ZIP_SCHEMA),
     "recycle": (lambda data: filter(None, [records.recycle_metadata(data)]), "recoverable_size long, deleted_at string, original_path string"),
-    "shortcut": (lambda data: filter(None, [records.shortcut(data)]), "target_created string, target_accessed string, target_modified string, target_size long, local_path string, name string, relative_path string, working_dir string, arguments string, icon string"),
+    "shortcut": (lambda data: filter(None, [records.shortcut(data)]), SHORTCUT_SCHEMA),
+    "office": (lambda data: filter(None, [documents.office(data)]), documents.OFFICE_SCHEMA),
+    "pdf": (lambda data: filter(None, [documents.pdf(data)]), documents.OFFICE_SCHEMA),
+    "exif": (lambda data: filter(None, [documents.exif(data)]), documents.EXIF_SCHEMA),
+    "jump_list": (documents.jump_list, "entry string, " + SHORTCUT_SCHEMA),
     "prefetch": (lambda data: filter(None, [records.prefetch(data)]), "program string, hash string, run_count long, run_times array<string>, files array<string>"),
 }
 
