@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from . import documents, records
 from .containers import open_image
 from .filesystems import SCHEMA as ENTRY_SCHEMA
-from .filesystems import Fat, Ntfs, open_filesystem
+from .filesystems import Ntfs, open_filesystem
 from .volumes import scan
 
 BLOCK = 4 << 20
@@ -104,7 +104,7 @@ class _Entries(_Reader):
     def read(self, part):
         fs, names = self._open(), _order(ENTRY_SCHEMA)
         known = {"evidence_id": int(self.options.get("evidenceId", 0)), "part": int(self.options.get("offset", 0))}
-        found = fs.entries() if isinstance(fs, Fat) else fs.entries(part.first, part.last)
+        found = fs.entries(part.first, part.last) if isinstance(fs, Ntfs) else fs.entries()
         for e in found:
             e = e | known
             e["runs"] = [(r["offset"], r["length"], r["sparse"]) for r in e["runs"]]

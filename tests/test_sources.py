@@ -497,3 +497,105 @@ def test_stix_and_folder(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps(bundle))
     assert [tuple(r) for r in formats.read_stix(spark, str(tmp_path / "s.json")).collect()] == [("T1", "First", "y")]
     assert formats.listing_of(spark, str(tmp_path)).where(F.col("name") == "s.json").count() == 1
+
+
+def test_vhdx():
+    block, n = 1 << 20, 3
+    disk = random.Random(5).randbytes(block) + bytes(block) + random.Random(6).randbytes(block)
+    raw = bytearray(8 << 20)
+    raw[:8] = b"vhdxfile"
+    raw[64 << 10 : (64 << 10) + 4] = b"head"
+    reg = b"regi" + struct.pack("<III", 0, 2, 0)
+    reg += uuid.UUID("2dc27766f62342009d64115e9bfd4a08").bytes_le + struct.pack("<QII", 2 << 20, 64, 1) + uuid.UUID("8b7ca20647904b9ab8fe575f050f886e").bytes_le + struct.pack("<QII", 3 << 20, 1 << 20, 1)
+    raw[192 << 10 : (192 << 10) + len(reg)] = reg
+    meta = b"metadata" + struct.pack("<HH", 0, 3) + bytes(20)
+    for i, (g, size) in enumerate((("caa16737fa364d43b3b633f0aa44e76b", 8), ("2fa54224cd1b4876b2115dbed83bf4b8", 8), ("8141bf1da96f4709ba47f233a8faab5f", 4))):
+        meta += uuid.UUID(g).bytes_le + struct.pack("<IIII", 65536 + 16 * i, size, 0, 0)
+    raw[3 << 20 : (3 << 20) + len(meta)] = meta
+    struct.pack_into("<Q", raw, (3 << 20) + 65536, block)
+    struct.pack_into("<Q", raw, (3 << 20) + 65552, n * block)
+    struct.pack_into("<I", raw, (3 << 20) + 65568, 512)
+    struct.pack_into("<3Q", raw, 2 << 20, 5 << 20 | 6, 0, 4 << 20 | 6)
+    raw[5 << 20 : 6 << 20] = disk[:block]
+    raw[4 << 20 : 5 << 20] = disk[2 * block :]
+    same(containers.Vhdx(MemoryBytes(bytes(raw))), disk)
+    raw[(64 << 10) + 48] = 1
+    with pytest.raises(ValueError):
+        containers.Vhdx(MemoryBytes(bytes(raw)))
+
+
+def test_exfat():
+    disk = bytearray(512 * 40)
+    disk[3:11] = b"EXFAT   "
+    struct.pack_into("<IIIII", disk, 80, 2, 1, 4, 30, 2)
+    disk[108], disk[109] = 9, 0
+    struct.pack_into("<8I", disk, 1024, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 6, 0, 0xFFFFFFFF, 0)
+
+    def entries(name, attributes, start, size, straight=False, live=True):
+        n = name.encode("utf-16-le")
+        top = 0x80 if live else 0
+        count = 1 + -(-len(n) // 30)
+        out = bytes([top | 5, count]) + bytes(2) + struct.pack("<HHIII", attributes, 0, 0x58216000, 0x58216000, 0x58210000).ljust(28, b"\0")
+        out += bytes([top | 0x40, 3 if straight else 1, 0, len(name)]) + bytes(16) + struct.pack("<IQ", start, size)
+        for i in range(0, len(n), 30):
+            out += bytes([top | 0x41, 0]) + n[i : i + 30].ljust(30, b"\0")
+        return out
+
+    data = 4 * 512
+    root = entries("A directory with a long name", 0x10, 3, 512) + entries("two.bin", 0x20, 4, 700) + entries("gone", 0x20, 9, 600, live=False)
+    disk[data : data + len(root)] = root
+    sub = entries("s.txt", 0x20, 8, 3, straight=True)
+    disk[data + 512 : data + 512 + len(sub)] = sub
+    disk[data + 1024 : data + 1536], disk[data + 2048 : data + 2236] = b"x" * 512, b"y" * 188
+    disk[data + 3072 : data + 3075] = b"abc"
+    fs = filesystems.open_filesystem(MemoryBytes(bytes(disk)))
+    got = {e["path"]: e for e in fs.entries()}
+    assert set(got) == {"/A directory with a long name", "/A directory with a long name/s.txt", "/two.bin", "/gone"}
+    assert fs.read(got["/two.bin"]["runs"], 700) == b"x" * 512 + b"y" * 188
+    assert fs.read(got["/A directory with a long name/s.txt"]["runs"], 3) == b"abc"
+    assert got["/gone"]["deleted"]
+    assert got["/two.bin"]["created"] == "2024-01-01T12:00:00"
+
+
+def test_ext():
+    disk = bytearray(1024 * 64)
+    struct.pack_into("<II", disk, 1024, 32, 64)
+    struct.pack_into("<III", disk, 1024 + 20, 1, 0, 0)
+    struct.pack_into("<I", disk, 1024 + 40, 32)
+    disk[1024 + 56 : 1024 + 58] = b"\x53\xef"
+    struct.pack_into("<I", disk, 1024 + 76, 1)
+    struct.pack_into("<H", disk, 1024 + 88, 256)
+    struct.pack_into("<I", disk, 1024 + 96, 0x40)
+    struct.pack_into("<I", disk, 2048 + 8, 4)
+
+    def inode(n, mode, size, flags, body, deleted=0, links=1):
+        raw = bytearray(256)
+        struct.pack_into("<HHIIIIIHH", raw, 0, mode, 0, size, 1704110400, 1704110400, 1704110400, deleted, 0, links)
+        struct.pack_into("<I", raw, 32, flags)
+        raw[40 : 40 + len(body)] = body
+        struct.pack_into("<H", raw, 128, 28)
+        struct.pack_into("<I", raw, 132 + 12, 1704110401)
+        disk[4096 + (n - 1) * 256 : 4096 + n * 256] = raw
+
+    def names(*pairs):
+        out = b""
+        for i, (n, name) in enumerate(pairs):
+            size = 8 + len(name) + -len(name) % 4
+            out += struct.pack("<IHBB", n, 1024 - len(out) if i == len(pairs) - 1 else size, len(name), 0) + name.encode().ljust(size - 8, b"\0")
+        return out.ljust(1024, b"\0")
+
+    extent = lambda *rows: struct.pack("<HHHHI", 0xF30A, len(rows), 4, 0, 0) + b"".join(struct.pack("<IHHI", f, c, 0, b) for f, c, b in rows)
+    inode(2, 0x41ED, 1024, 0x80000, extent((0, 1, 20)))
+    inode(11, 0x41ED, 1024, 0x80000, extent((0, 1, 21)))
+    inode(12, 0x81A4, 3500, 0x80000, extent((0, 1, 22), (3, 1, 23)))
+    inode(13, 0x81A4, 1500, 0, struct.pack("<2I", 24, 30))
+    disk[20 * 1024 : 21 * 1024] = names((2, "."), (2, ".."), (11, "dir"), (12, "sparse.bin"))
+    disk[21 * 1024 : 22 * 1024] = names((11, "."), (2, ".."), (13, "mapped"))
+    for b, c in ((22, b"a"), (23, b"b"), (24, b"c"), (30, b"d")):
+        disk[b * 1024 : (b + 1) * 1024] = c * 1024
+    fs = filesystems.open_filesystem(MemoryBytes(bytes(disk)))
+    got = {e["path"]: e for e in fs.entries()}
+    assert set(got) == {"/dir", "/sparse.bin", "/dir/mapped"}
+    assert fs.read(got["/sparse.bin"]["runs"], 3500) == b"a" * 1024 + bytes(2048) + b"b" * 428
+    assert fs.read(got["/dir/mapped"]["runs"], 1500) == b"c" * 1024 + b"d" * 476
+    assert got["/dir/mapped"]["created"] == "2024-01-01T12:00:01.000000Z"
