@@ -178,3 +178,17 @@ def mnemonic_valid(words: list[str], wordlist: list[str]) -> bool:
     cut = len(bits) * 32 // 33
     digest = hashlib.sha256(int(bits[:cut], 2).to_bytes(cut // 8, "big")).digest()
     return bits[cut:] == f"{digest[0]:08b}"[: len(bits) - cut]
+
+
+def mnemonic_runs(words: list[str], wordlist: list[str]) -> list[tuple[int, int]]:
+    """(start, length) of phrases with a good checksum in a text's words, longest first at each place, apart from one another."""
+    known, out, at = set(wordlist), [], 0
+    while at < len(words):
+        run = 0
+        while at + run < len(words) and run < 24 and words[at + run] in known:
+            run += 1
+        n = next((k for k in (24, 21, 18, 15, 12) if k <= run and mnemonic_valid(words[at : at + k], wordlist)), 0)
+        if n:
+            out.append((at, n))
+        at += n or 1
+    return out
