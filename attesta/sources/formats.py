@@ -169,6 +169,9 @@ DECODERS = {
     "zip": (records.zip_members, records.ZIP_SCHEMA),
     "recycle": (lambda data: filter(None, [records.recycle_metadata(data)]), "recoverable_size long, deleted_at string, original_path string"),
     "shortcut": (lambda data: filter(None, [records.shortcut(data)]), SHORTCUT_SCHEMA),
+    "ntfs_log": (records.log_records, records.LOG_SCHEMA),
+    "shim_cache": (records.shim_cache, records.SHIM_SCHEMA),
+    "shellbags": (lambda data: records.shellbags(records.Hive(data)), records.SHELLBAG_SCHEMA),
     "sqlite_deleted": (records.deleted_rows, records.DELETED_SCHEMA),
     "browser_cache": (lambda data: filter(None, [records.cache_entry(data)]), records.CACHE_SCHEMA),
     "office": (lambda data: filter(None, [documents.office(data)]), documents.OFFICE_SCHEMA),

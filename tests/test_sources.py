@@ -373,7 +373,7 @@ def test_sqlite(spark, tmp_path):
     assert json.loads(df.where("rowid = 3").first()["row"])["name"] == "n3" * 4
 
 
-def hive():
+def hive(tree=None):
     cells = bytearray(32)
 
     def cell(body):
@@ -391,6 +391,9 @@ def hive():
         where, size = (int.from_bytes(raw.ljust(4, b"\0"), "little"), len(raw) | 1 << 31) if len(raw) <= 4 else (cell(raw), len(raw))
         return cell(b"vk" + struct.pack("<HIIIHH", len(name), size, where, kind, 1, 0) + name.encode())
 
+    if tree:
+        root = tree(key, value)
+        return b"regf".ljust(36, b"\0") + struct.pack("<I", root) + bytes(4096 - 40) + bytes(cells)
     leaf = key("Run", vals=(value("App", 1, "C:\\a.exe\0".encode("utf-16-le")), value("N", 4, struct.pack("<I", 7))))
     root = key("ROOT", children=(key("Software", children=(leaf,)), key("Empty")))
     return b"regf".ljust(36, b"\0") + struct.pack("<I", root) + bytes(4096 - 40) + bytes(cells)
@@ -599,3 +602,81 @@ def test_ext():
     assert fs.read(got["/sparse.bin"]["runs"], 3500) == b"a" * 1024 + bytes(2048) + b"b" * 428
     assert fs.read(got["/dir/mapped"]["runs"], 1500) == b"c" * 1024 + b"d" * 476
     assert got["/dir/mapped"]["created"] == "2024-01-01T12:00:01.000000Z"
+
+
+def test_hfs_plus():
+    block, disk = 512, bytearray(512 * 120)
+    head = bytearray(512)
+    head[:2] = b"H+"
+    struct.pack_into(">I", head, 40, block)
+
+    def fork(size, *extents):
+        return struct.pack(">QII", size, 0, sum(n for _, n in extents)) + b"".join(struct.pack(">II", *e) for e in extents).ljust(64, b"\0")
+
+    head[192:272] = fork(1024, (10, 2))
+    head[272:352] = fork(1536, (20, 3))
+    disk[1024:1536] = head
+
+    def tree(at, *records):
+        top = struct.pack(">IIBBHH", 0, 0, 1, 0, 3, 0) + struct.pack(">HIIIIH", 1, 1, len(records), 1 if records else 0, 1, 512)
+        disk[at * 512 : at * 512 + len(top)] = top
+        node, offsets = bytearray(512), [14]
+        struct.pack_into(">IIBBH", node, 0, 0, 0, 0xFF, 1, len(records))
+        for r in records:
+            node[offsets[-1] : offsets[-1] + len(r)] = r
+            offsets.append(offsets[-1] + len(r))
+        for i, o in enumerate(offsets):
+            struct.pack_into(">H", node, 510 - 2 * i, o)
+        disk[(at + 1) * 512 : (at + 2) * 512] = node
+
+    def key(parent, name):
+        n = name.encode("utf-16-be")
+        return struct.pack(">HIH", 6 + len(n), parent, len(name)) + n
+
+    when = 3786912000
+    folder = key(2, "Docs") + struct.pack(">HHIIIIII", 1, 0, 1, 16, when, when, 0, 0).ljust(88, b"\0")
+    file = key(16, "a/b") + struct.pack(">HHIIIIII", 2, 0, 0, 17, when, when, 0, 0).ljust(88, b"\0") + fork(512 * 9, *[(40 + 2 * i, 1) for i in range(8)], (0, 1))[:80] + bytes(80)
+    tree(20, folder, file)
+    tree(10, struct.pack(">HBBII", 10, 0, 0, 17, 8) + struct.pack(">II", 90, 1).ljust(64, b"\0"))
+    for i in range(8):
+        disk[(40 + 2 * i) * 512 : (41 + 2 * i) * 512] = bytes([i + 1]) * 512
+    disk[90 * 512 : 91 * 512] = b"\x09" * 512
+    fs = filesystems.open_filesystem(MemoryBytes(bytes(disk)))
+    got = {e["name"]: e for e in fs.entries()}
+    assert (got["Docs"]["node"], got["a:b"]["parent"], got["a:b"]["created"]) == ("16", "16", "2024-01-01T00:00:00.000000Z")
+    assert fs.read(got["a:b"]["runs"], got["a:b"]["size"]) == b"".join(bytes([i + 1]) * 512 for i in range(9))
+
+
+def test_ntfs_log(spark):
+    def record(lsn, redo, undo, body=b""):
+        data = struct.pack("<6H", redo, undo, 32, len(body), 0, 0).ljust(32, b"\0") + body
+        return (struct.pack("<QQQIIII", lsn, 0, 0, len(data), 0, 1, 7).ljust(48, b"\0") + data).ljust(48 + len(data) + -len(data) % 8, b"\0")
+
+    name = "gone.txt".encode("utf-16-le")
+    entry = struct.pack("<QHH", 40, 16 + 66 + len(name), 66 + len(name)).ljust(16, b"\0") + bytes(64) + bytes([8, 1]) + name
+    page = bytearray(4096)
+    page[:4] = b"RCRD"
+    struct.pack_into("<HH", page, 4, 40, 9)
+    body = record(300, 15, 14, entry) + record(200, 2, 0)
+    page[64 : 64 + len(body)] = body
+    page[40:42] = b"\x05\0"
+    for i in range(1, 9):
+        page[40 + 2 * i : 42 + 2 * i] = page[512 * i - 2 : 512 * i]
+        page[512 * i - 2 : 512 * i] = b"\x05\0"
+    torn = bytearray(page)
+    torn[510] = 9
+    got = formats.decode(files(spark, g=bytes(page) + bytes(torn)), "ntfs_log").collect()
+    assert [(r["lsn"], r["redo"], r["undo"], r["names"]) for r in got] == [(200, "InitializeFileRecordSegment", "Noop", []), (300, "DeleteIndexEntryAllocation", "AddIndexEntryAllocation", ["gone.txt"])]
+
+
+def test_shim_cache_and_shellbags(spark):
+    path = "C:\\x.exe".encode("utf-16-le")
+    one = b"10ts" + bytes(4) + struct.pack("<IH", 2 + len(path) + 8 + 4, len(path)) + path + struct.pack("<QI", 133_500_000_000_000_000, 0)
+    got = formats.decode(files(spark, s=bytes(52) + one + one), "shim_cache").collect()
+    assert [r["program"] for r in got] == ["C:\\x.exe"] * 2
+    item = lambda kind, rest: struct.pack("<HBB", 4 + len(rest), kind, 0) + rest + b"\0\0"
+    volume = struct.pack("<HB", 3 + 4, 0x2F) + b"C:\\\0" + b"\0\0"
+    folder = item(0x31, struct.pack("<IHHH", 0, 0x5821, 0x6000, 0) + b"USERS\0")
+    bags = hive(lambda key, value: key("ROOT", children=(key("BagMRU", children=(key("0", vals=(value("0", 3, folder),)),), vals=(value("0", 3, volume), value("MRUListEx", 3, b"\0" * 8))),)))
+    got = formats.decode(files(spark, h=bags), "shellbags").collect()
+    assert [(r["folder"], r["kind"]) for r in got] == [("C:\\", "volume"), ("C:\\\\USERS", "folder")]
