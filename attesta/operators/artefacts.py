@@ -88,3 +88,18 @@ def parity_mismatch(words: DataFrame, by: list[str]) -> DataFrame:
 def described(events: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Events with the description of their (provider, event_id), null where none is known."""
     return events.join(catalogue.select("provider", "event_id", "description"), ["provider", "event_id"], "left")
+
+
+def latest_usable(versions: DataFrame, by: list[str], usable, sequence: str = "sequence") -> DataFrame:
+    """The newest version of each thing that is ``usable``, a column; things without one are left out."""
+    rest = [c for c in versions.columns if c not in by]
+    return versions.where(usable).groupBy(*by).agg(F.max_by(F.struct(*rest), sequence).alias("_v")).select(*by, "_v.*")
+
+
+def inventory(rows: DataFrame) -> DataFrame:
+    """Programs of an application inventory in registry rows (path, name, value): one row per key."""
+    wanted = ("LowerCaseLongPath", "FileId", "Name", "Publisher", "Version", "LinkDate", "Size", "ProductName")
+    held = rows.where(F.lower("path").rlike(r"(^|\\)inventoryapplicationfile\\[^\\]+$") & F.col("name").isin(*wanted))
+    out = held.groupBy("path", "modified").agg(*(F.max(F.when(F.col("name") == w, F.col("value"))).alias(w) for w in wanted))
+    # The id is four zeros and a SHA-1.
+    return out.select("path", "modified", F.col("LowerCaseLongPath").alias("program"), F.when(F.length("FileId") == 44, F.substring("FileId", 5, 40)).alias("sha1"), F.col("Name").alias("name"), F.col("Publisher").alias("publisher"), F.col("Version").alias("version"), F.col("LinkDate").alias("linked_at"), F.col("Size").cast("long").alias("size"), F.col("ProductName").alias("product"))

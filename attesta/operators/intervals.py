@@ -78,3 +78,21 @@ def bounds_by_next(hits: DataFrame, by: list[str], limit: str = "max_length") ->
     return hits.withColumn("_next", following).select(
         *hits.columns, F.least(F.col("_next"), F.col(limit)).alias("length"), F.when(F.col("_next") < F.col(limit), "next_header").otherwise("limit").alias("bounded_by")
     )
+
+
+def volume_map(spans: DataFrame, sizes: DataFrame, by: list[str], limit: int = 192) -> DataFrame:
+    """Named spans (family, kind, number, start, end) of each group, with neighbours of one kind as one.
+
+    Spans outside [0, size) are left out and counted in ``dropped``; the ``limit`` first of a group
+    are told, and ``total`` says how many there are.
+    """
+    sized = spans.join(sizes.select(*by, "size"), by).withColumn("_in", (F.col("start") >= 0) & (F.col("end") <= F.col("size")) & (F.col("start") < F.col("end")))
+    out_of_range = sized.groupBy(*by).agg(F.sum((~F.col("_in")).cast("long")).alias("dropped"))
+    order = Window.partitionBy(*by).orderBy("start", "end", "family")
+    inside = sized.where("_in")
+    new = ~(F.col("family").eqNullSafe(F.lag("family").over(order)) & F.col("kind").eqNullSafe(F.lag("kind").over(order)) & (F.col("start") <= F.lag("end").over(order)))
+    runs = inside.withColumn("_new", new.cast("long")).withColumn("_run", F.sum("_new").over(order))
+    merged = runs.groupBy(*by, "_run").agg(F.first("family").alias("family"), F.first("kind").alias("kind"), F.min("number").alias("first_number"), F.max("number").alias("last_number"), F.min("start").alias("start"), F.max("end").alias("end"))
+    place = Window.partitionBy(*by).orderBy("start", "end", "family")
+    told = merged.withColumn("_n", F.row_number().over(place)).withColumn("total", F.count("*").over(Window.partitionBy(*by))).where(F.col("_n") <= limit)
+    return told.join(out_of_range, by).drop("_n", "_run")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.detect import block_class
+
 TOKEN = r"[\p{L}\p{N}]+"
 FIELDS = ("name", "path", "body")
 K1, B = 1.2, 0.75
@@ -125,3 +127,29 @@ def extract(data: bytes, cap: int = 256 * 1024) -> str:
 @F.arrow_udf(T.StringType())
 def extracted(content: pa.Array) -> pa.Array:
     return pa.array([None if b is None else extract(b) for b in content.to_pylist()], pa.string())
+
+
+def index_regions(blocks: DataFrame, most_entropy: float = 7.2, shortest: int = 8) -> DataFrame:
+    """Documents (id, name, path, body, kind) of readable text in raw blocks.
+
+    Zeroed blocks and those of an entropy above ``most_entropy`` hold none and are passed over before
+    their text is looked for; runs under ``shortest`` characters are no text.
+    """
+    some = blocks.withColumn("_c", block_class("data")).where((F.col("_c.class") != "zero") & (F.col("_c.entropy") <= most_entropy))
+    words = F.filter(F.split(extracted("data"), " "), lambda w: w != "")
+    body = F.array_join(words, " ")
+    place = F.concat_ws("@", F.col("evidence_id"), F.col("offset"))
+    return some.select(place.alias("id"), F.lit("").alias("name"), place.alias("path"), body.alias("body"), F.lit("raw").alias("kind")).where(F.length("body") >= shortest)
+
+
+def index_all(*parts: DataFrame) -> DataFrame:
+    """Documents of volumes, journals and raw regions as one relation to index."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def saved_search(hits: DataFrame, name: str, at: str, terms: list[str]) -> DataFrame:
+    """Hits as rows of a record that is appended to and never changed."""
+    return hits.select(F.lit(name).alias("search"), F.lit(at).alias("saved_at"), F.array(*map(F.lit, terms)).alias("terms"), F.struct(*hits.columns).alias("hit"))

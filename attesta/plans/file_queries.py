@@ -259,3 +259,29 @@ def epoch_functions(spark, d):
     return e.select(
         "event_id", back(S.from_filetime((us + S.FILETIME_EPOCH_US).cast("decimal(20,0)") * 10 + 7)).alias("filetime_us"), back(S.from_unix(F.floor(us / 1_000_000))).alias("unix_us"), back(S.from_webkit(us + S.FILETIME_EPOCH_US)).alias("webkit_us")
     )
+
+
+_VM = f"""{_S}, x AS (SELECT evidence_id, 'Block' AS family, start % 3 AS kind, start AS number, start, "end" FROM s WHERE start % 5 = 0),
+i AS (SELECT *, start < "end" AND "end" <= 15000 AS fits FROM x), d AS (SELECT evidence_id, count(*) FILTER (WHERE NOT fits) AS dropped FROM i GROUP BY 1),
+o AS (SELECT DISTINCT evidence_id, family, kind, number, start, "end" FROM i WHERE fits),
+n AS (SELECT *, CASE WHEN kind = lag(kind) OVER w AND start <= lag("end") OVER w THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY evidence_id ORDER BY start, "end")),
+r AS (SELECT *, sum(new) OVER (PARTITION BY evidence_id ORDER BY start, "end") AS run FROM n),
+m AS (SELECT evidence_id, run, any_value(kind) AS kind, min(number) AS first_number, max(number) AS last_number, min(start) AS start, max("end") AS "end" FROM r GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY start, "end") AS rn, count(*) OVER (PARTITION BY evidence_id) AS total FROM m)
+SELECT evidence_id, kind, first_number, last_number, start, "end", total, dropped FROM p JOIN d USING (evidence_id) WHERE rn <= 192"""
+
+
+@query("volume_map", f"WITH {_VM.lstrip()}")
+def volume_map(spark, d):
+    raw = _spans(spark, d).where("start % 5 = 0")
+    every = raw.select("evidence_id", F.lit("Block").alias("family"), (F.col("start") % 3).alias("kind"), F.col("start").alias("number"), "start", "end")
+    good = every.where("start < end and end <= 15000").distinct()
+    bad = every.where("not (start < end and end <= 15000)")
+    sizes = raw.select("evidence_id").distinct().withColumn("size", F.lit(15000).cast("long"))
+    return intervals.volume_map(good.unionByName(bad), sizes, ["evidence_id"]).select("evidence_id", "kind", "first_number", "last_number", "start", "end", "total", "dropped")
+
+
+@query("latest_usable", "SELECT l_partkey, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity, max(l_orderkey * 10 + l_linenumber) AS sequence FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey")
+def latest_usable(spark, d):
+    v = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"))
+    return artefacts.latest_usable(v, ["l_partkey"], F.col("l_returnflag") != "R").select("l_partkey", "l_quantity", "sequence")

@@ -126,3 +126,76 @@ def marvin32(data: bytes, seed: int = 0x82EF4D887A4E55C5) -> int:
     a, b = block(a + int.from_bytes(tail, "little") & mask, b)
     a, b = block(a, b)
     return b << 32 | a
+
+
+def lzxpress_huffman(data: bytes, size: int) -> bytes:
+    """Blocks of up to 64 KiB, each with a table of 512 code lengths before its bits (MS-XCA 2.1)."""
+    out, at = bytearray(), 0
+    while len(out) < size and at + 260 <= len(data):
+        lengths = [n for b in data[at : at + 256] for n in (b & 15, b >> 4)]
+        at += 256
+        table, code = {}, 0
+        for n in range(1, 16):
+            for symbol, length in enumerate(lengths):
+                if length == n:
+                    table[n, code] = symbol
+                    code += 1
+            code <<= 1
+        bits = int.from_bytes(data[at : at + 2], "little") << 16 | int.from_bytes(data[at + 2 : at + 4], "little")
+        at, left = at + 4, 32
+        end = min(size, len(out) + 65536)
+
+        def drop(n):
+            nonlocal bits, left, at
+            bits, left = bits << n & 0xFFFFFFFF, left - n
+            if left <= 16:
+                bits |= int.from_bytes(data[at : at + 2], "little") << 16 - left
+                at, left = at + 2, left + 16
+
+        while len(out) < end:
+            for n in range(1, 16):
+                symbol = table.get((n, bits >> 32 - n))
+                if symbol is not None:
+                    break
+            else:
+                raise ValueError("a code that is not in the table")
+            drop(n)
+            if symbol < 256:
+                out.append(symbol)
+                continue
+            length, width = symbol & 15, symbol - 256 >> 4
+            if length == 15:
+                length, at = data[at] + 15, at + 1
+                if length == 270:
+                    length, at = int.from_bytes(data[at : at + 2], "little"), at + 2
+                    if not length:
+                        length, at = int.from_bytes(data[at : at + 4], "little"), at + 4
+            back = 1 << width | (bits >> 32 - width if width else 0)
+            if width:
+                drop(width)
+            if back > len(out):
+                raise ValueError("a reference before the start")
+            for _ in range(min(length + 3, size - len(out))):
+                out.append(out[-back])
+    return bytes(out[:size])
+
+
+def decmpfs(attribute: bytes, fork: bytes = b"", cap: int = 1 << 30) -> bytes:
+    """A compressed file of HFS+ or APFS from its attribute (zlib within it) or its resource fork."""
+    if attribute[:4] != b"fpmc":
+        raise ValueError("not a compressed file's attribute")
+    kind, size = int.from_bytes(attribute[4:8], "little"), int.from_bytes(attribute[8:16], "little")
+    if size > cap:
+        raise ValueError("larger than allowed")
+    if kind == 3:
+        body = attribute[16:]
+        return body[1 : 1 + size] if body[:1] and body[0] & 15 == 15 else inflate(body, size)
+    if kind != 4:
+        raise ValueError(f"compression of kind {kind}")
+    start = int.from_bytes(fork[:4], "big") + 4
+    out = bytearray()
+    for i in range(int.from_bytes(fork[start : start + 4], "little")):
+        at, n = (int.from_bytes(fork[start + 4 + 8 * i + 4 * k : start + 8 + 8 * i + 4 * k], "little") for k in (0, 1))
+        part = fork[start + at : start + at + n]
+        out += part[1:] if part[:1] and part[0] & 15 == 15 else inflate(part, 65536)
+    return bytes(out[:size])

@@ -4,13 +4,14 @@ import hashlib
 import random
 import sqlite3
 import struct
+import zlib
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from attesta.functions import detect
-from attesta.operators import hints, registry_report
-from attesta.sources import formats, records
+from attesta.operators import artefacts, hints, registry_report, textindex
+from attesta.sources import codecs, formats, records
 
 
 def test_registry_report(spark):
@@ -83,3 +84,47 @@ def test_mnemonics():
     assert detect.mnemonic_valid(a, words)
     assert not detect.mnemonic_valid([*a[:-1], words[(words.index(a[-1]) + 1) % 2048]], words)
     assert detect.mnemonic_runs(["x", *a, "y", *b], words) == [(1, 12), (14, 24)]
+
+
+def test_inventory(spark):
+    key = "Root\\InventoryApplicationFile\\a.exe|1"
+    rows = [(key, "LowerCaseLongPath", "c:\\a.exe", "t"), (key, "FileId", "0000" + "ab" * 20, "t"), (key, "Size", "12", "t"), ("Root\\Other\\x", "Name", "n", "t")]
+    got = artefacts.inventory(spark.createDataFrame(rows, "path string, name string, value string, modified string")).collect()
+    assert [(r["program"], r["sha1"], r["size"]) for r in got] == [("c:\\a.exe", "ab" * 20, 12)]
+
+
+def test_regions_and_saved_searches(spark):
+    noise = random.Random(2).randbytes(4096)
+    df = spark.createDataFrame([(1, 0, bytearray(4096)), (1, 4096, bytearray(noise)), (1, 8192, bytearray(b"\0\1readable words here\0"))], "evidence_id long, offset long, data binary")
+    docs = textindex.index_regions(df)
+    assert [(r["id"], r["body"]) for r in docs.collect()] == [("1@8192", "readable words here")]
+    both = textindex.index_all(docs, docs.select("id", "body"))
+    assert both.count() == 2
+    kept = textindex.saved_search(docs.select("id"), "first", "2024", ["words"]).first()
+    assert (kept["search"], kept["hit"]["id"]) == ("first", "1@8192")
+
+
+def packed_huffman(text):
+    """Literals and one long reference, each symbol with a code of nine bits."""
+    table = bytes([0x99]) * 256
+    symbols = [*text, 256 + 15]
+    bits = "".join(f"{s:09b}" for s in symbols)
+    words = [int(bits[i : i + 16].ljust(16, "0"), 2) for i in range(0, len(bits), 16)]
+    return table, words, len(bits)
+
+
+def test_lzxpress_and_decmpfs():
+    text = b"abcdefg"
+    table, words, _ = packed_huffman(text)
+    # The reference's extra length byte stands after the words read ahead by then: 8 symbols of 9 bits are 72, so 5 words and 1 ahead.
+    words += [0] * (6 - len(words))
+    raw = table + struct.pack(f"<{len(words)}H", *words) + bytes([5]) + bytes(8)
+    assert codecs.lzxpress_huffman(raw, 30) == text + b"g" * 23
+    body = b"x" * 5000
+    head = b"fpmc" + struct.pack("<IQ", 3, len(body))
+    assert codecs.decmpfs(head + zlib.compress(body)) == body
+    assert codecs.decmpfs(b"fpmc" + struct.pack("<IQ", 3, 3) + b"\xffabc") == b"abc"
+    parts = [zlib.compress(b"y" * 65536), b"\xff" + b"z" * 10]
+    table = struct.pack("<I", 2) + struct.pack("<IIII", 20, len(parts[0]), 20 + len(parts[0]), 11)
+    fork = struct.pack(">I", 0) + table + b"".join(parts)
+    assert codecs.decmpfs(b"fpmc" + struct.pack("<IQ", 4, 65546), fork) == b"y" * 65536 + b"z" * 10
