@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.detect import block_class
+from .search import with_edges
 
 MAX_RULES, MAX_PATTERN, OVERLAP, LOOK_BACK = 50, 64, 1024, 64
 
@@ -58,26 +59,20 @@ def check_rules(rules: list[Signature]) -> list[Signature]:
 
 
 def marks(blocks: DataFrame, signatures=SIGNATURES, overlap: int = OVERLAP) -> DataFrame:
-    """(evidence_id, name, kind, offset, end) of headers and footers in raw blocks.
-
-    A block is searched with the first bytes of the next, so a mark across an edge is found once, by
-    the block it begins in.
-    """
-    order = Window.partitionBy("evidence_id").orderBy("offset")
-    joined = blocks.withColumn("_next", F.substring(F.lead("data").over(order), 1, overlap)).select("evidence_id", "offset", F.length("data").alias("own"), F.concat("data", F.coalesce("_next", F.lit(b""))).alias("data"))
+    """(evidence_id, name, kind, offset, end) of headers and footers in raw blocks and across their edges."""
     wanted = [(s.name, kind, Signature.pattern(p), s.offset if kind == "header" else 0) for s in signatures for kind, p in (("header", s.header), ("footer", s.footer)) if p]
 
     def run(batches):
         for batch in batches:
             out = []
-            for evidence, base, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for evidence, base, edge, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for name, kind, pattern, shift in wanted:
-                    out += [(evidence, name, kind, base + m.start() - shift, base + m.end()) for m in pattern.finditer(data) if m.start() < own and base + m.start() >= shift]
+                    out += [(evidence, name, kind, base + m.start() - shift, base + m.end()) for m in pattern.finditer(data) if base + m.start() >= shift and (edge is None or m.start() < edge < m.end())]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["evidence_id", "name", "kind", "offset", "end"])
 
-    return joined.mapInArrow(run, "evidence_id long, name string, kind string, offset long, end long")
+    return with_edges(blocks, overlap).mapInArrow(run, "evidence_id long, name string, kind string, offset long, end long")
 
 
 def carve(blocks: DataFrame, sizes: DataFrame, signatures=SIGNATURES, overlap: int = OVERLAP) -> DataFrame:

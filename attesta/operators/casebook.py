@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 
 def audit_hash(prev, at, examiner, action, detail):
     """SHA-256 of an entry and the hash before it; a null examiner is written as the word None."""
@@ -42,10 +44,10 @@ def note_history(notes: DataFrame, rounds: int = 32) -> DataFrame:
     at = notes.select("id", F.coalesce("replaces", "id").alias("root"), F.when(F.col("replaces").isNull(), 0).otherwise(1).cast("long").alias("version"))
     for _ in range(rounds):
         ahead = at.select(F.col("id").alias("root"), F.col("root").alias("_next"), F.col("version").alias("_more"))
-        moved = at.join(ahead, "root", "left")
+        moved = cut(at.join(ahead, "root", "left"))
         if not moved.where("_next is not null and _next != root").limit(1).count():
             break
-        at = moved.select("id", F.coalesce("_next", "root").alias("root"), (F.col("version") + F.coalesce("_more", F.lit(0))).alias("version")).checkpoint(eager=True) if notes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else moved.select("id", F.coalesce("_next", "root").alias("root"), (F.col("version") + F.coalesce("_more", F.lit(0))).alias("version"))
+        at = moved.select("id", F.coalesce("_next", "root").alias("root"), (F.col("version") + F.coalesce("_more", F.lit(0))).alias("version"))
     return notes.join(at, "id")
 
 

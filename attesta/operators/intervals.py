@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 BIN = 1 << 26
 
 
-def merge(spans: DataFrame, by: list[str], touching: bool = True, kind: str | None = None) -> DataFrame:
-    """Overlapping (and touching) spans [start, end) of each group as one, with how many went in.
-
-    With ``kind``, a change of that column starts a new span as well.
-    """
+def _islands(spans: DataFrame, by: list[str], touching: bool, kind: str | None) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("start") > reach if touching else F.col("start") >= reach, F.lit(True))
     if kind:
         apart = apart | ~F.col(kind).eqNullSafe(F.lag(kind).over(order))
-    islands = spans.where("start < end").withColumn("_new", apart.cast("long")).withColumn("_island", F.sum("_new").over(order))
+    islands = spans.withColumn("_new", apart.cast("long")).withColumn("_island", F.sum("_new").over(order))
     more = [F.first(kind).alias(kind)] if kind else []
-    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *more).drop("_island")
+    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *more).drop("_island")
+
+
+def merge(spans: DataFrame, by: list[str], touching: bool = True, kind: str | None = None, bin_size: int = BIN) -> DataFrame:
+    """Overlapping (and touching) spans [start, end) of each group as one, with how many went in.
+
+    Spans are merged within bins of the axis first, so a group with most of the rows is many tasks'
+    work and what meets in its last step are islands.  With ``kind``, a change of that column starts
+    a new span as well; neighbours decide then, and groups are merged whole.
+    """
+    held = spans.where("start < end").select(*by, "start", "end", *([kind] if kind else []), F.lit(1).cast("long").alias("n"))
+    if kind is None:
+        held = _islands(held.withColumn("_bin", F.floor(F.col("start") / bin_size)), [*by, "_bin"], touching, None).drop("_bin")
+    return _islands(held, by, touching, kind)
 
 
 def gaps(spans: DataFrame, sizes: DataFrame, by: list[str], least: int = 1) -> DataFrame:

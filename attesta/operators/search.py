@@ -62,30 +62,42 @@ def _patterns(terms: list[str], encodings: tuple[str, ...], regex: bool, case_se
                 raise ValueError("regular expressions search ascii and utf-16-le only")
 
 
+def with_edges(blocks: DataFrame, overlap: int) -> DataFrame:
+    """(evidence_id, offset, edge, data): blocks as they are, and the bytes round each edge between two.
+
+    ``edge`` is null for a block, else where in ``data`` the edge lies; what crosses it counts there.
+    Only the ends of blocks are exchanged, never the blocks.  Blocks but the last of an evidence are
+    ``overlap`` bytes or longer.
+    """
+    tails = blocks.select("evidence_id", (F.col("offset") + F.length("data")).alias("at"), F.substring(F.col("data"), F.greatest(F.length("data") - overlap + 1, F.lit(1)), F.lit(overlap)).alias("tail"))
+    heads = blocks.select("evidence_id", F.col("offset").alias("at"), F.substring("data", 1, overlap).alias("head")).where(F.length("head") > 0)
+    edges = tails.where(F.length("tail") > 0).join(heads, ["evidence_id", "at"])
+    crossing = edges.select("evidence_id", (F.col("at") - F.length("tail")).alias("offset"), F.length("tail").alias("edge"), F.concat("tail", "head").alias("data"))
+    return blocks.select("evidence_id", "offset", F.lit(None).cast("int").alias("edge"), "data").unionByName(crossing)
+
+
 def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...] = ("ascii", "utf-16-le"), regex: bool = False, case_sensitive: bool = False, overlap: int = OVERLAP) -> DataFrame:
     """(evidence_id, offset, encoding, term): places in raw blocks (evidence_id, offset, data).
 
-    Each block is searched with the first ``overlap`` bytes of the one that follows it, so no match
-    up to that length is lost at an edge; a place is reported by the block it begins in.
+    A match across the edge of two blocks is found in the bytes round it, up to ``overlap`` bytes on
+    either side.
     """
-    order = Window.partitionBy("evidence_id").orderBy("offset")
-    joined = blocks.withColumn("_next", F.substring(F.lead("data").over(order), 1, overlap)).select("evidence_id", "offset", F.length("data").alias("own"), F.concat("data", F.coalesce("_next", F.lit(b""))).alias("data"))
     patterns = list(_patterns(terms, encodings, regex, case_sensitive))
 
     def run(batches):
         for batch in batches:
             rows = set()
-            for evidence, base, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for evidence, base, edge, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for term, encoding, pattern, alignments in patterns:
+                    wide = regex and encoding == "utf-16-le"
                     for shift in alignments:
-                        wide = regex and encoding == "utf-16-le"
                         text = data[shift : shift + (len(data) - shift) // 2 * 2].decode("utf-16-le", "surrogatepass") if wide else data
-                        # A character beyond the first plane is two code units.
                         for m in pattern.finditer(text):
-                            at = shift + len(text[: m.start()].encode("utf-16-le", "surrogatepass")) if wide else m.start()
-                            if at < own and m.end() > m.start():
-                                rows.add((evidence, base + at, encoding, term))
+                            # A character beyond the first plane is two code units.
+                            start, end = (shift + len(text[:k].encode("utf-16-le", "surrogatepass")) if wide else k for k in m.span())
+                            if start < end and (edge is None or start < edge < end):
+                                rows.add((evidence, base + start, encoding, term))
             columns = list(zip(*sorted(rows), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["evidence_id", "offset", "encoding", "term"])
 
-    return joined.mapInArrow(run, "evidence_id long, offset long, encoding string, term string").distinct()
+    return with_edges(blocks, overlap).mapInArrow(run, "evidence_id long, offset long, encoding string, term string").distinct()

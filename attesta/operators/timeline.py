@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import timeline_predicate
+from .scratch import cut
 
 # The time fields of a listing entry and the action and source that each stands for, fixed values.
 TIME_FIELDS = (
@@ -141,8 +142,22 @@ def log_summaries(records: DataFrame, by: str, channel: str | None = None) -> Da
     return records.groupBy(by).agg(F.count("*").alias("records"), F.min("sort").alias("first"), F.max("sort").alias("last"), *more)
 
 
+def ranked(values: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their rank from 1 in sorted order, without one task that sees them all.
+
+    Values are dealt by range; a value's rank is its place within its range and the number of values
+    in the ranges before, of which there are as many as tasks.
+    """
+    ranges = values.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    ranges = cut(ranges)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranges.withColumn("_place", place).join(F.broadcast(offsets), "_range").select(column, (F.col("_place") + F.col("_before")).cast("long").alias("rank"))
+
+
 def numbered(events: DataFrame) -> DataFrame:
     """Events with the rank of their path and action among all distinct ones."""
-    paths = events.select("path").distinct().withColumn("path_rank", F.dense_rank().over(Window.orderBy("path")))
-    actions = events.select("action").distinct().withColumn("action_rank", F.dense_rank().over(Window.orderBy("action")))
-    return events.join(paths, "path").join(F.broadcast(actions), "action")
+    paths = ranked(events, "path").withColumnRenamed("rank", "path_rank")
+    actions = ranked(events, "action").withColumnRenamed("rank", "action_rank")
+    return events.join(paths, "path").join(actions, "action")

@@ -82,7 +82,7 @@ def timeline_summary(spark, d):
     return T.summary(timeline(spark, d))
 
 
-@query("timeline_numbered", f"WITH {EV} SELECT id, CAST(dense_rank() OVER (ORDER BY path) AS INTEGER) AS path_rank, CAST(dense_rank() OVER (ORDER BY action) AS INTEGER) AS action_rank FROM ev")
+@query("timeline_numbered", f"WITH {EV} SELECT id, dense_rank() OVER (ORDER BY path) AS path_rank, dense_rank() OVER (ORDER BY action) AS action_rank FROM ev")
 def timeline_numbered(spark, d):
     return T.numbered(timeline(spark, d)).select("id", "path_rank", "action_rank")
 
