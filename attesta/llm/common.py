@@ -1,44 +1,21 @@
-"""Helpers that the operators share: the shared scratch folder, lineage cuts and Arrow plumbing."""
+"""Helpers that the operators share: tables, lineage cuts and Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from ..functions.text import ascii_lower
+from ..operators.scratch import cut, shared_dir
 
+__all__ = ["ascii_lower", "cut", "parallelism", "shared_dir", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset (tests, a single
-    machine) a temporary folder stands in.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="attesta-"))
-    return named or jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so a lost executor costs a re-read only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def ascii_lower(col):
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(col, UPPER, LOWER)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -51,8 +28,6 @@ def utf8(column: pa.ChunkedArray | pa.Array):
         return
     buffers = column.buffers()
     wide = pa.types.is_large_string(column.type)
-    import numpy as np
-
     if len(column) == 0:
         return
     ends = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32, count=column.offset + len(column) + 1)[column.offset :]
