@@ -82,35 +82,38 @@ class EntryFilter:
                 raise ValueError(f"{kind}_after is past {kind}_before")
         return made
 
-    def predicate(self) -> Column:
-        """The filter as a column; a null never passes a test on it."""
-        tests = []
-        if self.name:
-            tests.append(F.contains(F.lower("name"), F.lit(self.name.lower())))
-        if self.extensions:
-            tests.append(extension_of_name(F.col("name")).isin(*self.extensions))
-        size = F.coalesce(F.col("size"), F.lit(0))
-        if self.min_size is not None:
-            tests.append(size >= self.min_size)
-        if self.max_size is not None:
-            tests.append(size <= self.max_size)
-        deleted = F.coalesce(F.col("deleted"), F.lit(False))
+    def tests(self) -> list[Column]:
+        """The criteria one by one, in forms that reach the Parquet scan; a null never passes a test on it."""
+        out = []
+        if self.files_only:
+            out.append(~F.col("is_dir") | F.col("is_dir").isNull())
         if self.deleted_only:
-            tests.append(deleted)
+            out.append(F.col("deleted"))
         if self.hide_deleted:
-            tests.append(~deleted)
-        if self.files_only:
-            tests.append(~F.coalesce(F.col("is_dir"), F.lit(False)))
+            out.append(~F.col("deleted") | F.col("deleted").isNull())
+        # A missing size counts as 0.
+        if self.min_size:
+            out.append(F.col("size") >= self.min_size)
+        if self.max_size is not None:
+            out.append((F.col("size") <= self.max_size) | F.col("size").isNull())
         for kind in ("modified", "created", "accessed"):
             low, high = getattr(self, f"{kind}_after"), getattr(self, f"{kind}_before")
             if low or high:
-                tests.append(F.col(kind) != "")
+                out.append(F.col(kind) > "")
             if low:
-                tests.append(F.col(kind) >= low)
+                out.append(F.col(kind) >= low)
             if high:
-                tests.append(F.col(kind) <= high)
+                out.append(F.col(kind) <= high)
+        if self.extensions:
+            out.append(extension_of_name(F.col("name")).isin(*self.extensions))
+        if self.name:
+            out.append(F.contains(F.lower("name"), F.lit(self.name.lower())))
+        return out
+
+    def predicate(self) -> Column:
+        """The filter as one column that is true or false."""
         out = F.lit(True)
-        for t in tests:
+        for t in self.tests():
             out = out & t
         return F.coalesce(out, F.lit(False))
 
@@ -118,7 +121,10 @@ class EntryFilter:
 def filter_entries(entries: DataFrame, criteria: EntryFilter | dict) -> DataFrame:
     """Entries that meet all criteria."""
     made = criteria if isinstance(criteria, EntryFilter) else EntryFilter.clean(criteria)
-    return entries.where(made.predicate())
+    out = entries
+    for test in made.tests():
+        out = out.where(test)
+    return out
 
 
 def timeline_predicate(q: str | None = None, flagged: bool = False, start: float | None = None, end: float | None = None) -> Column:

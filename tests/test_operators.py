@@ -253,3 +253,27 @@ def test_report(spark):
     rows, told = report.capped(spark.range(10), 3)
     assert len(rows.collect()) == 3
     assert told.limit == 3
+
+
+def plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_filters_reach_the_scan(spark, entries, tmp_path):
+    entries.write.parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    told = plan(filters.filter_entries(stored, {"min_size": 5, "created_after": "2024-01-01", "hide_deleted": True}).select("name"))
+    pushed = next(x for x in told.splitlines() if "PushedFilters" in x)
+    for want in ("GreaterThanOrEqual(size,5)", "GreaterThanOrEqual(created,2024-01-01)", "Or(Not(EqualTo(deleted,true)),IsNull(deleted))"):
+        assert want in pushed or want.replace("Not(EqualTo(deleted,true))", "EqualTo(deleted,false)") in pushed
+    read = next(x for x in told.splitlines() if "ReadSchema" in x)
+    assert "path" not in read
+    assert "accessed" not in read
+
+
+def test_pages_read_by_key(spark, tmp_path):
+    df, _ = events(spark, 100)
+    df.write.parquet(str(tmp_path / "t"))
+    told = plan(timeline.page(spark.read.parquet(str(tmp_path / "t")), (500.0, "/a", "b", 1), 10))
+    assert "GreaterThanOrEqual(sort,500.0)" in told
+    assert "TakeOrderedAndProject" in told
