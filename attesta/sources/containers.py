@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_right
 from functools import lru_cache
 
+from .aff4 import Aff4
 from .bytesio import FileBytes, Joined
 
 
@@ -364,6 +365,8 @@ def open_image(path: str):
         return VmdkSparse(first)
     if head[:4] == b"QFI\xfb":
         return Qcow2(first)
+    if head[:4] == b"PK\x03\x04" and path.lower().endswith((".aff4", ".af4")):
+        return Aff4(path)
     if head[:8] == b"vhdxfile":
         return Vhdx(first)
     if head[:8] == b"conectix" or tail[:8] == b"conectix":

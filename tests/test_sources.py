@@ -680,3 +680,44 @@ def test_shim_cache_and_shellbags(spark):
     bags = hive(lambda key, value: key("ROOT", children=(key("BagMRU", children=(key("0", vals=(value("0", 3, folder),)),), vals=(value("0", 3, volume), value("MRUListEx", 3, b"\0" * 8))),)))
     got = formats.decode(files(spark, h=bags), "shellbags").collect()
     assert [(r["folder"], r["kind"]) for r in got] == [("C:\\", "volume"), ("C:\\\\USERS", "folder")]
+
+
+def test_aff4(tmp_path):
+    base, size = "aff4://1f-2", 4096
+    stream = f"{base}/stream"
+    turtle = f"""@prefix aff4: <http://aff4.org/Schema#> .
+@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+
+<{base}> a aff4:DiskImage ;
+    aff4:dataStream <aff4://1f-2/map> ;
+    aff4:size "{len(DISK)}"^^xsd:long .
+<aff4://1f-2/map> a aff4:Map ;
+    aff4:size "{len(DISK)}"^^xsd:long .
+<{stream}> a aff4:ImageStream ;
+    aff4:chunkSize "{size}"^^xsd:int ;
+    aff4:chunksInSegment "4"^^xsd:int ;
+    aff4:compressionMethod <https://www.ietf.org/rfc/rfc1950.txt> .
+"""
+    held, spans, at = b"", [], 0
+    for a in range(0, len(DISK), 10_000):
+        part = DISK[a : a + 10_000]
+        if any(part):
+            spans.append((a, len(part), len(held), 0))
+            held += part
+        else:
+            spans.append((a, len(part), 0, 1))
+    with zipfile.ZipFile(tmp_path / "d.aff4", "w") as z:
+        z.writestr("information.turtle", turtle)
+        z.writestr("aff4%3A//1f-2/map/map", b"".join(struct.pack("<QQQI", *s) for s in spans))
+        z.writestr("aff4%3A//1f-2/map/idx", f"{stream}\naff4:Zero")
+        for bevy in range(-(-len(held) // (4 * size))):
+            body, index = b"", b""
+            for c in range(4):
+                raw = held[(bevy * 4 + c) * size :][:size]
+                packed = zlib.compress(raw)
+                packed = raw if len(packed) >= size and len(raw) == size else packed
+                index += struct.pack("<QI", len(body), len(packed))
+                body += packed
+            z.writestr(f"aff4%3A//1f-2/stream/{bevy:08d}", body)
+            z.writestr(f"aff4%3A//1f-2/stream/{bevy:08d}.index", index)
+    same(containers.open_image(str(tmp_path / "d.aff4")))
