@@ -67,7 +67,7 @@ def place_keys(x: np.ndarray, hashes: int = HASHES, tables: int = TABLES, width:
 def _keyed(classes: DataFrame, hashes: int, tables: int, width: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            raw = batch.column(2).to_pylist()
+            raw = batch.column(3).to_pylist()
             keys = np.zeros((len(raw), tables), dtype=np.int32)
             for size in {len(r) for r in raw}:
                 at = [i for i, r in enumerate(raw) if len(r) == size]
@@ -75,9 +75,9 @@ def _keyed(classes: DataFrame, hashes: int, tables: int, width: float) -> DataFr
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 keys[at] = place_keys(x / np.linalg.norm(x, axis=1, keepdims=True), hashes, tables, width)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), flat], ["rep", "weight", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["digest", "rep", "weight", "vec", "keys"])
 
-    return classes.select("rep", "weight", "vec").mapInArrow(run, "rep long, weight long, vec binary, keys array<int>")
+    return classes.select("digest", "rep", "weight", "vec").mapInArrow(run, "digest binary, rep long, weight long, vec binary, keys array<int>")
 
 
 def compare_block(ids, weight, vecs, keys, side, table: int, threshold: float):
@@ -180,21 +180,22 @@ def near_duplicates(
     the smallest vec_id reachable, ``kept`` tells whether that is the vector itself.  Vectors that
     are null, empty, zero or hold a null or non-finite component link with nothing, nor do vectors
     of different lengths with one another.  A row with a null vec_id links with nothing and has a
-    null component.  Rows that repeat a vec_id count as vectors of their own.  An empty table gives
+    null component.  Rows that repeat a vec_id count as vectors of their own in the
+    links of others; where their vectors differ, each may show the links of all of them.  An empty table gives
     an empty result; other columns are ignored.
     """
     rows = _read(vectors, id_col, vector_col)
     merged = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
-    # A repeated vec_id with different vectors would make two classes of one name.
     merged = cut(merged)
     classes = cut(_keyed(merged, hashes, tables, width))
-    places = classes.select("rep", F.posexplode("keys").alias("t", "key")).withColumn("place", F.xxhash64("t", "key"))
+    # Classes meet their vectors by digest, as a vec_id that repeats may name two of them.
+    places = classes.select("digest", F.posexplode("keys").alias("t", "key")).withColumn("place", F.xxhash64("t", "key"))
     sizes = cut(places.groupBy("place").agg(F.count("*").alias("members")).where("members > 1"))
     met = places.join(sizes, "place").withColumn("chunks", F.ceil(F.col("members") / F.lit(block)).cast("int"))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("place", "t", "rep", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    blocks = met.join(classes, "rep").repartition("place", "lo", "hi").sortWithinPartitions("place", "lo", "hi", "t")
+    met = met.select("place", "t", "digest", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    blocks = met.join(classes, "digest").repartition("place", "lo", "hi").sortWithinPartitions("place", "lo", "hi", "t")
     found = cut(_compared(blocks.select("place", "lo", "hi", "t", "mine", "rep", "weight", "vec", "keys"), threshold))
     sums = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = connected_components(found.where("b is not null"))

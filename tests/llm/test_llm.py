@@ -264,6 +264,14 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 5
+    assert {r["vec_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r["vec_id"]: r["n_links"] for r in got if r["vec_id"] != 1} == {2: 1, 3: 1, 4: 0}
+
+
 def test_embedding_query_recall(spark):
     v = table(spark, SF, "embeddings").toPandas()
     u = np.stack(v["embedding"].to_numpy()).astype(np.float64)
