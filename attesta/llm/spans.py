@@ -89,8 +89,10 @@ def repeated_spans(documents: DataFrame, min_sentences: int = MIN_SENTENCES, min
     place = F.struct("id", "dig", "at")
     first = hashed.where("not own").groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     first = cut(first.select("hash", "first"))
-    late = hashed.where("not own").join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("id", "dig", "at", "size", F.col("first.id").alias("first_id"))
-    late = late.unionByName(hashed.where("own").select("id", "dig", "at", "size", F.col("id").alias("first_id")))
+    # Spans known to be no first ones take part under a key that meets nothing, so one pass of the texts gives both.
+    key = F.when(F.col("own"), F.concat("hash", F.encode(F.concat_ws("/", "dig", "at"), "UTF-8"))).otherwise(F.col("hash"))
+    met = hashed.withColumn("hash", key).join(first, "hash", "left").where(F.col("own") | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))))
+    late = met.select("id", "dig", "at", "size", F.when(F.col("own"), F.col("id")).otherwise(F.col("first.id")).alias("first_id"))
     lists = late.groupBy("id", "dig").agg(F.collect_set(F.struct("at", "size", "first_id")).alias("covers"))
 
     def merge(batches):
