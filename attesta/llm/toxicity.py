@@ -131,7 +131,10 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
     stems = F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.when(F.length("term") > k, F.concat(F.substring("term", F.lit(1), k), F.lit("*"))))
     forms = seen.groupBy("y", "term").count().select("y", "count", F.explode(F.array_compact(F.concat(F.array("term"), stems))).alias("term"))
     sums = lambda y: F.sum(F.when(F.col("y") == y, F.col("count")).otherwise(0))
-    ranked = forms.groupBy("term").agg(sums(1).alias("p"), sums(0).alias("n")).where("p >= 5").select("term", "p", "n", odds.alias("w"), (odds / spread).alias("z"))
+    # A stem that one word accounts for says no more than the word, and would match others by accident.
+    top = F.max(F.when(F.col("y") == 1, F.col("count")).otherwise(0)).alias("top")
+    told = forms.groupBy("term").agg(sums(1).alias("p"), sums(0).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("words"), top).where("p >= 5")
+    ranked = told.where(~F.endswith("term", F.lit("*")) | ((F.col("words") >= 3) & (F.col("top") <= 0.8 * F.col("p")))).select("term", "p", "n", odds.alias("w"), (odds / spread).alias("z"))
     chosen = ranked.where(f"z >= 4 and w >= {math.log(8)}").orderBy(F.desc("z"), "term").limit(terms).collect()
     weights = tuple((r["term"], min(float(r["w"]), 8.0)) for r in chosen)
     if not weights:
