@@ -95,7 +95,7 @@ class _Entries(_Reader):
     """Entries of one volume; NTFS tables are cut into ranges of records."""
 
     def _open(self):
-        return open_filesystem(open_image(self.path), int(self.options.get("offset", 0)), int(self.options["size"]) if "size" in self.options else None)
+        return open_filesystem(open_image(self.path), int(self.options.get("offset", 0)), int(self.options["size"]) if "size" in self.options else None, int(self.options.get("volume", 0)))
 
     def partitions(self):
         fs = self._open()
@@ -145,7 +145,7 @@ def with_paths(entries: DataFrame, root: str = "5", depth: int = 64) -> DataFram
         step *= 2
     full = at.select("evidence_id", "part", F.col("node").alias("parent"), F.when(F.col("up") == root, F.col("tail")).otherwise(F.concat(F.lit("/?"), "tail")).alias("_dir"))
     out = entries.drop("path").join(full, ["evidence_id", "part", "parent"], "left")
-    return out.withColumn("path", F.concat(F.coalesce("_dir", F.lit("/?")), F.lit("/"), "name")).drop("_dir")
+    return out.withColumn("path", F.concat(F.coalesce("_dir", F.when(F.col("parent") == root, ""), F.lit("/?")), F.lit("/"), "name")).drop("_dir")
 
 
 def _sqlite_rows(table: str):

@@ -721,3 +721,86 @@ def test_aff4(tmp_path):
             z.writestr(f"aff4%3A//1f-2/stream/{bevy:08d}", body)
             z.writestr(f"aff4%3A//1f-2/stream/{bevy:08d}.index", index)
     same(containers.open_image(str(tmp_path / "d.aff4")))
+
+
+def test_apfs(spark, tmp_path):
+    block = 4096
+    disk = bytearray(block * 32)
+
+    def put(n, raw):
+        disk[n * block : n * block + len(raw)] = raw
+
+    def obj(oid, xid):
+        return bytes(8) + struct.pack("<QQII", oid, xid, 0, 0)
+
+    def leaf(records, fixed, oid=1, xid=5, level=0):
+        raw = bytearray(block)
+        raw[:32] = obj(oid, xid)
+        width = 4 if fixed else 8
+        toc = width * len(records)
+        struct.pack_into("<HHIHH", raw, 32, 1 | (0 if level else 2) | (4 if fixed else 0), level, len(records), 0, toc)
+        key_at, value_at = 0, 0
+        for i, (k, v) in enumerate(records):
+            value_at += len(v)
+            raw[56 + toc + key_at : 56 + toc + key_at + len(k)] = k
+            end = block - 40 - value_at
+            raw[end : end + len(v)] = v
+            struct.pack_into("<HH" if fixed else "<HHHH", raw, 56 + width * i, *((key_at, value_at) if fixed else (key_at, len(k), value_at, len(v))))
+            key_at += len(k)
+        return bytes(raw)
+
+    def superblock(xid, omap):
+        raw = bytearray(block)
+        raw[:32] = obj(1, xid)
+        raw[32:36] = b"NXSB"
+        struct.pack_into("<IQ", raw, 36, block, 32)
+        struct.pack_into("<I", raw, 104, 2)
+        struct.pack_into("<Q", raw, 112, 1)
+        struct.pack_into("<Q", raw, 160, omap)
+        struct.pack_into("<Q", raw, 184, 1026)
+        return bytes(raw)
+
+    def omap(tree):
+        return (obj(9, 5) + struct.pack("<IIII", 0, 0, 0, 0) + struct.pack("<Q", tree)).ljust(block, b"\0")
+
+    mapped = lambda *rows: leaf([(struct.pack("<QQ", o, x), struct.pack("<IIQ", 0, block, p)) for o, x, p in rows], True)
+    put(0, superblock(3, 30))
+    put(1, superblock(5, 4))
+    put(2, superblock(4, 30))
+    put(4, omap(5))
+    put(5, mapped((1026, 4, 29), (1026, 5, 6), (1026, 9, 28)))
+    vol = bytearray(block)
+    vol[:32], vol[32:36] = obj(1026, 5), b"APSB"
+    struct.pack_into("<QQ", vol, 128, 7, 77)
+    vol[704:708] = b"Data"
+    put(6, bytes(vol))
+    put(7, omap(8))
+    put(8, mapped((77, 5, 9), (78, 5, 10)))
+
+    def inode(parent, private, mode, size=None):
+        raw = struct.pack("<QQ4Q", parent, private, *[1_704_110_400_000_000_000] * 4).ljust(80, b"\0") + struct.pack("<H", mode) + bytes(10)
+        return raw + (struct.pack("<HHBBH", 2, 0, 4, 0, 3) + struct.pack("<BBH", 8, 0, 40) + b"nm\0".ljust(8, b"\0") + struct.pack("<Q", size).ljust(40, b"\0") if size is not None else struct.pack("<HH", 0, 0))
+
+    def key(oid, kind, rest=b""):
+        return struct.pack("<Q", kind << 60 | oid) + rest
+
+    def named(text):
+        n = text.encode() + b"\0"
+        return struct.pack("<I", len(n) | 0x12345 << 10) + n
+
+    drec = lambda child: struct.pack("<QQH", child, 1_704_110_401_000_000_000, 4)
+    rows = [(key(2, 9, named("dir")), drec(20)), (key(20, 3), inode(2, 20, 0x41ED)), (key(20, 9, named("f\u00e9.bin")), drec(21)), (key(21, 3), inode(20, 21, 0x81A4, 9000)), (key(21, 8, struct.pack("<Q", 0)), struct.pack("<QQQ", 4096, 15, 0)), (key(21, 8, struct.pack("<Q", 8192)), struct.pack("<QQQ", 4096, 17, 0))]
+    put(10, leaf(rows, False))
+    put(9, leaf([(key(2, 9), struct.pack("<Q", 78))], False, level=1))
+    put(15, b"a" * block)
+    put(17, b"b" * block)
+    (tmp_path / "a.dd").write_bytes(bytes(disk))
+    formats.register(spark)
+    df = formats.with_paths(spark.read.format("evidence_entries").load(str(tmp_path / "a.dd")), root="2")
+    got = {r["path"]: r for r in df.collect()}
+    assert set(got) == {"/dir", "/dir/f\u00e9.bin"}
+    e = got["/dir/f\u00e9.bin"]
+    assert (e["size"], e["created"], e["added"]) == (9000, "2024-01-01T12:00:00.000000Z", "2024-01-01T12:00:01.000000Z")
+    fs = filesystems.open_filesystem(MemoryBytes(bytes(disk)))
+    assert fs.name == "Data"
+    assert fs.read([r.asDict() for r in e["runs"]], 9000) == b"a" * 4096 + bytes(4096) + b"b" * 808
