@@ -64,6 +64,11 @@ def from_dos(date: Column, time: Column) -> Column:
     return F.when(date != 0, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
 
 
+def at_utc(wall: Column) -> Column:
+    """A time without zone as that time in UTC, whatever the session's zone is."""
+    return F.from_utc_timestamp(wall.cast("timestamp"), F.current_timezone())
+
+
 def to_iso(ts: Column) -> Column:
     """ISO-8601 text in UTC with microseconds."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

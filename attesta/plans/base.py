@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_seconds
+from ..functions.times import at_utc, epoch_seconds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind, user = F.col("event_type"), F.col("user_id")
     return e.select(
-        F.col("event_id").alias("id"), epoch_seconds(F.col("ts").cast("timestamp")).alias("sort"), kind.alias("action"), F.concat(F.lit("user-"), user).alias("name"),
+        F.col("event_id").alias("id"), epoch_seconds(at_utc(F.col("ts"))).alias("sort"), kind.alias("action"), F.concat(F.lit("user-"), user).alias("name"),
         F.concat(F.lit("/"), kind, F.lit("/user-"), user).alias("path"), (kind == "error").alias("flagged"), (kind == "signup").alias("deleted"), user.alias("node"), (user % 5).alias("log"),
     )
 

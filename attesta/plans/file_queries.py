@@ -253,7 +253,7 @@ def string_functions(spark, d):
 
 @query("epoch_functions", "SELECT event_id, epoch_us(ts) AS filetime_us, epoch_us(date_trunc('second', ts)) AS unix_us, epoch_us(ts) AS webkit_us FROM events")
 def epoch_functions(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.unix_micros(S.at_utc(F.col("ts")))
     e = table(spark, d, "events")
     back = F.unix_micros
     return e.select(

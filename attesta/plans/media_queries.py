@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.times import at_utc
 from ..operators import carving, export, hints, registry_report, textindex
 from .base import contents, query, table
 
@@ -98,7 +99,7 @@ def registry_section_counts(spark, d):
 
 @query("column_hints", "SELECT event_id, epoch_us(date_trunc('second', ts)) AS at_us FROM events")
 def column_hints(spark, d):
-    us = F.unix_micros(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    us = F.unix_micros(F.date_trunc("second", at_utc(F.col("ts"))))
     rows = table(spark, d, "events").select("event_id", us.alias("last_visit_date"))
     return hints.decoded(rows, "moz_places").select("event_id", F.unix_micros("last_visit_date_decoded").alias("at_us"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.times import at_utc
 from ..operators import artefacts, filters
 from ..operators import timeline as T
 from .base import EV, LS, listing, query, table, timeline
@@ -136,7 +137,7 @@ def journal(spark, d):
     e = table(spark, d, "events")
     reason = F.when(F.col("event_type") == "error", "deleted").otherwise(F.col("event_type"))
     more = F.when(F.col("value") > 50, F.array(reason, F.lit("close"))).otherwise(F.array(reason))
-    return e.select(F.col("event_id").alias("usn"), F.concat(F.when(F.col("event_id") % 2 == 0, "File").otherwise("file"), F.col("user_id") % 50, F.lit(".dat")).alias("name"), (F.col("user_id") % 40).alias("mft"), F.col("ts").cast("timestamp").alias("timestamp"), more.alias("reasons"))
+    return e.select(F.col("event_id").alias("usn"), F.concat(F.when(F.col("event_id") % 2 == 0, "File").otherwise("file"), F.col("user_id") % 50, F.lit(".dat")).alias("name"), (F.col("user_id") % 40).alias("mft"), at_utc(F.col("ts")).alias("timestamp"), more.alias("reasons"))
 
 
 _J = """j AS (SELECT event_id AS usn, CASE WHEN event_id % 2 = 0 THEN 'File' ELSE 'file' END || (user_id % 50) || '.dat' AS name, user_id % 40 AS mft, epoch_us(ts) AS us,
