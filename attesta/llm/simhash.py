@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, utf8
-from .components import connected_components
+from .components import connected_components, least_labels
 
 PIVOTS = 24
 PLACE = 512
@@ -200,7 +200,8 @@ def hex16(col):
 
 # Wide fingerprints, for similarities well below equality.
 
-WORDS64, SAMPLED, WIDE_TABLES, WIDE_PIVOTS, WIDE_RADIUS = 4, 20, 96, 8, 44
+WORDS64, SAMPLED, WIDE_TABLES, WIDE_RADIUS, SIMILAR = 4, 16, 96, 60, 0.8
+BLOCK, FEW, HOT_PAIRS = 1024, 64, 256
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -230,22 +231,35 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return counts
 
 
-def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
-    """256-bit SimHash of the distinct word shingles of a UTF-8 text; no words give zeros."""
+def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a UTF-8 text; A-Z count as lower case."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * WORDS64)
+        return np.zeros(0, dtype=np.uint64)
     size = min(words, len(tokens))
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n, digest, view = len(tokens) - size + 1, xxhash.xxh3_64_intdigest, memoryview(joined)
-    h = np.unique(np.fromiter((digest(view[s:e]) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n))
+    return np.unique(np.fromiter((digest(view[s:e]) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n))
+
+
+def wide_of(h: np.ndarray) -> bytes:
+    """256-bit SimHash of a set of shingle hashes; an empty one gives zeros."""
     return b"".join(np.packbits(bit_counts(_spread(h, salt)) * 2 > len(h)).tobytes() for salt in _SALT)
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
+    """256-bit SimHash of the distinct word shingles of a UTF-8 text; no words give zeros."""
+    return wide_of(shingle_hashes(text, words))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of each row of ``a`` to each of ``b``."""
+    out = np.zeros((len(a), len(b)), dtype=np.int16)
+    for w in range(WORDS64):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
 
 
 def wide_pivots(count: int) -> np.ndarray:
@@ -261,120 +275,283 @@ def wide_places(f: np.ndarray) -> np.ndarray:
         mask = np.zeros(WORDS64, dtype=np.uint64)
         for bit in rng.choice(64 * WORDS64, SAMPLED, replace=False).tolist():
             mask[bit // 64] |= np.uint64(1 << (bit % 64))
+        used = np.flatnonzero(mask)
         total = np.full(len(f), t, dtype=np.uint64)
         for ref, m in zip(refs, mix, strict=True):
-            total += _distance(f & mask, ref & mask).astype(np.uint64) * m
+            total += np.bitwise_count((f[:, used] ^ ref[used]) & mask[used]).sum(axis=1, dtype=np.uint64) * m
         keys[t] = _spread(total, _SALT[0])
     return keys
 
 
-def wide_forest(f: np.ndarray, radius: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Links (index pairs) that join what is within ``radius``, as a forest, for any number of fingerprints.
+def _wide_values(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), WORDS64)
 
-    Each fingerprint joins the first leader within the radius or becomes one.  Two leaders' followers
-    are compared only if the leaders are within three radii and their groups are still apart, and
-    only until one link joins them; pivot coordinates discard pairs before they are compared.
-    """
-    coords = np.stack([_distance(f, p) for p in pivots], axis=1)
-    near = lambda i, js: js[(np.abs(coords[js] - coords[i]).max(axis=1) <= radius)]
-    leader, root = np.full(len(f), -1), {}
-    left, links = np.arange(len(f)), []
-    while len(left):
-        head, rest = int(left[0]), left[1:]
-        close = near(head, rest)
-        close = close[_distance(f[close], f[head]) <= radius]
-        leader[head], leader[close], root[head] = head, head, head
-        links += [(head, j) for j in close.tolist()]
-        left = rest[leader[rest] < 0]
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    heads = np.array(sorted(root), dtype=np.int64)
-    members = {h: np.flatnonzero(leader == h) for h in heads.tolist()} if len(heads) > 1 else {}
-    for at, h in enumerate(heads.tolist()):
-        others = heads[at + 1 :]
-        for g in others[_distance(f[others], f[h]) <= 3 * radius].tolist():
-            if find(h) == find(g):
-                continue
-            small, large = sorted((members[h], members[g]), key=len)
-            for i in small.tolist():
-                close = near(i, large)
-                close = close[_distance(f[close], f[i]) <= radius]
-                if len(close):
-                    links.append((i, int(close[0])))
-                    root[find(g)] = find(h)
-                    break
-    return links
 
+def _wide_keyed(nodes: DataFrame) -> DataFrame:
+    """(place, node, fp, label): a row for each of ``nodes`` (node, fp, label) and table."""
 
-def _wide_links(classes: DataFrame, radius: int) -> DataFrame:
     def key(batches):
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            f = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), WORDS64)
-            keys = wide_places(f)
-            ids = batch.column(0)
+            keys = wide_places(_wide_values(batch.column(1)))
             for t in range(WIDE_TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[t].view(np.int64)), ids, batch.column(1)], ["place", "least", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[t].view(np.int64)), *batch.columns], ["place", "node", "fp", "label"])
+
+    return nodes.select("node", "fp", "label").mapInArrow(key, "place long, node long, fp binary, label long")
+
+
+def nearest_before(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least member reachable over distances within ``radius``, nearest member before or -1, its distance)."""
+    apart = _distances(f, f)
+    near = apart <= radius
+    least = np.full(len(f), -1)
+    for start in range(len(f)):
+        if least[start] >= 0:
+            continue
+        edge, least[start] = np.array([start]), start
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & (least < 0))
+            least[edge] = start
+    apart[~near] = 1 << 14
+    apart[np.triu_indices(len(f))] = 1 << 14
+    best = apart.argmin(axis=1)
+    far = apart[np.arange(len(f)), best]
+    return least, np.where(far < 1 << 14, best, -1), far
+
+
+def _groups(batches, heads: int):
+    """Whole groups of rows that agree on the first ``heads`` columns, many to an item, from sorted batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        last = np.ones(table.num_rows, dtype=bool)
+        for c in range(heads):
+            x = table.column(c).to_numpy()
+            last &= x == x[-1]
+        at = int(last.argmax())
+        if at:
+            yield table.slice(0, at).combine_chunks()
+        held = table.slice(at)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _edges(table: pa.Table, heads: int) -> np.ndarray:
+    new = np.zeros(table.num_rows - 1, dtype=bool)
+    for c in range(heads):
+        x = table.column(c).to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate(([True], new, [True])))
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """(place, salt, node, fp, first): a place of more than two ``BLOCK`` rows has salts and names its first node."""
+    keyed = _wide_keyed(classes.withColumn("label", F.col("node"))).drop("label")
+    hot = cut(keyed.groupBy("place").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") > 2 * BLOCK))
+    dealt = keyed.join(F.broadcast(hot), "place", "left").withColumn("salt", F.pmod(F.xxhash64("place", "node"), F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))).cast("int"))
+    return dealt.select("place", "salt", "node", "fp", "first")
+
+
+def _met(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b, d) with a < b: for every node and place the nearest smaller node within ``radius``, and with
+    a null ``d`` the least node that it may be joined with there.
+
+    A place of more than two ``BLOCK`` rows is dealt to tasks by salts; all of its nodes may be joined.
+    """
 
     def link(batches):
-        pivots = wide_pivots(WIDE_PIVOTS)
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS64), np.uint64))
-
-        def linked(place, ids, f):
-            pairs = []
-            if len(place) > 1:
-                edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-                sizes = np.diff(edges)
-                coords = np.stack([_distance(f, p) for p in pivots], axis=1)
-                few = np.repeat(sizes <= 8, sizes)
-                for d in range(1, 8):
-                    i = np.flatnonzero((place[d:] == place[:-d]) & few[d:])
-                    i = i[np.abs(coords[i] - coords[i + d]).max(axis=1, initial=0) <= radius] if len(i) else i
-                    i = i[_distance(f[i], f[i + d]) <= radius]
-                    pairs.append(np.stack((ids[i], ids[i + d]), axis=1))
-                for k in np.flatnonzero(sizes > 8).tolist():
-                    s, e = edges[k], edges[k + 1]
-                    got = np.array(wide_forest(f[s:e], radius, pivots), dtype=np.int64).reshape(-1, 2) + s
-                    pairs.append(np.stack((ids[got[:, 0]], ids[got[:, 1]]), axis=1))
-            pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            f = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(raw), WORDS64)
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), f)
-            place, ids, f = (np.concatenate(x) for x in zip(held, new, strict=True))
-            cut_at = int(np.searchsorted(place == place[-1], True)) if len(place) else 0
-            yield linked(place[:cut_at], ids[:cut_at], f[:cut_at])
-            held = (place[cut_at:], ids[cut_at:], f[cut_at:])
-        yield linked(*held)
-
-    keyed = classes.select("least", "fp").mapInArrow(key, "place long, least long, fp binary")
-    # In the order of ids the tables that see a group choose the same leaders, so their links coincide.
-    return keyed.repartition("place").sortWithinPartitions("place", "least").mapInArrow(link, "a long, b long")
-
-
-def similar_documents(documents: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every document over links of similar texts.
-
-    Texts link when their 256-bit SimHashes over distinct ``words``-word shingles differ by at most
-    ``radius`` bits: 39 bits are expected at a Jaccard similarity of 0.8, and 44 take in most pairs
-    at it.  Candidates share a place in one of 96 tables, each keyed by the pivot coordinates within
-    20 sampled bits, which finds a pair at 0.8 with probability 0.97, one at 0.9 with 0.9999.  Null
-    and empty texts are alike.  Rows with a null doc_id are left out.
+        for table in _groups(batches, 2):
+            edges = _edges(table, 2)
+            sizes = np.diff(edges)
+            chosen = np.repeat(sizes > 1, sizes) | table.column("first").is_valid().to_numpy()
+            if not chosen.any():
+                continue
+            table = table.filter(pa.array(chosen))
+            edges = _edges(table, 2)
+            sizes = np.diff(edges)
+            node, f = table.column("node").to_numpy(), _wide_values(table.column("fp").combine_chunks())
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            few = np.repeat(sizes <= FEW, sizes)
+            i, j, d = [], [], []
+            for step in range(1, min(FEW, int(sizes.max(initial=1)))):
+                x = np.flatnonzero((group[step:] == group[:-step]) & few[step:])
+                far = np.bitwise_count(f[x] ^ f[x + step]).sum(axis=1, dtype=np.int64)
+                x, far = x[far <= radius], far[far <= radius]
+                i, j, d = [*i, x], [*j, x + step], [*d, far]
+            i, j, d = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (i, j, d))
+            least = np.arange(len(node))
+            if len(i):
+                at, low = least_labels(i, j)
+                least[at] = low
+                order = np.lexsort((i, d, j))
+                i, j, d = i[order], j[order], d[order]
+                first = np.concatenate(([True], j[1:] != j[:-1]))
+                i, j, d = i[first], j[first], d[first]
+            for k in np.flatnonzero(sizes > FEW).tolist():
+                s, e = edges[k], edges[k + 1]
+                low, best, far = nearest_before(f[s:e], radius)
+                least[s:e] = low + s
+                got = np.flatnonzero(best >= 0)
+                i, j, d = np.concatenate((i, best[got] + s)), np.concatenate((j, got + s)), np.concatenate((d, far[got]))
+            own = np.flatnonzero(least != np.arange(len(node)))
+            a, b = np.concatenate((node[i], node[least[own]])), np.concatenate((node[j], node[own]))
+            d = pa.array(np.concatenate((d, np.zeros(len(own), np.int64))), mask=np.arange(len(a)) >= len(i))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["a", "b", "d"])
+            hot = table.filter(table.column("first").is_valid())
+            if hot.num_rows:
+                a, b = hot.column("first").to_numpy(), hot.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b]), pa.nulls(int((a < b).sum()), pa.int64())], ["a", "b", "d"])
+
+    dealt = _dealt(classes).repartition("place", "salt").sortWithinPartitions("place", "salt", "node")
+    return dealt.mapInArrow(link, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _met_apart(nodes: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b) of nodes with different labels that share a place within ``radius``: of each the ``most`` nearest
+    in a place.  A row of nulls says that some node has more.
+
+    In a large place, blocks of all rows meet blocks of those outside its commonest label, each two as a
+    task of its own, as two of the commonest label need no link.
     """
 
+    def link(batches):
+        for table in _groups(batches, 3):
+            edges = _edges(table, 3)
+            node, label, role = (table.column(c).to_numpy() for c in ("node", "label", "role"))
+            f = _wide_values(table.column("fp").combine_chunks())
+            out, more = [], False
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (label[s:e] == label[s]).all():
+                    continue
+                p, q = np.flatnonzero(role[s:e] != 0) + s, np.flatnonzero(role[s:e] != 1) + s
+                for at in range(0, len(p), BLOCK):
+                    rows = p[at : at + BLOCK]
+                    apart = _distances(f[rows], f[q])
+                    apart[(label[rows][:, None] == label[q][None, :]) | (apart > radius)] = 1 << 14
+                    some = np.flatnonzero((apart < 1 << 14).any(axis=1))
+                    apart, rows = apart[some], rows[some]
+                    more |= bool(((apart < 1 << 14).sum(axis=1) > most).any())
+                    best = np.argsort(apart, axis=1, kind="stable")[:, :most] if len(q) > most else np.tile(np.arange(len(q)), (len(rows), 1))
+                    x, y = np.nonzero(np.take_along_axis(apart, best, axis=1) < 1 << 14)
+                    out.append(np.stack((node[rows[x]], node[q[best[x, y]]])))
+            got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            got = np.unique(np.sort(got, axis=0), axis=1)
+            a, b = (pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(int(more), pa.int64())]) for x in got)
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    keyed = _wide_keyed(nodes)
+    by_label = keyed.groupBy("place", "label").agg(F.count("*").alias("n"))
+    hot = by_label.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where(F.col("n") > 2 * BLOCK)
+    hot = cut(hot.select("place", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")))
+    met = keyed.join(F.broadcast(hot), "place", "left")
+    cell = lambda role, x, y: F.struct(F.lit(role).alias("role"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    none, every = F.array().cast("array<struct<role:int,x:int,y:int>>"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "place"), F.greatest(F.col("others"), F.lit(1)))
+    as_one = F.transform(every("others"), lambda y: cell(0, mine, y))
+    as_other = F.when(F.col("label") != F.col("major"), F.transform(every("blocks"), lambda x: cell(1, x, other))).otherwise(none)
+    cells = F.when(F.col("blocks").isNull(), F.array(cell(2, F.lit(0), F.lit(0)))).otherwise(F.concat(as_one, as_other))
+    met = met.select("place", "node", "fp", "label", F.explode(cells).alias("c")).select("place", "c.x", "c.y", "node", "fp", "label", "c.role")
+    return met.repartition("place", "x", "y").sortWithinPartitions("place", "x", "y", "node").mapInArrow(link, "a long, b long").distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the set of the node in column ``side``; nodes of many pairs are dealt over salts."""
+    other = "b" if side == "a" else "a"
+    hot = cut(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select(side, F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    right = sets.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")).join(F.broadcast(hot), side, "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [side, "salt"]).drop("salt")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar): whether the sets of two nodes have a Jaccard similarity of ``similarity`` at least."""
+    both = _with_sets(_with_sets(pairs.select("a", "b"), sets, "a"), sets, "b")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.select("a", "b", (shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared) - F.lit(1e-9)).alias("similar"))
+
+
+def _shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, d1, d2, text): a row's key is its id, null included, and two digests of its text."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2"), "text")
+
+
+_KEY = ("doc_id", "d1", "d2")
+
+
+def _on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    on = left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["d1"] == right["_d1"]) & (left["d2"] == right["_d2"])
+    return left.join(right, on, how)
+
+
+def _similar(documents: DataFrame, words: int, radius: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, d1, d2, node) and groups (node, component, _doc_id, _d1, _d2), which name the first row of a component."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, words) for t in utf8(batch.column(1))], pa.binary())], ["doc_id", "fp"])
+            nodes, fps = [], []
+            for t in utf8(batch.column(3)):
+                h = shingle_hashes(t, words)
+                nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                fps.append(wide_of(h))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())], [*_KEY, "node", "fp"])
+
+    def hashed(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                sets = [shingle_hashes(t, words).view(np.int64) for t in utf8(part.column(1))]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "hashes"])
+
+    docs = _shingled(documents, words, id_col, text_col)
+    rows = cut(docs.mapInArrow(run, "doc_id long, d1 long, d2 long, node long, fp binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), *_KEY)
+    classes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("row")))
+    met = cut(_met(classes, radius))
+    coarse = cut(connected_components(met))
+    wanted = classes.join(coarse, "node").select("node", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
+    sets = cut(_on_key(docs, wanted, "inner").select("node", "text").mapInArrow(hashed, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    # First the nearest smaller neighbour of each node, which settles most.
+    pairs = met.where("d is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
+    judged, most = cut(_judged(pairs, sets, similarity)), 4
+    while True:
+        joined = cut(connected_components(judged.where("similar")))
+        named = coarse.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label"))
+        # Then, where a component may hold several, more and more neighbours, till none is left to compare.
+        open_ = named.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component")
+        open_ = cut(named.join(open_, "component", "left_semi").select("node", "label"))
+        if open_.isEmpty():
+            break
+        near = cut(_met_apart(open_.join(classes.select("node", "fp"), "node"), radius, most))
+        more = not near.where("a is null").isEmpty()
+        fresh = cut(near.where("a is not null").join(judged, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            judged = cut(judged.unionByName(_judged(fresh, sets, similarity)))
+        if not more:
+            joined = cut(connected_components(judged.where("similar")))
+            break
+        most *= 4
+    grouped = cut(classes.join(joined, "node", "left").select("node", "row", F.coalesce("component", "node").alias("component")))
+    first = grouped.groupBy("component").agg(F.min("row").alias("row")).select("component", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
+    return rows.select(*_KEY, "node"), grouped.select("node", "component").join(first, "component")
+
+
+def similar_documents(
+    documents: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR
+) -> DataFrame:
+    """(doc_id, component_id) of every document over links of similar texts.
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    fps = cut(docs.mapInArrow(run, "doc_id long, fp binary"))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(_wide_links(classes, radius)).withColumnRenamed("node", "least")
-    named = cut(classes.join(joined, "least", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    Texts link when their sets of distinct ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` at least, which is computed from the sets themselves.  Candidates are pairs whose
+    256-bit SimHashes differ by at most ``radius`` bits (39 are expected at 0.8) and share a place in
+    one of 96 tables, each keyed by the pivot coordinates within 16 sampled bits.  A candidate pair is
+    left out only where other links have joined its ends.  Null and empty texts are alike.  Rows with
+    a null doc_id take part, but name no component and are not returned.
+    """
+    rows, groups = _similar(documents, words, radius, similarity, id_col, text_col)
+    return rows.where("doc_id is not null").join(groups.select("node", F.col("_doc_id").alias("component_id")), "node").select("doc_id", "component_id")
