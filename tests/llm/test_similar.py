@@ -61,3 +61,14 @@ def test_components_against_exact_links(spark, block, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table_of(spark, enumerate(texts))).collect()}
     assert 4 < len(set(want)) < 80
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_large_place_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(8)
+    base = rng.getrandbits(256)
+    prints = [(i, (base ^ (1 << rng.randrange(256))).to_bytes(32, "big")) for i in range(1000)]
+    classes = spark.createDataFrame(prints, "node long, fp binary")
+    sizes = simhash._dealt(classes).groupBy("place", "salt").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 100
+    assert sizes.agg({"count": "sum"}).first()[0] == 1000 * simhash.WIDE_TABLES
