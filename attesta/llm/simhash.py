@@ -555,3 +555,22 @@ def similar_documents(
     """
     rows, groups = _similar(documents, words, radius, similarity, id_col, text_col)
     return rows.where("doc_id is not null").join(groups.select("node", F.col("_doc_id").alias("component_id")), "node").select("doc_id", "component_id")
+
+
+def first_of_similar(documents: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that come first in their component: that of the smallest id, null last.
+
+    A row is known by its id and text, so rows that share an id go or stay by their own texts; of rows
+    that repeat both, one stays.
+    """
+    rows, groups = _similar(documents, words, WIDE_RADIUS, SIMILAR, id_col, text_col)
+    key = [F.col(f"_{c}") for c in _KEY]
+    first = cut(groups.where(F.col("node").isNotNull()).select(*key).distinct())
+    twice = cut(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(*_KEY))
+    whole = documents.select(F.struct(*documents.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    whole = whole.select("row", "doc_id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2"))
+    if twice.isEmpty():
+        return _on_key(whole, first, "left_semi").select("row.*")
+    on = twice["doc_id"].eqNullSafe(first["_doc_id"]) & (twice["d1"] == first["_d1"]) & (twice["d2"] == first["_d2"])
+    once, again = cut(first.join(twice, on, "left_anti")), cut(first.join(twice, on, "left_semi"))
+    return _on_key(whole, once, "left_semi").select("row.*").unionByName(_on_key(whole, again, "left_semi").dropDuplicates(list(_KEY)).select("row.*"))

@@ -26,9 +26,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps one document, that of the smallest doc_id, of each group of similar texts."""
-    first = simhash.similar_documents(docs, words=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document, that of the smallest doc_id, of each group of similar texts; a null doc_id comes last."""
+    return simhash.first_of_similar(docs, words=5).select(*docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import Row
 
+import corpus_pipeline
 from attesta.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,6 +64,19 @@ def test_components_against_exact_links(spark, block, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def near_dedup(spark, rows):
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, table_of(spark, rows), None).collect()), key=str)
+
+
+def test_rows_without_id_and_with_repeated_ids(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, d), (3, c), (3, d), (4, e), (4, e)]
+    # Copies of texts with an id go, one row without id stays for its own text, and id 3 keeps one of its texts only.
+    assert near_dedup(spark, rows) == sorted([(1, a), (None, b), (3, c), (2, d), (4, e)], key=str)
+    assert near_dedup(spark, []) == []
+
+
 def test_a_large_place_is_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 40)
     rng = random.Random(8)
