@@ -117,11 +117,11 @@ _ASCII = re.compile(rb"[\t\x20-\x7e]{4,}")
 _WIDE = re.compile(rb"(?:[\t\x20-\x7e]\x00){4,}")
 
 
-def extract(data: bytes, cap: int = 256 * 1024) -> str:
+def extract(data: bytes) -> str:
     """Readable runs of four or more characters in bytes: ASCII, and UTF-16LE at either alignment."""
     runs = [(m.start(), m[0].decode("ascii")) for m in _ASCII.finditer(data)]
     runs += [(m.start(), m[0].decode("utf-16-le")) for m in _WIDE.finditer(data)]
-    return " ".join(" ".join(t for _, t in sorted(runs)).split())[:cap]
+    return " ".join(" ".join(t for _, t in sorted(runs)).split())
 
 
 @F.arrow_udf(T.StringType())
