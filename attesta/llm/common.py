@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower
 from ..operators.scratch import cut, shared_dir
 
-__all__ = ["ascii_lower", "cut", "parallelism", "shared_dir", "table", "utf8"]
+__all__ = ["ascii_lower", "beside", "cut", "parallelism", "shared_dir", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast into a join where it is counted at ``most`` rows or fewer, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

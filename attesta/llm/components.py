@@ -2,10 +2,10 @@
 
 Alternating large-star and small-star passes (Kiveris et al., 2014).  Each pass is one
 pre-aggregated minimum per node and one join; a hot centre is dealt over salts, so neither
-stage holds all links of a node in one task.  Passes end when the link table stops changing.
-
-Passes over few links cost more in scheduling than in work.  A table counted at ``LOCAL`` links or
-fewer, 8 MB at most, is therefore finished by a single task; the result is the same.
+stage holds all links of a node in one task.  Before each pass every task replaces the links that
+it holds, ``CHUNK`` at a time, by stars around the smallest nodes they reach, which takes long
+chains out in a few passes.  Passes end when every node has a single link, to a node that has none.
+The same passes run at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SALTS, LOCAL = 16, 500_000
+SALTS, CHUNK = 16, 1 << 20
 
 
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +39,28 @@ def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = least
 
 
-def _finished(edges: DataFrame) -> DataFrame:
-    """Components of a table of at most ``LOCAL`` links, in one task."""
+def _stars(links: DataFrame) -> DataFrame:
+    """(u, v) with the components of ``links``: what a task holds, as stars."""
 
     def run(batches):
-        held = list(batches)
-        u, v = (np.concatenate([b.column(i).to_numpy() for b in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
-        nodes, least = least_labels(u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(least.astype(np.int64))], ["node", "component"])
+        held, n = [], 0
+
+        def flush():
+            u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            nodes, least = least_labels(u, v)
+            far = nodes != least
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(least[far])], ["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
 
-    return edges.repartition(1).mapInArrow(run, "node long, component long")
+    return links.mapInArrow(run, "u long, v long")
 
 
 def _to_minimum(links: DataFrame) -> DataFrame:
@@ -58,6 +70,13 @@ def _to_minimum(links: DataFrame) -> DataFrame:
     return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link only, and that to a node that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))).alias("e")).select("e.*")
+    by_node = ends.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull()).alias("root"))
+    return by_node.where("lo < hi or (root and lo is not null)").isEmpty()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is the smallest node reachable.
 
@@ -65,19 +84,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     with a null links nothing).  An empty table gives an empty result.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct()
-    edges, before = cut(edges), None
-    if edges.count() <= LOCAL:
-        return _finished(edges.select("u", "v"))
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_minimum(both).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
+    edges = cut(_stars(edges).distinct())
+    while not _settled(edges):
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = _to_minimum(both).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _to_minimum(large)
-        small = small.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        small = small.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = cut(_stars(small).distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -3,17 +3,16 @@
 Every distinct fingerprint gets a table of Hamming distances to many reference fingerprints
 (pivots), kept apart for each of a few bit segments.  A distance is a sum over segments, so
 
-* two fingerprints that agree on a set of segments have equal pivot coordinates there.  With
-  ``segments = radius + 2`` any two within ``radius`` agree on two segments at least, and the
-  coordinates of each pair of segments make the key under which candidates meet;
+* two fingerprints that agree on a set of segments have equal pivot coordinates there.  Of
+  ``segments`` any two within ``radius`` agree on ``segments - radius`` at least, and the
+  coordinates of each choice of so many make the key under which candidates meet;
 * by the triangle inequality a pair whose whole coordinates differ by more than ``radius`` for any
   pivot is too far, and is discarded before its fingerprints are compared.
 
 Survivors are verified on the fingerprints.  A meeting place yields a spanning forest of its links,
-never all of its pairs.  A place with more than ``PLACE`` fingerprints is not compared pairwise: its
-fingerprints meet instead at every value within half the radius, which for a radius of 2 or less
-finds the same links (whatever meets there is within the radius, and whatever is within the radius
-meets there) with at most 65 fingerprints to a value.
+never all of its pairs.  What meets in a place of more than ``PLACE`` fingerprints meets again under
+the keys of more and shorter segments; with the last, 16 of 4 bits, all but ``radius`` segments
+agree in a place, so it holds 256 fingerprints at most and is swept like any other.
 """
 
 from __future__ import annotations
@@ -26,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import beside, cut, utf8
 from .components import connected_components, least_labels
 
 PIVOTS = 24
-PLACE = 512
+PLACE, LEVELS = 512, (4, 8, 16)
 SEED = 42
 _CHUNK = 1 << 16
 
@@ -153,24 +152,20 @@ def near_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     within ``radius`` bits.  ``radius`` is 0, 1 or 2."""
     if radius not in (0, 1, 2):
         raise ValueError("radius must be 0, 1 or 2")
-    segments = radius + 2
-    keyed = cut(_keyed(fps.distinct(), radius, segments))
-    sizes = keyed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    # A place's members are gathered only where at most PLACE of them meet.
-    small = keyed.join(sizes.where(f"n <= {PLACE}").select("place"), "place").groupBy("place").agg(F.collect_list("fp").alias("fps"))
-    links = _links_in_places(small.select("fps"), radius)
-    large = keyed.join(sizes.where(f"n > {PLACE}").select("place"), "place").select("fp").distinct()
-    reach = [0, *(1 << i for i in range(64))] if radius else [0]
-    values = F.array(*(F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in reach))
-    if radius == 1:  # meets at the value itself and at each neighbour; both ends within 1 of each other only if one is the value
-        met = large.select("fp", F.explode(F.transform(values, lambda x: F.col("fp").bitwiseXOR(x))).alias("at"))
-        other = large.select(F.col("fp").alias("at"))
-        exact = met.join(other, "at").where("fp != at").select(F.col("fp").alias("a"), F.col("at").alias("b"))
-    else:
-        met = large.select("fp", F.explode(F.transform(values, lambda x: F.col("fp").bitwiseXOR(x))).alias("at"))
-        at = met.groupBy("at").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-        exact = at.select("a", F.explode("all").alias("b")).where("a != b").distinct()
-    return links.unionByName(exact)
+    links, left = None, fps.select("fp").distinct()
+    for segments in LEVELS:
+        keyed = cut(_keyed(left, radius, segments))
+        sizes = keyed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+        last = segments == LEVELS[-1]
+        # A place's members are gathered only where it is known how many meet.
+        small = keyed.join((sizes if last else sizes.where(f"n <= {PLACE}")).select("place"), "place").groupBy("place").agg(F.collect_list("fp").alias("fps"))
+        found = _links_in_places(small.select("fps"), radius)
+        links = found if links is None else links.unionByName(found)
+        if last:
+            return links
+        left = cut(keyed.join(sizes.where(f"n > {PLACE}").select("place"), "place").select("fp").distinct())
+        if left.isEmpty():
+            return links
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +196,7 @@ def hex16(col):
 # Wide fingerprints, for similarities well below equality.
 
 WORDS64, SAMPLED, WIDE_TABLES, WIDE_RADIUS, SIMILAR = 4, 16, 96, 60, 0.8
-BLOCK, FEW, HOT_PAIRS = 1024, 64, 256
+BLOCK, FEW, NEAREST = 1024, 64, 16
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -350,7 +345,7 @@ def _dealt(classes: DataFrame) -> DataFrame:
     """(place, salt, node, fp, first): a place of more than two ``BLOCK`` rows has salts and names its first node."""
     keyed = _wide_keyed(classes.withColumn("label", F.col("node"))).drop("label")
     hot = cut(keyed.groupBy("place").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") > 2 * BLOCK))
-    dealt = keyed.join(F.broadcast(hot), "place", "left").withColumn("salt", F.pmod(F.xxhash64("place", "node"), F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))).cast("int"))
+    dealt = keyed.join(beside(hot), "place", "left").withColumn("salt", F.pmod(F.xxhash64("place", "node"), F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))).cast("int"))
     return dealt.select("place", "salt", "node", "fp", "first")
 
 
@@ -445,7 +440,7 @@ def _met_apart(nodes: DataFrame, radius: int, most: int) -> DataFrame:
     by_label = keyed.groupBy("place", "label").agg(F.count("*").alias("n"))
     hot = by_label.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where(F.col("n") > 2 * BLOCK)
     hot = cut(hot.select("place", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")))
-    met = keyed.join(F.broadcast(hot), "place", "left")
+    met = keyed.join(beside(hot), "place", "left")
     cell = lambda role, x, y: F.struct(F.lit(role).alias("role"), x.cast("int").alias("x"), y.cast("int").alias("y"))
     none, every = F.array().cast("array<struct<role:int,x:int,y:int>>"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "place"), F.greatest(F.col("others"), F.lit(1)))
@@ -456,24 +451,29 @@ def _met_apart(nodes: DataFrame, radius: int, most: int) -> DataFrame:
     return met.repartition("place", "x", "y").sortWithinPartitions("place", "x", "y", "node").mapInArrow(link, "a long, b long").distinct()
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the set of the node in column ``side``; nodes of many pairs are dealt over salts."""
-    other = "b" if side == "a" else "a"
-    hot = cut(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select(side, F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
-    right = sets.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")).join(F.broadcast(hot), side, "left")
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return left.join(right, [side, "salt"]).drop("salt")
-
-
 def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similar): whether the sets of two nodes have a Jaccard similarity of ``similarity`` at least."""
-    both = _with_sets(_with_sets(pairs.select("a", "b"), sets, "a"), sets, "b")
+    """(a, b, similar): whether the sets of two nodes have a Jaccard similarity of ``similarity`` at least.
+
+    Only the set of ``b`` travels with a pair; a node of many pairs is split by the adaptive skew join.
+    """
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set"))
+    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.select("a", "b", (shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared) - F.lit(1e-9)).alias("similar"))
 
 
+def _apart(met: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, label) of all nodes under a label that some link of ``met`` leaves.
+
+    The links of a place join all that may be joined there, so two nodes of a place that stand under
+    different labels are both among these.
+    """
+    of = lambda side: named.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    crossing = met.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("a_label != b_label")
+    labels = crossing.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
+    return named.join(labels, "label", "left_semi").select("node", "label")
+
+
 def _shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, d1, d2, text): a row's key is its id, null included, and two digests of its text."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -513,29 +513,26 @@ def _similar(documents: DataFrame, words: int, radius: int, similarity: float, i
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), *_KEY)
     classes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("row")))
     met = cut(_met(classes, radius))
-    coarse = cut(connected_components(met))
-    wanted = classes.join(coarse, "node").select("node", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
+    ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.join(ends, "node").select("node", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
     sets = cut(_on_key(docs, wanted, "inner").select("node", "text").mapInArrow(hashed, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
     # First the nearest smaller neighbour of each node, which settles most.
     pairs = met.where("d is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
-    judged, most = cut(_judged(pairs, sets, similarity)), 4
+    judged, most = cut(_judged(pairs, sets, similarity)), NEAREST
     while True:
         joined = cut(connected_components(judged.where("similar")))
-        named = coarse.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label"))
-        # Then, where a component may hold several, more and more neighbours, till none is left to compare.
-        open_ = named.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component")
-        open_ = cut(named.join(open_, "component", "left_semi").select("node", "label"))
-        if open_.isEmpty():
+        named = sets.select("node").join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        # Then, where candidates still stand under several labels, more and more neighbours, till none is left to compare.
+        left = cut(_apart(met, named))
+        if left.isEmpty():
             break
-        near = cut(_met_apart(open_.join(classes.select("node", "fp"), "node"), radius, most))
-        more = not near.where("a is null").isEmpty()
-        fresh = cut(near.where("a is not null").join(judged, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            judged = cut(judged.unionByName(_judged(fresh, sets, similarity)))
-        if not more:
+        near = cut(_met_apart(left.join(classes.select("node", "fp"), "node"), radius, most))
+        fresh = cut(_judged(near.where("a is not null").join(judged, ["a", "b"], "left_anti"), sets, similarity))
+        judged = judged.unionByName(fresh)
+        if near.where("a is null").isEmpty():
             joined = cut(connected_components(judged.where("similar")))
             break
-        most *= 4
+        most *= 8
     grouped = cut(classes.join(joined, "node", "left").select("node", "row", F.coalesce("component", "node").alias("component")))
     first = grouped.groupBy("component").agg(F.min("row").alias("row")).select("component", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
     return rows.select(*_KEY, "node"), grouped.select("node", "component").join(first, "component")

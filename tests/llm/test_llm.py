@@ -38,9 +38,9 @@ def test_shared_dir_is_the_sessions(spark):
 # Components
 
 
-@pytest.mark.parametrize("local", [500_000, -1])
-def test_components_of_chains_and_stars(spark, local, monkeypatch):
-    monkeypatch.setattr(components, "LOCAL", local)
+@pytest.mark.parametrize("chunk", [1 << 20, 8])
+def test_components_of_chains_and_stars(spark, chunk, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(500 + rng.randrange(80), 500 + rng.randrange(80)) for _ in range(60)] + [(7, None), (9000, 9000)]
     root = {}
