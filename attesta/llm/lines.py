@@ -1,91 +1,114 @@
-"""Line dedup by suffixes of line-ID sequences, in DataFrame functions only.
-
-A document is a sequence of line IDs (128-bit digests of its lines that are not blank).  Suffixes are
-named by prefix doubling: the name of the 2h lines from a position is made of the names of the h
-lines there and h lines on, so ``log2(min_lines)`` rounds give suffixes of equal names exactly where
-their first ``min_lines`` lines are equal.  Those are the intervals of the suffix array whose
-longest common prefix reaches ``min_lines``; deeper intervals lie inside them and delete nothing
-more, so suffixes are told apart no deeper.  The earliest suffix of an interval is its first copy,
-all others are later copies, and adjoining later copies make up a maximal repeated run.
-
-Rounds work on each document's own array and shuffle nothing.  One pre-aggregated exchange of names
-finds the intervals, one join against those with more than one suffix marks later copies; hot names
-are split by the adaptive skew join.
+"""Line dedup by a suffix array over line-ID sequences, in DataFrame functions only.
+
+A document is a sequence of line IDs (128-bit digests of its lines that are not blank), and a suffix
+is what follows from one of its lines.  Suffixes are ranked by distributed prefix doubling.  Ranks by
+one line come from a sort of the distinct lines; ranks by 2h lines come from a sort of the distinct
+pairs (rank by h lines here, rank by h lines h further on), so each round compares twice as many
+lines by one exchange of pairs.  The suffixes of one rank are an interval of the suffix array whose
+longest common prefix is h lines at least.  A suffix that is alone in its rank repeats nothing any
+longer and leaves the doubling, so rounds shrink fast and end when all are told apart, or at
+``max_lines``.
+
+The earliest suffix of an interval is its first copy, all others are later copies, and the lines that
+later copies of ``min_lines`` or more cover are deleted.  Ranks are found by pre-aggregated groups and
+a range-partitioned sort; suffixes join the ranks that occur more than once, and hot ranks are split
+by the adaptive skew join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_LINES = 2
+MIN_LINES, MAX_LINES = 2, 32
+_PLACE = ("id", "dig", "at")
 
 
 def _digest(col):
     return F.unhex(F.md5(col))
 
 
-def _doubled(left, step: int):
-    return F.transform(left, lambda x, i: _digest(F.concat(x, F.get("names", i + step))))
-
-
-def _named(documents: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, dig, at, name): the name of each run of ``min_lines`` lines that are not blank."""
+def _suffixes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dig, at, line): a suffix for each line that is not blank, by the digest of that line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = documents.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("dig", F.md5("text"))
+    docs = documents.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("dig", _digest("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
-    names = docs.select("id", "dig", F.transform(lines, lambda x: _digest(x.cast("binary"))).alias("names"))
-    h = 1
-    while h < min_lines:
-        step = min(h, min_lines - h)
-        left = F.slice("names", F.lit(1), F.greatest(F.size("names") - step, F.lit(0)))
-        names = names.select("id", "dig", _doubled(left, step).alias("names"))
-        h += step
     # The outer form: the plain one adds a filter on the array's size, for which the optimiser repeats
-    # the whole expression of ``names`` below, once more for each element.
-    return names.select("id", "dig", F.posexplode_outer("names").alias("at", "name")).where("name is not null")
+    # the whole expression of the array below.
+    return docs.select("id", "dig", F.posexplode_outer(F.transform(lines, lambda x: _digest(x.cast("binary")))).alias("at", "line")).where("line is not null")
 
 
-def later_copies(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dig, at, first_id): starts of runs of ``min_lines`` lines that stand earlier as well.
+def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
+    """(id, dig, at, rank, first): suffixes that share the columns ``by`` with others.
+
+    ``rank`` is the same for equal ones and grows with them, ``first`` is the place of the earliest.
+    """
+    place = F.struct(*_PLACE)
+    groups = suffixes.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    ranks = cut(groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
+    return cut(suffixes.join(ranks, by).select(*_PLACE, "rank", "first"))
 
-    ``at`` counts lines that are not blank, ``dig`` is the MD5 of the text.  Earlier is by id, then
-    by ``dig``, then by line.
+
+def intervals(documents: DataFrame, min_lines: int = MIN_LINES, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dig, at, rank, first, lines): the intervals of the suffix array by common prefixes.
+
+    Each row is a suffix in an interval of two or more whose first ``lines`` lines are equal, for
+    ``lines`` of ``min_lines``, twice, four times as many, and so on to ``max_lines``.  ``first`` is the place
+    (id, dig, at) of the earliest suffix of the interval, by id, then by ``dig``, then by line.
+    """
+    known, h, found = _ranked(_suffixes(documents, id_col, text_col), ["line"]), 1, None
+    while True:
+        if h >= min_lines:
+            level = known.withColumn("lines", F.lit(h))
+            found = level if found is None else found.unionByName(level)
+        if h >= max(min_lines, max_lines) or known.isEmpty():
+            return known.withColumn("lines", F.lit(h)).limit(0) if found is None else found
+        step = min(h, (min_lines if h < min_lines else max_lines) - h)
+        ahead = Window.partitionBy("id", "dig").orderBy("at").rangeBetween(step, step)
+        pairs = known.select(*_PLACE, F.col("rank").alias("here"), F.first("rank").over(ahead).alias("next")).where("next is not null")
+        known, h = _ranked(pairs, ["here", "next"]), h + step
+
+
+def later_copies(documents: DataFrame, min_lines: int = MIN_LINES, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dig, at, lines, first_id): runs of ``lines`` lines from line ``at`` that stand earlier as well.
+
+    ``at`` counts lines that are not blank, ``dig`` is the MD5 of the text.  Of a place the longest run
+    that the doubling came upon is given.
     """
-    named = _named(documents, min_lines, id_col, text_col)
-    place = F.struct("id", "dig", "at")
-    first = cut(named.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first"))
-    return named.join(first, "name").where(~place.eqNullSafe(F.col("first"))).select("id", "dig", "at", F.col("first.id").alias("first_id"))
+    late = intervals(documents, min_lines, max_lines, id_col, text_col).where(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
+    return late.groupBy(*_PLACE).agg(F.max(F.struct("lines", F.col("first.id").alias("first_id"))).alias("run")).select(*_PLACE, "run.lines", "run.first_id")
 
 
-def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal runs of later copies: id, dig, start, n_lines (lines that are not blank)."""
-    starts = later_copies(documents, min_lines, id_col, text_col).groupBy("id", "dig").agg(F.array_sort(F.collect_set("at")).alias("s"))
-    opening = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1) < x - min_lines))
-    closing = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + min_lines))
-    run = F.explode(F.transform(opening, lambda a, i: F.struct(a.alias("a"), F.get(closing, i).alias("b"))))
-    return starts.select("id", "dig", run.alias("r")).select("id", "dig", F.col("r.a").alias("start"), (F.col("r.b") + min_lines - F.col("r.a")).alias("n_lines"))
+    late = later_copies(documents, min_lines, max_lines, id_col, text_col)
+    before = Window.partitionBy("id", "dig").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    opened = late.withColumn("opens", F.coalesce(F.max(F.col("at") + F.col("lines")).over(before) < F.col("at"), F.lit(True)))
+    run = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("id", "dig").orderBy("at")).alias("run")
+    runs = opened.select("id", "dig", "at", "lines", run).groupBy("id", "dig", "run").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("lines")).alias("end"))
+    return runs.select("id", "dig", "start", (F.col("end") - F.col("start")).alias("n_lines"))
 
 
-def dedup_lines(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", max_lines: int = MAX_LINES) -> DataFrame:
     """``documents`` without later copies of runs of ``min_lines`` or more lines, plus n_lines and n_removed.
 
     Lines are parted by ``\\n`` and equal as bytes; blank lines (white space only) belong to no run
     and stay.  The first copy, by id, then by the MD5 of the text, then by line, is kept.  A text all
     of whose lines go becomes empty; null stays null with 0 lines, and an empty text has one line.
-    Rows equal in id and text count as one document and come out alike.  Columns of ``documents``
+    ``max_lines`` bounds the doubling and changes nothing in what goes, as the lines of a longer run are
+    covered by shorter ones.  Rows equal in id and text count as one document and come out alike.  Columns of ``documents``
     named n_lines or n_removed are replaced, all others kept.  An empty table gives an empty result.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
-    gone = later_copies(documents, min_lines, id_col, text_col).groupBy("id", "dig").agg(F.collect_set("at").alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    gone = later_copies(documents, min_lines, max_lines, id_col, text_col).groupBy("id", "dig").agg(F.collect_list(F.struct("at", "lines")).alias("runs"))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["lines"] - 1))))
     gone = gone.select(F.col("id").alias("_ld_id"), F.col("dig").alias("_ld_dig"), covered.alias("_ld_gone"))
     docs = documents.drop("n_lines", "n_removed")
     text = F.col(text_col).cast("string")
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("_ld_dig")), "left")
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (_digest(F.coalesce(text, F.lit(""))) == F.col("_ld_dig")), "left")
     joined = joined.withColumn("_ld_lines", F.split(text, "\n", -1)).withColumn("_ld_gone", F.coalesce("_ld_gone", F.array().cast("array<int>")))
     every = F.sequence(F.lit(0), F.size("_ld_lines") - 1)
     # Positions among lines that are not blank, as positions among all.
