@@ -1,9 +1,14 @@
 """Substring dedup over sliding spans of sentences.
 
-From every sentence runs the shortest span of at least ``MIN_SENTENCES`` consecutive sentences with
-at least ``MIN_WORDS`` words.  Spans are hashed to 128 bits over their words with case and spacing
-folded, hashes are joined over all documents, and the sentences that any span but the first of its
-hash covers are removed.
+A sentence ends at a closing mark before white space, at the end of a line, and at a comma, semicolon
+or colon before white space as well.  So a passage that was set into running text has sentences of
+its own from its first mark to its last, whatever stands around it; capitals tell nothing.  From
+every sentence runs the shortest span of at least ``MIN_SENTENCES`` consecutive sentences with at
+least ``MIN_WORDS`` words; any longer run is a union of such spans.  Spans are hashed to 128 bits over
+their words with case and spacing folded, hashes are joined over all documents, and the sentences
+that any span but the first of its hash covers are removed.
+
+A run of fewer than ``MIN_WORDS`` words stays, as two short sentences often agree by chance.
 
 A document names each hash once; what it repeats of its own is known to be no first span without an
 exchange.  The minimum for each hash is pre-aggregated, and spans meet only the hashes that stand
@@ -22,10 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, utf8
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
-# A sentence ends at a line's end, after closing marks, and before a capital that follows a small letter,
-# digit or comma, as where a passage was set into running text.
-_BREAK = re.compile(r"\n\s*|(?<=[.!?…])[ \t\r\f\v]+|(?<=[a-z0-9ß-öø-ÿа-яα-ω,;:])[ \t]+(?=[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω])|(?<=[。！？])")
+MIN_SENTENCES, MIN_WORDS = 2, 12
+_BREAK = re.compile(r"\n\s*|(?<=[.!?…,;:])[\"'”’“»«)\]]*\s+|(?<=[。！？，；：])")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -42,13 +45,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     """(hash, first sentence, sentences) of the span from each sentence that has one."""
-    bounds = sentences(text)
-    words = [text[a:b].lower().split() for a, b in bounds]
+    words = [w for part in _BREAK.split(text.lower()) if (w := part.split())]
     folded = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
     total = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
-    n = len(bounds)
+    n, digest = len(words), xxhash.xxh3_128_digest
     ends = np.maximum(np.searchsorted(total, total[:-1] + min_words, side="left"), np.arange(n) + min_sentences)
-    return [(xxhash.xxh3_128_digest(b" ".join(folded[i:j])), i, j - i) for i, j in enumerate(ends.tolist()) if j <= n]
+    return [(digest(b" ".join(folded[i:j])), i, j - i) for i, j in enumerate(ends.tolist()) if j <= n]
 
 
 def _own(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,21 +61,21 @@ def _own(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _hashed(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            hashes, ids, digs, starts, sizes, own = [], [], [], [], [], []
+            hashes, ids, digs, at, own = [], [], [], [], []
             for doc_id, dig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 seen = set()
                 for h, i, n in spans(text.decode("utf-8", "replace"), min_sentences, min_words):
                     hashes.append(h)
                     ids.append(doc_id)
                     digs.append(dig)
-                    starts.append(i)
-                    sizes.append(n)
+                    at.append(i << 24 | n)
                     own.append(h in seen)
                     seen.add(h)
-            arrays = [pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(digs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(own, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["hash", "id", "dig", "at", "size", "own"])
+            halves = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            arrays = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(digs, pa.int64()), pa.array(at, pa.int64()), pa.array(own, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "id", "dig", "at", "own"])
 
-    return docs.mapInArrow(run, "hash binary, id long, dig long, at int, size int, own boolean")
+    return docs.mapInArrow(run, "h1 long, h2 long, id long, dig long, at long, own boolean")
 
 
 def repeated_spans(documents: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,14 +87,15 @@ def repeated_spans(documents: DataFrame, min_sentences: int = MIN_SENTENCES, min
     ignored.
     """
     docs = _own(documents, id_col, text_col)
+    # A span's first sentence and its length are one number, ``at``, which orders as they do.
     hashed = _hashed(docs, min_sentences, min_words)
     place = F.struct("id", "dig", "at")
-    first = hashed.where("not own").groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    first = cut(first.select("hash", "first"))
+    first = hashed.where("not own").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select("h1", "h2", "first"))
     # Spans known to be no first ones take part under a key that meets nothing, so one pass of the texts gives both.
-    key = F.when(F.col("own"), F.concat("hash", F.encode(F.concat_ws("/", "dig", "at"), "UTF-8"))).otherwise(F.col("hash"))
-    met = hashed.withColumn("hash", key).join(first, "hash", "left").where(F.col("own") | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))))
-    late = met.select("id", "dig", "at", "size", F.when(F.col("own"), F.col("id")).otherwise(F.col("first.id")).alias("first_id"))
+    key = F.when(F.col("own"), F.xxhash64("h1", "dig", "at")).otherwise(F.col("h1"))
+    met = hashed.withColumn("h1", key).join(first, ["h1", "h2"], "left").where(F.col("own") | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))))
+    late = met.select("id", "dig", F.shiftright("at", 24).alias("at"), (F.col("at") % (1 << 24)).alias("size"), F.when(F.col("own"), F.col("id")).otherwise(F.col("first.id")).alias("first_id"))
     lists = late.groupBy("id", "dig").agg(F.collect_set(F.struct("at", "size", "first_id")).alias("covers"))
 
     def merge(batches):

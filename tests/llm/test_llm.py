@@ -343,15 +343,62 @@ def test_folding_and_exceptions():
 # 7 Sentence spans
 
 
-def brute_spans(docs):
+def brute_sentences(text):
+    """Sentences as lists of words, found character by character."""
+    found, said, i = [], "", 0
+    while i < len(text):
+        said += text[i]
+        j = i + 1
+        while text[i] in ".!?…,;:" and j < len(text) and text[j] in "\"'”’“»«)]":
+            j += 1
+        if text[i] == "\n" or text[i] in "。！？，；：" or (text[i] in ".!?…,;:" and j < len(text) and text[j].isspace()):
+            found.append(said)
+            said = ""
+            i = j if text[i] in ".!?…,;:" else i + 1
+        else:
+            i += 1
+    return [s.lower().split() for s in [*found, said] if s.split()]
+
+
+def brute_spans(docs, k=2, least=12):
+    """Sentences of each document that lie in a run of ``k`` sentences and ``least`` words which stands before."""
     first, gone = {}, defaultdict(set)
     for d, t in docs:
-        for h, i, n in spans.spans(t):
-            if first.setdefault(h, (d, i)) != (d, i):
-                gone[d].update(range(i, i + n))
+        said = brute_sentences(t)
+        for i in range(len(said)):
+            for j in range(i + k, len(said) + 1):
+                run = tuple(w for s in said[i:j] for w in s)
+                if len(run) >= least:
+                    if first.setdefault(run, (d, i)) != (d, i):
+                        gone[d].update(range(i, j))
+                    break
     return gone
 
 
+GERMAN = "Morgen sah der alte Mann aus dem Haus in der Gasse, und die Katze lief ihm nach. Er rief: »Komm her!« Doch sie blieb stehen. Am Abend kam er wieder; die Tür war zu, das Licht war aus."
+ENGLISH = "Yesterday the president met Angela Merkel in Berlin and I spoke to them. Later, over tea, we agreed. The minutes (all 12 pages) went out on Monday; nobody replied to Mr. Smith by Friday."
+
+
+def test_sentences_of_two_languages():
+    assert brute_sentences("Er rief: »Komm her!« Doch sie blieb.") == [["er", "rief:"], ["»komm", "her!"], ["doch", "sie", "blieb."]]
+    for text in (GERMAN, ENGLISH, "a\n\n b. \tc", "一。二！三", "x,y 3.5 km. z", ""):
+        assert [text[a:b].lower().split() for a, b in spans.sentences(text)] == brute_sentences(text)
+    assert [" ".join(s) for s in brute_sentences(ENGLISH)][0] == "yesterday the president met angela merkel in berlin and i spoke to them."
+
+
+def test_spans_set_into_running_text(spark):
+    texts = [GERMAN, f"Vorher stand hier noch etwas {GERMAN} und so weiter", ENGLISH, f"we heard that {ENGLISH[10:]} and left", "Gut. Ja. Nein.", "Gut. Ja. Nein."]
+    got = {r["doc_id"]: r["text"] for r in spans.dedup_spans(docs_of(spark, texts)).collect()}
+    want = brute_spans(list(enumerate(texts)))
+    for d, t in enumerate(texts):
+        left = [w for i, s in enumerate(brute_sentences(t)) if i not in want[d] for w in s]
+        bare = lambda said: re.sub("[«»]", "", said).split()
+        assert bare(got[d].lower()) == bare(" ".join(left))
+    assert "Katze" not in got[1] and got[1].startswith("Vorher stand hier noch etwas Morgen sah der alte Mann")
+    assert got[4] == got[5] == "Gut. Ja. Nein."
+    assert "agreed" not in got[3]
+
+
 def test_spans_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("aeiklmnorst") for _ in range(rng.randrange(2, 7)))
