@@ -1,15 +1,17 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact shingle similarity.
 
-A window as long as a benchmark item can be similar enough only if it shares shingles with the item,
-and a shared shingle tells where the window lies.  So every shingle of every document is looked up
-among the items' shingles, and each hit places one window of the item's size.  Windows get a SimHash
-of their weighted shingles.  An index cuts fingerprints into blocks: two within the radius differ by
-``RADIUS // BLOCKS`` bits at most in some block, so probing each block's values that near returns all
-item fingerprints within the radius.  Those are verified by the weighted Jaccard similarity of the
-shingles themselves: weights count repeats, and a shingle of many items weighs less.
-
-Items come to the tasks in blocks of at most ``ITEMS`` items, so what a task holds is bounded
-whatever the size of the benchmark; every block is held against all documents.
+Windows as long as the benchmark items slide over each document, one word at a time, and get a SimHash
+of their weighted shingles.  An index for each item length cuts fingerprints into blocks: two within
+the radius differ by ``RADIUS // BLOCKS`` bits at most in some block, so probing each block's values
+that near returns all items within the radius.  Those are verified by the weighted Jaccard similarity
+of the shingles themselves: weights count repeats, and a shingle of many items weighs less.
+
+A window that shares no shingle with any item of its length has similarity 0, so windows slide over
+the places around shared shingles only; nothing that could be similar lies elsewhere.
+
+Shingles, their weights and the items' lengths are worked out by Spark over the whole benchmark.  Items
+come to the tasks in blocks of at most ``ITEMS``, one after the other through the driver, which holds
+one block at a time; every block is held against all documents and its finds are written before the next.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, utf8
 from .licenses import _TO_SPACE
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, ITEMS = 5, 0.8, 20, 7, 20_000
@@ -55,6 +57,16 @@ def simhash(codes: np.ndarray, weights: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits.T @ weights * 2 > weights.sum()).tobytes(), "big")
 
 
+def window_simhashes(codes: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """SimHashes of all runs of ``size`` codes, from running sums of the weights by bit."""
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(codes) + 1, 64))
+    np.cumsum(bits * weights[:, None], axis=0, out=sums[1:])
+    whole = np.concatenate(([0.0], np.cumsum(weights)))
+    over = (sums[size:] - sums[:-size]) * 2 > (whole[size:] - whole[:-size])[:, None]
+    return np.packbits(over, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight) -> float:
     """Sum of the smaller over sum of the larger weighted counts, over all shingles."""
     x, y = Counter(a.tolist()), Counter(b.tolist())
@@ -66,55 +78,57 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight) -> float:
 class HammingIndex:
     """Exact search for fingerprints within ``radius`` by blocks of their 64 bits."""
 
-    def __init__(self, fingerprints: list[int], radius: int = RADIUS, blocks: int = BLOCKS):
-        self.radius, self.near = radius, radius // blocks
+    def __init__(self, fingerprints, radius: int = RADIUS, blocks: int = BLOCKS):
+        self.radius, near = radius, radius // blocks
+        self.held = np.array(fingerprints, dtype=np.uint64)
         edges = [64 * i // blocks for i in range(blocks + 1)]
-        self.blocks = [(lo, (1 << (hi - lo)) - 1, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-        self.fingerprints = fingerprints
-        self.tables = [defaultdict(list) for _ in self.blocks]
-        for i, f in enumerate(fingerprints):
-            for table, (lo, mask, _) in zip(self.tables, self.blocks, strict=True):
-                table[f >> lo & mask].append(i)
-        self.flips = {w: [sum(1 << b for b in bits) for k in range(self.near + 1) for bits in combinations(range(w), k)] for _, _, w in self.blocks}
+        self.blocks = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            width = hi - lo
+            values = (self.held >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << width))))
+            flips = np.array([sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(width), k)])
+            self.blocks.append((lo, width, starts, np.argsort(values, kind="stable"), flips))
+
+    def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``wanted``, place among the fingerprints) of all within the radius."""
+        found = np.zeros(0, dtype=np.int64)
+        for lo, width, starts, order, flips in self.blocks:
+            at = ((wanted >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None] ^ flips).ravel()
+            many = starts[at + 1] - starts[at]
+            w = np.repeat(np.repeat(np.arange(len(wanted)), len(flips)), many)
+            k = order[np.repeat(starts[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(w))]
+            close = np.bitwise_count(wanted[w] ^ self.held[k]) <= self.radius
+            found = np.union1d(found, w[close] * len(self.held) + k[close])
+        return found // max(len(self.held), 1), found % max(len(self.held), 1)
 
     def within(self, f: int) -> set[int]:
-        found: set[int] = set()
-        for table, (lo, mask, width) in zip(self.tables, self.blocks, strict=True):
-            v = f >> lo & mask
-            for flip in self.flips[width]:
-                found.update(table.get(v ^ flip, ()))
-        return {i for i in found if (self.fingerprints[i] ^ f).bit_count() <= self.radius}
+        return set(self.search(np.array([f], dtype=np.uint64))[1].tolist())
 
 
 class Items:
-    """A block of benchmark items, ready to be held against documents."""
-
-    def __init__(self, items: list[tuple[int, bytes]], shingle: int, similarity: float, radius: int, blocks: int):
-        self.similarity, self.known = similarity, {}
-        held = [(i, word_codes(t, self.known)) for i, t in items]
-        held = [(i, w, shingle) for i, w in held if len(w) >= shingle]
-        self.ids = [i for i, *_ in held]
-        self.lengths = [len(w) for _, w, _ in held]
-        self.sizes = [s for *_, s in held]
-        self.codes = [shingle_codes(w, s) for _, w, s in held]
-        df = Counter(c for codes in self.codes for c in set(codes.tolist()))
-        n = len(held)
-        self.rare = float(np.log1p(n))
-        self.weights = {c: float(np.log1p(n / k)) for c, k in df.items()}
-        self.indexes, self.seeds = {}, {}
-        for size in sorted(set(self.sizes)):
-            members = [i for i, s in enumerate(self.sizes) if s == size]
-            seeds = defaultdict(list)
-            for i in members:
-                for offset, c in enumerate(self.codes[i].tolist()):
-                    seeds[c].append((i, offset))
-            index = HammingIndex([simhash(self.codes[i], self.weigh(self.codes[i])) for i in members], radius, blocks)
-            self.seeds[size] = (np.array(sorted(seeds), dtype=np.uint64), seeds)
-            self.indexes[size] = (members, index)
-        self.known = {}
+    """A block of benchmark items (id, words, codes, weights), ready to be held against documents."""
+
+    def __init__(self, items: list[tuple], total: int, shingle: int, similarity: float, radius: int, blocks: int):
+        self.similarity, self.known, self.rare = similarity, {}, float(np.log1p(total))
+        self.ids = [i for i, *_ in items]
+        self.codes = [np.array(c, dtype=np.int64).view(np.uint64) for _, _, c, _ in items]
+        self.weights = [dict(zip(c.tolist(), w, strict=True)) for c, (_, _, _, w) in zip(self.codes, items, strict=True)]
+        every = {c: w for held in self.weights for c, w in held.items()}
+        self.every = np.array(sorted(every), dtype=np.uint64)
+        self.weight_of = np.array([every[c] for c in self.every.tolist()])
+        self.sizes = defaultdict(dict)  # by shingle size and item length: members, index, and the codes of the members
+        members = defaultdict(list)
+        for k, (_, n, _, _) in enumerate(items):
+            members[min(n, shingle), n].append(k)
+        for (size, n), held in members.items():
+            prints = [window_simhashes(self.codes[k], self.weigh(self.codes[k]), n - size + 1)[0] for k in held]
+            self.sizes[size][n] = (held, HammingIndex(prints, radius, blocks), np.unique(np.concatenate([self.codes[k] for k in held])))
 
     def weigh(self, codes: np.ndarray) -> np.ndarray:
-        return np.array([self.weights.get(c, self.rare) for c in codes.tolist()])
+        at = np.searchsorted(self.every, codes)
+        at[at == len(self.every)] = 0
+        return np.where(self.every[at] == codes, self.weight_of[at], self.rare)
 
     def find(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best windows, apart from one another by item."""
@@ -122,39 +136,67 @@ class Items:
             self.known = {}
         words = word_codes(text, self.known)
         best: dict[int, list] = defaultdict(list)
-        for size, (sorted_codes, seeds) in self.seeds.items():
+        for size, lengths in self.sizes.items():
             codes = shingle_codes(words, size)
             if not len(codes):
                 continue
-            at = np.searchsorted(sorted_codes, codes)
-            at[at == len(sorted_codes)] = 0
-            windows = set()
-            for p in np.flatnonzero(sorted_codes[at] == codes).tolist():
-                for item, offset in seeds[int(codes[p])]:
-                    windows.add((self.lengths[item], max(0, min(p - offset, len(words) - self.lengths[item]))))
-            members, index = self.indexes[size]
-            for length, start in windows:
-                window = codes[start : max(start + length - size + 1, start + 1)]
-                for k in index.within(simhash(window, self.weigh(window))):
-                    item = members[k]
-                    s = weighted_jaccard(window, self.codes[item], lambda c: self.weights.get(c, self.rare))
-                    if s >= self.similarity:
-                        best[item].append((s, start, min(length, len(words))))
+            at = np.searchsorted(self.every, codes)
+            at[at == len(self.every)] = 0
+            hits = np.flatnonzero(self.every[at] == codes)
+            if not len(hits):
+                continue
+            for n, (members, index, own) in lengths.items():
+                mine = hits[np.isin(codes[hits], own)]
+                if len(mine):
+                    self._slide(codes, mine, n - size + 1, members, index, n, best)
         out = []
         for item, found in best.items():
             taken: list[tuple[int, int]] = []
             for s, start, length in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
                 if all(start + length <= a or b <= start for a, b in taken):
                     taken.append((start, start + length))
-                    out.append((self.ids[item], start, length, s))
+                    out.append((self.ids[item], start, min(length, len(words)), s))
         return out
 
+    def _slide(self, codes, hits, width: int, members, index, n: int, best) -> None:
+        """Windows of ``width`` codes over all places that hold one of ``hits``."""
+        width = min(width, len(codes))
+        first, last = np.maximum(hits - width + 1, 0), np.minimum(hits, len(codes) - width)
+        for group in np.split(np.arange(len(hits)), np.flatnonzero(first[1:] > last[:-1] + 1) + 1):
+            lo, hi = int(first[group[0]]), int(last[group[-1]])
+            part = codes[lo : hi + width]
+            for w, k in zip(*(x.tolist() for x in index.search(window_simhashes(part, self.weigh(part), width))), strict=True):
+                item = members[k]
+                weights = self.weights[item]
+                s = weighted_jaccard(part[w : w + width], self.codes[item], lambda c: weights.get(c, self.rare))  # noqa: B023
+                if s >= self.similarity:
+                    best[item].append((s, lo + w, n))
+
+
+def shingled_items(benchmark: DataFrame, shingle: int = SHINGLE, least: int = SHINGLE, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(item_id, words, codes, weights) of every item of ``least`` words or more, and their number.
+
+    ``codes`` are the item's shingles in order, of all its words where it has fewer than ``shingle``; a
+    shingle that stands in k of n items has the weight log(1 + n / k).
+    """
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(f"{text_col} is not null").toLocalIterator()
-    pairs = ((r[0], r[1].encode()) for r in rows)
-    while block := list(islice(pairs, ITEMS)):
-        yield block
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                words = word_codes(t)
+                if len(words) >= max(least, 1):
+                    rows.append((key, i, len(words), shingle_codes(words, min(shingle, len(words))).view(np.int64).tolist()))
+            key, i, n, codes = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], ["key", "item_id", "words", "codes"])
+
+    texts = benchmark.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    items = cut(texts.mapInArrow(run, "key long, item_id long, words long, codes array<long>"))
+    total = items.count()
+    each = items.select("key", F.posexplode("codes").alias("at", "code"))
+    held = each.select("key", "code").distinct().groupBy("code").agg(F.count("*").alias("k"))
+    weighted = each.join(held, "code").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.log1p(F.lit(total) / F.col("k")).alias("w")))).alias("w"))
+    return items.join(weighted, "key").select("item_id", "words", "codes", F.col("w.w").alias("weights")), total
 
 
 def matches(
@@ -168,13 +210,17 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    least: int = SHINGLE,
 ) -> DataFrame:
     """Contaminated places: doc_id, item_id, start_word, n_words, similarity.
 
     One row per document and item and place where a window of the item's length has a weighted
-    shingle similarity of ``similarity`` or more; of overlapping windows the best stands for all.
-    Items of fewer words than a shingle are no evidence and match nothing, nor do null texts.  Repeated rows are matched each; an empty table of either kind gives an
-    empty result; other columns are ignored.
+    shingle similarity of ``similarity`` or more; of overlapping windows the best stands for all.  In a
+    pair, a shingle that the item has not weighs as much as one that a single item has.
+    Items of fewer than ``least`` words are no evidence and match nothing; with a lower ``least``, those of
+    fewer words than a shingle match where all their words stand.  Null texts match nothing, and a null id
+    is kept as it is.  Texts are searched whole, however long.  Repeated rows are matched each; an empty
+    table of either kind gives an empty result; other columns are ignored.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
@@ -182,7 +228,7 @@ def matches(
 
     def against(block):
         def run(batches):
-            items = Items(block, shingle, similarity, radius, blocks)
+            items = Items(block, total, shingle, similarity, radius, blocks)
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) for m in items.find(t)]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
@@ -190,17 +236,17 @@ def matches(
 
         return docs.mapInArrow(run, schema)
 
-    found = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        part = against(block)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    items, total = shingled_items(benchmark, shingle, least, item_col, item_text_col)
+    found, rows = docs.sparkSession.createDataFrame([], schema), map(tuple, items.toLocalIterator())
+    while block := list(islice(rows, ITEMS)):
+        found = found.unionByName(cut(against(block)))
+    return found
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``documents`` without those that hold a benchmark item.
 
-    A doc_id goes as a whole; rows with a null doc_id stay.
+    A doc_id goes as a whole; rows with a null doc_id stay, as do null texts.  All columns are kept.
     """
     found = matches(documents, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_dc_id")).where("_dc_id is not null").distinct()
     return documents.join(found, documents[id_col].cast("long") == F.col("_dc_id"), "left_anti")

@@ -144,6 +144,16 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert decontaminate.matches(odd.limit(0), bench).count() == 0
 
 
+def test_short_items_and_blocks_of_items(spark, monkeypatch):
+    docs = docs_of(spark, ["say yes we can now", "yes we", "a b c d e f g", "nothing"])
+    bench = spark.createDataFrame([(1, "Yes we can"), (2, "a b c d e f g"), (3, "")], "item_id long, text string")
+    places = lambda **o: {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in decontaminate.matches(docs, bench, **o).collect()}
+    assert places() == {(2, 2, 0, 7)}
+    assert places(least=1) == {(0, 1, 1, 3), (2, 2, 0, 7)}
+    monkeypatch.setattr(decontaminate, "ITEMS", 1)
+    assert places(least=1) == {(0, 1, 1, 3), (2, 2, 0, 7)}
+
+
 # 3 Line dedup
 
 

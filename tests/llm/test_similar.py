@@ -41,7 +41,7 @@ def test_pairs_at_exactly_080_and_075(spark):
 def test_components_against_exact_links(spark, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "FEW", min(block, 64))
-    monkeypatch.setattr(simhash, "NEAREST", 2 if block < 64 else 16)
+    monkeypatch.setattr(simhash, "SHINGLES", 200 * block)
     rng, texts = random.Random(6), []
     for _ in range(4):
         text = words(rng, 204)
