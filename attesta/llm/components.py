@@ -1,11 +1,12 @@
 """Connected components of a link table, without gathering links on the driver.
 
-Alternating large-star and small-star passes (Kiveris et al., 2014).  Each pass is one
-pre-aggregated minimum per node and one join; a hot centre is dealt over salts, so neither
-stage holds all links of a node in one task.  Before each pass every task replaces the links that
-it holds, ``CHUNK`` at a time, by stars around the smallest nodes they reach, which takes long
-chains out in a few passes.  Passes end when every node has a single link, to a node that has none.
-The same passes run at every size.
+Every pass hooks and jumps.  Hooking deals the links by their larger node and lets each task replace
+what it holds, ``CHUNK`` links at a time, by stars around the smallest nodes they reach; so a node has
+at most one link from each task afterwards, and no task gathers the links of a hot node.  Jumping moves
+each link to the least link of its smaller end, in a join whose hot keys the adaptive skew join splits.
+Before the first pass tasks of about ``CHUNK`` links each do the same with the links as they come.
+Passes end when every node has a single link, to a node that has none; their number grows with the
+logarithm of the longest chain.  The same passes run at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SALTS, CHUNK = 16, 1 << 20
+CHUNK = 1 << 16
 
 
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +64,6 @@ def _stars(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
-def _to_minimum(links: DataFrame) -> DataFrame:
-    """(u, v) to (v, least neighbour of u), u itself included among its neighbours."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
-
-
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one link only, and that to a node that has none."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))).alias("e")).select("e.*")
@@ -85,12 +79,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
-    edges = cut(_stars(edges).distinct())
+    edges = cut(edges.distinct())
+    edges = cut(_stars(edges.coalesce(-(-edges.count() // CHUNK) or 1)))
     while not _settled(edges):
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        large = _to_minimum(both).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _to_minimum(large)
-        small = small.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = cut(_stars(small).distinct())
+        hooked = _stars(edges.repartition("u"))
+        least = hooked.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("to"))
+        edges = cut(hooked.join(least, "v", "left").select("u", F.coalesce("to", "v").alias("v")))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().unionByName(roots)

@@ -196,7 +196,7 @@ def hex16(col):
 # Wide fingerprints, for similarities well below equality.
 
 WORDS64, SAMPLED, WIDE_TABLES, WIDE_RADIUS, SIMILAR = 4, 16, 96, 60, 0.8
-BLOCK, FEW, NEAREST = 1024, 64, 16
+BLOCK, FEW, SHINGLES = 1024, 64, 1 << 20
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -350,10 +350,10 @@ def _dealt(classes: DataFrame) -> DataFrame:
 
 
 def _met(classes: DataFrame, radius: int) -> DataFrame:
-    """(a, b, d) with a < b: for every node and place the nearest smaller node within ``radius``, and with
-    a null ``d`` the least node that it may be joined with there.
+    """(a, b, d) with a < b: for every node and place the nearest smaller node within ``radius``; where there
+    is none, with a null ``d`` the least node that it may be joined with there.
 
-    A place of more than two ``BLOCK`` rows is dealt to tasks by salts; all of its nodes may be joined.
+    A place of more than two ``BLOCK`` rows is dealt to tasks by salts; its blocks may all be joined.
     """
 
     def link(batches):
@@ -390,11 +390,13 @@ def _met(classes: DataFrame, radius: int) -> DataFrame:
                 least[s:e] = low + s
                 got = np.flatnonzero(best >= 0)
                 i, j, d = np.concatenate((i, best[got] + s)), np.concatenate((j, got + s)), np.concatenate((d, far[got]))
-            own = np.flatnonzero(least != np.arange(len(node)))
+            alone = np.ones(len(node), dtype=bool)
+            alone[j] = False
+            own = np.flatnonzero(alone & (least != np.arange(len(node))))
             a, b = np.concatenate((node[i], node[least[own]])), np.concatenate((node[j], node[own]))
             d = pa.array(np.concatenate((d, np.zeros(len(own), np.int64))), mask=np.arange(len(a)) >= len(i))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["a", "b", "d"])
-            hot = table.filter(table.column("first").is_valid())
+            hot = table.filter(pa.array(table.column("first").is_valid().to_numpy() & alone & (least == np.arange(len(node)))))
             if hot.num_rows:
                 a, b = hot.column("first").to_numpy(), hot.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b]), pa.nulls(int((a < b).sum()), pa.int64())], ["a", "b", "d"])
@@ -403,52 +405,83 @@ def _met(classes: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def _met_apart(nodes: DataFrame, radius: int, most: int) -> DataFrame:
-    """(a, b) of nodes with different labels that share a place within ``radius``: of each the ``most`` nearest
-    in a place.  A row of nulls says that some node has more.
+def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], label: np.ndarray, one: np.ndarray, other: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of links between the rows ``one`` and the rows ``other`` that stand under different labels,
+    are within ``radius`` and have a Jaccard similarity of ``similarity`` at least."""
+    root = {x: x for x in label.tolist()}
 
-    In a large place, blocks of all rows meet blocks of those outside its commonest label, each two as a
-    task of its own, as two of the commonest label need no link.
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    near = _distances(fps[one], fps[other]) <= radius
+    near &= label[one][:, None] != label[other][None, :]
+    sizes = np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate([sets[k] for k in other.tolist()]), return_inverse=True) if len(other) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    ends = np.concatenate(([0], np.cumsum(sizes[other])))
+    links, mark = [], np.zeros(len(values), dtype=bool)
+    for x in np.flatnonzero(near.any(axis=1)).tolist():
+        i = int(one[x])
+        cand = [y for y in np.flatnonzero(near[x]).tolist() if find(int(label[other[y]])) != find(int(label[i]))]
+        if not cand:
+            continue
+        at = np.searchsorted(values, sets[i])
+        at = at[(at < len(values))]
+        at = at[np.isin(values[at], sets[i], assume_unique=True)]
+        mark[at] = True
+        for y in cand:
+            j = int(other[y])
+            shared = int(mark[flat[ends[y] : ends[y + 1]]].sum())
+            if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9 and (a := find(int(label[i]))) != (b := find(int(label[j]))):
+                root[b] = a
+                links.append((i, j))
+        mark[at] = False
+    return links
+
+
+def _compared(left: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links between the nodes of ``left`` (component, label, node, fp, hashes) that join what is similar
+    under different labels of a component.
+
+    A component is dealt to blocks, of ``BLOCK`` nodes or ``SHINGLES`` hashes about.  Blocks of all its nodes meet
+    blocks of those outside its commonest label, as two of that label need no link; each two are a task's
+    work of their own, and what travels are sets, never pairs.
     """
 
     def link(batches):
         for table in _groups(batches, 3):
             edges = _edges(table, 3)
             node, label, role = (table.column(c).to_numpy() for c in ("node", "label", "role"))
-            f = _wide_values(table.column("fp").combine_chunks())
-            out, more = [], False
+            f, hashes = _wide_values(table.column("fp").combine_chunks()), table.column("hashes").combine_chunks()
+            a, b = [], []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if (label[s:e] == label[s]).all():
                     continue
-                p, q = np.flatnonzero(role[s:e] != 0) + s, np.flatnonzero(role[s:e] != 1) + s
-                for at in range(0, len(p), BLOCK):
-                    rows = p[at : at + BLOCK]
-                    apart = _distances(f[rows], f[q])
-                    apart[(label[rows][:, None] == label[q][None, :]) | (apart > radius)] = 1 << 14
-                    some = np.flatnonzero((apart < 1 << 14).any(axis=1))
-                    apart, rows = apart[some], rows[some]
-                    more |= bool(((apart < 1 << 14).sum(axis=1) > most).any())
-                    best = np.argsort(apart, axis=1, kind="stable")[:, :most] if len(q) > most else np.tile(np.arange(len(q)), (len(rows), 1))
-                    x, y = np.nonzero(np.take_along_axis(apart, best, axis=1) < 1 << 14)
-                    out.append(np.stack((node[rows[x]], node[q[best[x, y]]])))
-            got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            got = np.unique(np.sort(got, axis=0), axis=1)
-            a, b = (pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(int(more), pa.int64())]) for x in got)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    keyed = _wide_keyed(nodes)
-    by_label = keyed.groupBy("place", "label").agg(F.count("*").alias("n"))
-    hot = by_label.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where(F.col("n") > 2 * BLOCK)
-    hot = cut(hot.select("place", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")))
-    met = keyed.join(beside(hot), "place", "left")
+                sets = [hashes[k].values.to_numpy().view(np.uint64) for k in range(s, e)]
+                one, other = np.flatnonzero(role[s:e] != 1), np.flatnonzero(role[s:e] != 0)
+                for i, j in similar_pairs(f[s:e], sets, label[s:e], one, other, radius, similarity):
+                    a.append(int(node[s + i]))
+                    b.append(int(node[s + j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held = left.withColumn("size", F.size("hashes").cast("long"))
+    by_label = held.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    total = by_label.groupBy("component").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "label")).alias("top"))
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / SHINGLES)).cast("int")
+    hot = total.where((F.col("n") > BLOCK) | (F.col("size") > SHINGLES))
+    hot = cut(hot.select("component", F.col("top.label").alias("major"), count(F.col("n"), F.col("size")).alias("blocks"), count(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others")))
+    met = left.join(beside(hot), "component", "left")
+    kind = "array<struct<role:int,x:int,y:int>>"
     cell = lambda role, x, y: F.struct(F.lit(role).alias("role"), x.cast("int").alias("x"), y.cast("int").alias("y"))
-    none, every = F.array().cast("array<struct<role:int,x:int,y:int>>"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "place"), F.greatest(F.col("others"), F.lit(1)))
-    as_one = F.transform(every("others"), lambda y: cell(0, mine, y))
-    as_other = F.when(F.col("label") != F.col("major"), F.transform(every("blocks"), lambda x: cell(1, x, other))).otherwise(none)
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "component"), F.greatest(F.col("others"), F.lit(1)))
+    as_one = F.transform(upto("others"), lambda y: cell(0, mine, y))
+    as_other = F.when(F.col("label") != F.col("major"), F.transform(upto("blocks"), lambda x: cell(1, x, other))).otherwise(F.array().cast(kind))
     cells = F.when(F.col("blocks").isNull(), F.array(cell(2, F.lit(0), F.lit(0)))).otherwise(F.concat(as_one, as_other))
-    met = met.select("place", "node", "fp", "label", F.explode(cells).alias("c")).select("place", "c.x", "c.y", "node", "fp", "label", "c.role")
-    return met.repartition("place", "x", "y").sortWithinPartitions("place", "x", "y", "node").mapInArrow(link, "a long, b long").distinct()
+    met = met.select("component", "node", "fp", "label", "hashes", F.explode(cells).alias("c")).select("component", "c.x", "c.y", "node", "fp", "label", "hashes", "c.role")
+    return met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node").mapInArrow(link, "a long, b long")
 
 
 def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -462,18 +495,6 @@ def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared) - F.lit(1e-9)).alias("similar"))
 
 
-def _apart(met: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, label) of all nodes under a label that some link of ``met`` leaves.
-
-    The links of a place join all that may be joined there, so two nodes of a place that stand under
-    different labels are both among these.
-    """
-    of = lambda side: named.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    crossing = met.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("a_label != b_label")
-    labels = crossing.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
-    return named.join(labels, "label", "left_semi").select("node", "label")
-
-
 def _shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, d1, d2, text): a row's key is its id, null included, and two digests of its text."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -513,26 +534,18 @@ def _similar(documents: DataFrame, words: int, radius: int, similarity: float, i
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), *_KEY)
     classes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("row")))
     met = cut(_met(classes, radius))
-    ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(ends, "node").select("node", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
-    sets = cut(_on_key(docs, wanted, "inner").select("node", "text").mapInArrow(hashed, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    coarse = cut(connected_components(met))
+    wanted = classes.join(coarse, "node").select("node", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
+    sets = cut(_on_key(docs, beside(wanted), "inner").select("node", "text").mapInArrow(hashed, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
     # First the nearest smaller neighbour of each node, which settles most.
     pairs = met.where("d is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
-    judged, most = cut(_judged(pairs, sets, similarity)), NEAREST
-    while True:
-        joined = cut(connected_components(judged.where("similar")))
-        named = sets.select("node").join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        # Then, where candidates still stand under several labels, more and more neighbours, till none is left to compare.
-        left = cut(_apart(met, named))
-        if left.isEmpty():
-            break
-        near = cut(_met_apart(left.join(classes.select("node", "fp"), "node"), radius, most))
-        fresh = cut(_judged(near.where("a is not null").join(judged, ["a", "b"], "left_anti"), sets, similarity))
-        judged = judged.unionByName(fresh)
-        if near.where("a is null").isEmpty():
-            joined = cut(connected_components(judged.where("similar")))
-            break
-        most *= 8
+    links = cut(_judged(pairs, sets, similarity).where("similar").select("a", "b"))
+    joined = connected_components(links).withColumnRenamed("component", "label")
+    named = cut(coarse.join(joined, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")))
+    # Then all of a component that still stands under several labels.
+    several = named.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component")
+    left = cut(named.join(several, "component", "left_semi").join(classes.select("node", "fp"), "node").join(sets, "node"))
+    joined = cut(connected_components(links.unionByName(cut(_compared(left, radius, similarity)))))
     grouped = cut(classes.join(joined, "node", "left").select("node", "row", F.coalesce("component", "node").alias("component")))
     first = grouped.groupBy("component").agg(F.min("row").alias("row")).select("component", *(F.col(f"row.{c}").alias(f"_{c}") for c in _KEY))
     return rows.select(*_KEY, "node"), grouped.select("node", "component").join(first, "component")
@@ -546,8 +559,9 @@ def similar_documents(
     Texts link when their sets of distinct ``words``-word shingles have a Jaccard similarity of
     ``similarity`` at least, which is computed from the sets themselves.  Candidates are pairs whose
     256-bit SimHashes differ by at most ``radius`` bits (39 are expected at 0.8) and share a place in
-    one of 96 tables, each keyed by the pivot coordinates within 16 sampled bits.  A candidate pair is
-    left out only where other links have joined its ends.  Null and empty texts are alike.  Rows with
+    one of 96 tables, each keyed by the pivot coordinates within 16 sampled bits.  Those candidates tell
+    apart groups; within a group whatever is within ``radius`` is compared, but for what other links
+    have joined.  Null and empty texts are alike.  Rows with
     a null doc_id take part, but name no component and are not returned.
     """
     rows, groups = _similar(documents, words, radius, similarity, id_col, text_col)
