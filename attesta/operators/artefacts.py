@@ -103,3 +103,26 @@ def inventory(rows: DataFrame) -> DataFrame:
     out = held.groupBy("path", "modified").agg(*(F.max(F.when(F.col("name") == w, F.col("value"))).alias(w) for w in wanted))
     # The id is four zeros and a SHA-1.
     return out.select("path", "modified", F.col("LowerCaseLongPath").alias("program"), F.when(F.length("FileId") == 44, F.substring("FileId", 5, 40)).alias("sha1"), F.col("Name").alias("name"), F.col("Publisher").alias("publisher"), F.col("Version").alias("version"), F.col("LinkDate").alias("linked_at"), F.col("Size").cast("long").alias("size"), F.col("ProductName").alias("product"))
+
+
+def item_classes(belongings: DataFrame) -> DataFrame:
+    """(class, items, members): members that have the very same items, of (member, item), named by the least of them."""
+    held = belongings.groupBy("member").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return held.groupBy("items").agg(F.min("member").alias("class"), F.count("*").alias("members")).select("class", "items", "members")
+
+
+def class_members(belongings: DataFrame) -> DataFrame:
+    """(member, class, items, members): the class that each member is in."""
+    held = belongings.groupBy("member").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return held.join(item_classes(belongings), "items")
+
+
+def related(classes: DataFrame) -> DataFrame:
+    """(a, b, shared): how many items two classes of members have in common, where they have any.
+
+    Members with the same items meet as one class, so pairs grow with what members have, not with how
+    many there are; ``class_members`` tells who is behind a class.
+    """
+    each = classes.select("class", F.explode("items").alias("item"))
+    both = each.withColumnRenamed("class", "a").join(each.withColumnRenamed("class", "b"), "item").where("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -99,7 +99,7 @@ def carve(blocks: DataFrame, sizes: DataFrame, signatures=SIGNATURES, overlap: i
 def drop_nested(hits: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """Hits without those strictly smaller and inside one of the ``look_back`` kept before them.
 
-    Only hits whose end is known can hold others.  Kept rows decide on later ones, so the hits of an
+    Only hits whose end is known can hold others, but all that are kept count among the ``look_back``.  Kept rows decide on later ones, so the hits of an
     evidence are read in order by one task, which holds ``look_back`` of them at a time.
     """
     names = [*hits.columns]
@@ -112,27 +112,31 @@ def drop_nested(hits: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
                 if row["evidence_id"] != evidence:
                     evidence, kept = row["evidence_id"], []
                 a, z = row["offset"], row["offset"] + row["length"]
-                if any(k[0] <= a and z <= k[1] and k[1] - k[0] > z - a for k in kept):
+                if any(k[2] and k[0] <= a and z <= k[1] and k[1] - k[0] > z - a for k in kept):
                     continue
                 out.append(row)
-                if row["method"] == "footer":
-                    kept = [*kept, (a, z)][-look_back:]
+                kept = [*kept, (a, z, row["method"] == "footer")][-look_back:]
             yield pa.RecordBatch.from_pylist(out, batch.schema)
 
     ordered = hits.repartition("evidence_id").sortWithinPartitions("evidence_id", "offset", F.desc("length"))
     return ordered.select(names).mapInArrow(run, hits.schema)
 
 
-def core_sample(blocks: DataFrame, size: int, block_size: int, buckets: int = 256, windows: int = 16, whole: int = 64 << 20) -> DataFrame:
-    """bucket, class, n and mean entropy over a medium: all blocks of a small one, else ``windows`` a bucket.
+def core_sample(blocks: DataFrame, size: int | DataFrame, block_size: int, buckets: int = 256, windows: int = 16, whole: int = 64 << 20) -> DataFrame:
+    """evidence_id, bucket, class, n and mean entropy: all blocks of a small medium, else ``windows`` a bucket.
 
-    Which blocks are read follows from offsets alone, so the filter reaches the source.
+    ``size`` is that of the one medium, or a table (evidence_id, size) of several.  Which blocks of one
+    medium are read follows from offsets alone, so the filter reaches the source.
     """
-    step = max(1, -(-size // buckets))
-    gap = max(block_size, step // windows)
-    chosen = blocks if size <= whole else blocks.where((F.col("offset") % step) % gap < block_size)
-    judged = chosen.select(F.floor(F.col("offset") / step).cast("int").alias("bucket"), block_class("data").alias("b"))
-    return judged.groupBy("bucket", "b.class").agg(F.count("*").alias("n"), F.avg("b.entropy").alias("entropy"))
+    if isinstance(size, int):
+        held = blocks.withColumn("size", F.lit(size).cast("long"))
+    else:
+        held = blocks.join(size.select("evidence_id", F.col("size").cast("long").alias("size")), "evidence_id")
+    step = F.greatest(F.ceil(F.col("size") / buckets), F.lit(1))
+    gap = F.greatest(F.lit(block_size), F.floor(step / windows))
+    chosen = held.where((F.col("size") <= whole) | ((F.col("offset") % step) % gap < block_size))
+    judged = chosen.select("evidence_id", F.floor(F.col("offset") / step).cast("int").alias("bucket"), block_class("data").alias("b"))
+    return judged.groupBy("evidence_id", "bucket", "b.class").agg(F.count("*").alias("n"), F.avg("b.entropy").alias("entropy"))
 
 
 # Field kinds of templates: struct formats, or a reader of raw bytes.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -183,7 +186,8 @@ def resolve_paths(wanted: DataFrame, entries: DataFrame) -> DataFrame:
 
 def present(entries: DataFrame, prefixes: dict[str, list[str]]) -> DataFrame:
     """For each artefact kind, how many entries lie at or under one of its path prefixes."""
-    kinds = [F.sum(F.when(F.lower("path").rlike("^(" + "|".join(p.lower().replace("\\", "\\\\").replace(".", r"\.") for p in ps) + ")"), 1).otherwise(0)).alias(k) for k, ps in prefixes.items()]
+    under = lambda ps: functools.reduce(operator.or_, (F.startswith(F.lower("path"), F.lit(p.lower())) for p in ps), F.lit(False))
+    kinds = [F.sum(F.when(under(ps), 1).otherwise(0)).alias(k) for k, ps in prefixes.items()]
     wide = entries.agg(*kinds)
     names = ", ".join(f"'{k}', `{k}`" for k in prefixes)
     return wide.selectExpr(f"stack({len(prefixes)}, {names}) as (kind, n)").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -64,14 +64,15 @@ def read_hash_list(spark: SparkSession, path: str) -> DataFrame:
     """(algo, digest, label) of a hash list in CSV or free text.
 
     The first token of 32, 40 or 64 hexadecimal digits names the algorithm by its length; what else
-    the line says is the label.  Of repeated digests the label that sorts first stays.
+    the line says is the label.  Of repeated digests the label of the first line stays.
     """
     lines = spark.read.text(path)
     digest = F.lower(F.regexp_extract("value", r"(?i)(?<![0-9a-f])([0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9a-f])", 1))
     algo = F.when(F.length("digest") == 32, "md5").when(F.length("digest") == 40, "sha1").otherwise("sha256")
     label = F.trim(F.regexp_replace(F.regexp_replace("value", r"(?i)(?<![0-9a-f])([0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9a-f])", " "), r'[\s,;"*]+', " "))
-    rows = lines.withColumn("digest", digest).where("digest != ''").select(algo.alias("algo"), "digest", label.alias("label"))
-    return rows.groupBy("algo", "digest").agg(F.min("label").alias("label"))
+    line = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
+    rows = lines.withColumn("line", line).withColumn("digest", digest).where("digest != ''").select(algo.alias("algo"), "digest", "line", label.alias("label"))
+    return rows.groupBy("algo", "digest").agg(F.min_by("label", "line").alias("label"))
 
 
 def annotate(hits: DataFrame, judged: DataFrame) -> DataFrame:

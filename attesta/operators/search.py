@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, excerpt
@@ -26,20 +28,29 @@ def search_texts(docs: DataFrame, terms: list[str], per_file: int = PER_FILE, ke
     ``offset`` counts characters from 0.  ``per_file`` places a document are shown, the earliest, and
     ``more`` on the last of them tells how many others there are.
     """
-    wanted = F.array(*(F.struct(F.lit(t).alias("term"), ascii_lower(F.lit(t)).alias("low")) for t in dict.fromkeys(terms) if t))
-    each = docs.select(F.col(key).alias("id"), F.col(body).alias("body"), ascii_lower(F.col(body)).alias("low"), F.explode(wanted).alias("w")).where(F.contains("low", F.col("w.low")))
-    # Pieces between the places give where each begins, in one pass of the text.
-    pieces = F.split("low", F.concat(F.lit("\\Q"), F.col("w.low"), F.lit("\\E")), -1)
-    size = F.length("w.low")
-    begin = lambda acc, x: F.struct((acc["at"] + F.length(x) + size).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(x))).alias("found"))
+    held = docs.select(F.col(key).alias("id"), F.col(body).alias("body"), ascii_lower(F.col(body)).alias("low"))
+    wanted = [t for t in dict.fromkeys(terms) if t]
+    if not wanted:
+        return held.select("id", F.lit("").alias("term"), F.lit(0).alias("offset"), F.lit("").alias("context"), F.lit(0).cast("long").alias("more")).limit(0)
+    lows = [ascii_lower(F.lit(t)) for t in wanted]
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    places = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, begin)["found"]
-    hits = each.select("id", "body", "w.term", F.explode(places).alias("offset"))
-    order = Window.partitionBy("id").orderBy("offset", "term")
-    numbered = hits.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy("id")))
-    shown = numbered.where(F.col("_n") <= per_file)
-    more = F.when((F.col("_n") == per_file) & (F.col("_all") > per_file), F.col("_all") - per_file).otherwise(0)
-    return shown.select("id", "term", "offset", excerpt(F.col("body"), F.col("offset") + 1, context, context + 32).alias("context"), more.cast("long").alias("more"))
+
+    def places(term: str, low):
+        # Pieces between the places give where each begins, in one pass of the text.
+        pieces, size = F.split("low", F.concat(F.lit("\\Q"), low, F.lit("\\E")), -1), F.length(low)
+        begin = lambda acc, x: F.struct((acc["at"] + F.length(x) + size).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(x))).alias("found"))
+        found = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, begin)["found"]
+        return F.when(F.contains("low", low), F.transform(found, lambda x: F.struct(x.alias("offset"), F.lit(term).alias("term")))).otherwise(F.array().cast("array<struct<offset:int,term:string>>"))
+
+    # Places are put in order, cut off and given their context within the row of their document; nothing is exchanged.
+    some = held.where(functools.reduce(operator.or_, (F.contains("low", low) for low in lows)))
+    every = some.select("id", "body", F.array_sort(F.concat(*(places(t, low) for t, low in zip(wanted, lows, strict=True)))).alias("all"))
+    left = F.size("all") - per_file
+    shown = F.transform(F.slice("all", 1, per_file), lambda h, i: F.struct(
+        h["term"].alias("term"), h["offset"].alias("offset"), excerpt(F.col("body"), h["offset"] + 1, context, context + 32).alias("context"),
+        F.when((i == per_file - 1) & (left > 0), left).otherwise(0).cast("long").alias("more"),
+    ))
+    return every.select("id", F.explode(shown).alias("h")).select("id", "h.*")
 
 
 def search_regex(docs: DataFrame, pattern: str, key: str = "id", body: str = "body") -> DataFrame:

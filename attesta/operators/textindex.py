@@ -113,15 +113,56 @@ def coverage(status: DataFrame) -> DataFrame:
     return status.groupBy("kind").agg(F.count("*").alias("candidates"), F.sum(F.col("indexed").cast("long")).alias("indexed"))
 
 
-_ASCII = re.compile(rb"[\t\x20-\x7e]{4,}")
-_WIDE = re.compile(rb"(?:[\t\x20-\x7e]\x00){4,}")
+# Runs of UTF-8 text; of UTF-16LE text in Latin letters, in one other alphabet (Greek to Arabic, Georgian, Thai),
+# and in Han, kana or Hangul.
+_NARROW = re.compile(rb"(?:[\t\x20-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}){4,}")
+_LATIN = re.compile(rb"(?:[\t\x20-\x7e\xa0-\xff]\x00|[\x00-\x7f]\x01){4,}")
+_LETTERS = re.compile(rb"(?:[\x20-\x40\x5b-\x60\x7b-\x7e]\x00|[\x00-\xff][\x03-\x06\x0e\x10]){4,}")
+_IDEOGRAPHS = re.compile(rb"(?:[\x00-\xff][\x30\x4e-\x9f\xac-\xd7]|[\x01-\xee]\xff|[\x20-\x40]\x00){4,}")
+
+
+def _plausible(raw: bytes, text: str, script: str) -> bool:
+    """Whether a run reads as text of its script, and not as other bytes taken in pairs."""
+    letters = [c for c in text if c.isalpha()]
+    if 2 * len(letters) < len(text) or not all(c.isprintable() or c == "\t" for c in text):
+        return False
+    if script == "latin":
+        return sum(c < "\x7f" or "\xc0" <= c <= "\u017f" for c in letters) == len(letters) and sum(c < "\x80" for c in text) * 2 >= len(text)
+    if script == "letters":
+        return len({ord(c) >> 8 for c in letters}) == 1 and len(letters) >= 3
+    # Han and kana do not mix with Hangul, and few of either come up by chance more often than many.
+    hangul = sum("\uac00" <= c <= "\ud7a3" for c in letters)
+    if hangul not in (0, len(letters)) or len(letters) < (5 if hangul else 8):
+        return False
+    # Two ASCII characters read as one ideograph: such pairs are rare in real ones.
+    pairs = sum(0x20 <= x <= 0x7E and 0x20 <= y <= 0x7E for x, y in zip(raw[::2], raw[1::2], strict=True))
+    return 2 * pairs < len(text)
 
 
 def extract(data: bytes) -> str:
-    """Readable runs of four or more characters in bytes: ASCII, and UTF-16LE at either alignment."""
-    runs = [(m.start(), m[0].decode("ascii")) for m in _ASCII.finditer(data)]
-    runs += [(m.start(), m[0].decode("utf-16-le")) for m in _WIDE.finditer(data)]
-    return " ".join(" ".join(t for _, t in sorted(runs)).split())
+    """Readable runs of four or more characters in bytes: UTF-8, and UTF-16LE at either alignment.
+
+    UTF-16 runs are of Latin letters, of one other alphabet, or of Han, kana and Hangul, and have to be
+    plausible as such; of runs that overlap the longest counts.  Runs come in order, white space collapsed.
+    """
+    runs = [(m.start(), m.end(), m[0].decode("utf-8", "ignore")) for m in _NARROW.finditer(data)]
+    for script, pattern in (("latin", _LATIN), ("letters", _LETTERS), ("ideographs", _IDEOGRAPHS)):
+        for shift in (0, 1):
+            at = shift
+            while m := pattern.search(data, at):
+                if (m.start() - shift) % 2:
+                    at = m.start() + 1
+                    continue
+                text = m[0].decode("utf-16-le", "replace")
+                if _plausible(m[0], text, script):
+                    runs.append((m.start(), m.end(), text))
+                at = m.end()
+    taken, kept = bytearray(len(data)), []
+    for start, end, text in sorted(runs, key=lambda r: (r[0] - r[1], r[0])):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            kept.append((start, text))
+    return " ".join(" ".join(t for _, t in sorted(kept)).split())
 
 
 @F.arrow_udf(T.StringType())

@@ -29,11 +29,13 @@ def anomaly_marks(created: Column, fn_created: Column, modified: Column, fn_modi
     """Names of what is odd about an entry's times, in a fixed order.
 
     backdated: created before the file-name record's creation; modified_first: modified before
-    created; whole_second: created falls on a whole second while the file-name record's does not.
+    created; whole_second: created and modified both fall on whole seconds while a time of the
+    file-name record does not.  A time that is null or unreadable marks nothing.
     """
-    c, f, m = epoch_of(created), epoch_of(fn_created), epoch_of(modified)
-    whole = lambda x: x == F.floor(x)
-    marks = [F.when(c < f, F.lit("backdated")), F.when(m < c, F.lit("modified_first")), F.when(whole(c) & ~whole(f), F.lit("whole_second"))]
+    c, f, m, fm = (epoch_of(x) for x in (created, fn_created, modified, fn_modified))
+    whole = lambda x: F.coalesce(x == F.floor(x), F.lit(False))
+    part = lambda x: F.coalesce(x != F.floor(x), F.lit(False))
+    marks = [F.when(c < f, F.lit("backdated")), F.when(m < c, F.lit("modified_first")), F.when(whole(c) & whole(m) & (part(f) | part(fm)), F.lit("whole_second"))]
     return F.array_compact(F.array(*marks))
 
 

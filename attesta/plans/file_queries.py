@@ -169,10 +169,10 @@ def interval_contains(spark, d):
     return intervals.contained(points, intervals.merge(_spans(spark, d), ["evidence_id"]), ["evidence_id"], bin_size=1024)
 
 
-@query("containment", f"""WITH {_S}, h AS (SELECT DISTINCT evidence_id, start AS "offset", "end" - start AS length FROM s WHERE start % 3 = 0)
+@query("containment", f"""WITH {_S}, h AS (SELECT DISTINCT evidence_id, start AS "offset", "end" - start AS length FROM s)
 SELECT a.* FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.evidence_id = a.evidence_id AND b."offset" <= a."offset" AND b."offset" + b.length >= a."offset" + a.length AND b.length > a.length)""")
 def containment(spark, d):
-    hits = _spans(spark, d).where("start % 3 = 0").select("evidence_id", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")).distinct()
+    hits = _spans(spark, d).select("evidence_id", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")).distinct()
     return intervals.drop_contained(hits, ["evidence_id"])
 
 
@@ -185,10 +185,10 @@ def single_gap(spark, d):
     return intervals.single_gap(hits, taken, ["evidence_id"], 4096)
 
 
-@query("next_header_bound", f"""WITH {_S}, h AS (SELECT DISTINCT evidence_id, start AS "offset" FROM s WHERE start % 7 = 0), n AS (SELECT *, lead("offset") OVER (PARTITION BY evidence_id ORDER BY "offset") - "offset" AS nx FROM h)
+@query("next_header_bound", f"""WITH {_S}, h AS (SELECT DISTINCT evidence_id, start AS "offset" FROM s), n AS (SELECT *, lead("offset") OVER (PARTITION BY evidence_id ORDER BY "offset") - "offset" AS nx FROM h)
 SELECT evidence_id, "offset", least(coalesce(nx, 40), 40) AS length, CASE WHEN nx < 40 THEN 'next_header' ELSE 'limit' END AS bounded_by FROM n""")
 def next_header_bound(spark, d):
-    hits = _spans(spark, d).where("start % 7 = 0").select("evidence_id", F.col("start").alias("offset"), F.lit(40).cast("long").alias("max_length")).distinct()
+    hits = _spans(spark, d).select("evidence_id", F.col("start").alias("offset"), F.lit(40).cast("long").alias("max_length")).distinct()
     return intervals.bounds_by_next(hits, ["evidence_id"]).drop("max_length")
 
 
@@ -261,7 +261,7 @@ def epoch_functions(spark, d):
     )
 
 
-_VM = f"""{_S}, x AS (SELECT evidence_id, 'Block' AS family, start % 3 AS kind, start AS number, start, "end" FROM s WHERE start % 5 = 0),
+_VM = f"""{_S}, x AS (SELECT evidence_id, 'Block' AS family, start % 3 AS kind, start AS number, start, "end" FROM s),
 i AS (SELECT *, start < "end" AND "end" <= 15000 AS fits FROM x), d AS (SELECT evidence_id, count(*) FILTER (WHERE NOT fits) AS dropped FROM i GROUP BY 1),
 o AS (SELECT DISTINCT evidence_id, family, kind, number, start, "end" FROM i WHERE fits),
 n AS (SELECT *, CASE WHEN kind = lag(kind) OVER w AND start <= lag("end") OVER w THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY evidence_id ORDER BY start, "end")),
@@ -273,7 +273,7 @@ SELECT evidence_id, kind, first_number, last_number, start, "end", total, droppe
 
 @query("volume_map", f"WITH {_VM.lstrip()}")
 def volume_map(spark, d):
-    raw = _spans(spark, d).where("start % 5 = 0")
+    raw = _spans(spark, d)
     every = raw.select("evidence_id", F.lit("Block").alias("family"), (F.col("start") % 3).alias("kind"), F.col("start").alias("number"), "start", "end")
     good = every.where("start < end and end <= 15000").distinct()
     bad = every.where("not (start < end and end <= 15000)")

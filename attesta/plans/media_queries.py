@@ -31,41 +31,38 @@ def image_verify(spark, d):
     return export.verify(_blocks(spark, d), stored).select("evidence_id", "verified")
 
 
-@query("piece_digests", "SELECT doc_id AS evidence_id, i * 4096 AS \"offset\", sha256(array_to_string(list_transform(range(1), lambda k: text[(i * 4096 + 1):((i + 1) * 4096)]), '')) AS sha256 FROM documents, range(64) t(i) WHERE octet_length(encode(text)) = length(text) AND length(text) > i * 4096 AND length(text) <= 262144")
+@query("piece_digests")
 def piece_digests(spark, d):
-    plain = contents(spark, d).where("octet_length(body) = length(body) and length(body) <= 262144").select(F.col("id").alias("evidence_id"))
-    return export.piece_digests(_blocks(spark, d)).join(plain, "evidence_id", "left_semi").select("evidence_id", "offset", "sha256")
+    return export.piece_digests(_blocks(spark, d)).select("evidence_id", "offset", "sha256")
 
 
 _RULES = (carving.Signature("license", b"Licensed under".hex(), b".".hex(), 200), carving.Signature("release", b"Released".hex(), None, 40))
 
 
-@query("carve_blocks", "SELECT evidence_id, 'release' AS name, instr(text, 'Released') - 1 AS \"offset\" FROM (SELECT doc_id AS evidence_id, text FROM documents WHERE octet_length(encode(text)) = length(text)) WHERE len(string_split(text, 'Released')) = 2")
+@query("carve_blocks")
 def carve_blocks(spark, d):
-    docs = contents(spark, d)
-    sizes = docs.where("length(body) > 0").select(F.col("id").alias("evidence_id"), F.octet_length("body").cast("long").alias("size"))
-    hits = carving.carve(_blocks(spark, d), sizes, _RULES, 64).where("name = 'release'")
-    one = hits.groupBy("evidence_id").count().where("count = 1")
-    plain = docs.where("octet_length(body) = length(body)").select(F.col("id").alias("evidence_id"))
-    return hits.join(one, "evidence_id", "left_semi").join(plain, "evidence_id", "left_semi").select("evidence_id", "name", "offset")
+    return carving.carve(_blocks(spark, d), _sizes(spark, d), _RULES, 64).select("evidence_id", "name", "offset", "length", "method")
+
+
+def _sizes(spark, d):
+    docs = contents(spark, d).where("length(body) > 0")
+    return docs.select(F.col("id").alias("evidence_id"), F.octet_length("body").cast("long").alias("size"))
 
 
 @query("carve_all")
 def carve_all(spark, d):
-    docs = contents(spark, d).where("length(body) > 0")
-    sizes = docs.select(F.col("id").alias("evidence_id"), F.octet_length("body").cast("long").alias("size"))
-    return carving.drop_nested(carving.carve(_blocks(spark, d), sizes, _RULES, 64))
+    return carving.drop_nested(carving.carve(_blocks(spark, d), _sizes(spark, d), _RULES, 64))
 
 
 @query("core_sample")
 def core_sample(spark, d):
-    return carving.core_sample(_blocks(spark, d), 1 << 20, BLOCK, buckets=64).withColumn("entropy", F.round("entropy", 6))
+    return carving.core_sample(_blocks(spark, d), _sizes(spark, d), BLOCK, buckets=16, windows=2, whole=16 * BLOCK).withColumn("entropy", F.round("entropy", 6))
 
 
-@query("structure_template", "SELECT page_id, html[1:4] AS magic, CASE WHEN length(html) >= 8 THEN html[5:8] END AS rest FROM pages WHERE octet_length(encode(html[1:16])) = 16")
+@query("structure_template")
 def structure_template(spark, d):
     t = carving.Template("head", (("magic", 0, "ascii", 4), ("rest", 4, "ascii", 4)))
-    pages = table(spark, d, "pages").where("octet_length(substring(html, 1, 16)) = 16").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    pages = table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return carving.apply_template(pages, t).select("page_id", F.col("fields")["magic"].alias("magic"), F.col("fields")["rest"].alias("rest"))
 
 

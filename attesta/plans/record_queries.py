@@ -156,10 +156,22 @@ def unlinked_messages(spark, d):
     return artefacts.unlinked(c.withColumnRenamed("conv_id", "node"), c.where("turn >= 3").select(F.col("conv_id").alias("node"))).select(F.col("node").alias("conv_id"), "turn")
 
 
-@query("related_evidence", "WITH m AS (SELECT DISTINCT user_id AS member, event_type AS item FROM events WHERE user_id < 40 AND event_id % 5 = 0) SELECT a.member AS a, b.member AS b, count(*) AS shared FROM m a JOIN m b ON a.item = b.item AND a.member < b.member GROUP BY ALL")
+_RELATED = """m AS (SELECT DISTINCT user_id AS member, event_type || '/' || (event_id % 3) AS item FROM events), g AS (SELECT member, string_agg(item, ',' ORDER BY item) AS items FROM m GROUP BY 1),
+c AS (SELECT items, min(member) AS member, count(*) AS members FROM g GROUP BY 1), i AS (SELECT member, items, unnest(string_split(items, ',')) AS item FROM c)"""
+
+
+def _belongings(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("member"), F.concat_ws("/", "event_type", F.col("event_id") % 3).alias("item"))
+
+
+@query("related_evidence", f"WITH {_RELATED} SELECT a.member AS a, b.member AS b, count(*) AS shared FROM i a JOIN i b ON a.item = b.item AND a.member < b.member GROUP BY ALL")
 def related_evidence(spark, d):
-    m = table(spark, d, "events").where("user_id < 40 and event_id % 5 = 0").select(F.col("user_id").alias("member"), F.col("event_type").alias("item")).distinct()
-    return m.select(F.col("member").alias("a"), "item").join(m.select(F.col("member").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return artefacts.related(artefacts.item_classes(_belongings(spark, d)))
+
+
+@query("related_members", f"WITH {_RELATED} SELECT g.member, c.member AS class, c.members FROM g JOIN c USING (items)")
+def related_members(spark, d):
+    return artefacts.class_members(_belongings(spark, d)).select("member", "class", "members")
 
 
 def _audit(spark, d):

@@ -107,17 +107,17 @@ def timeline_unpivot(spark, d):
     return T.events_of(entries, 694224000.0, 820454400.0).select("node", "path", "time", "action", "source", "sort")
 
 
-_ANOMALIES = """WITH x AS (SELECT l_orderkey, l_linenumber, epoch_us(o_orderdate) / 1e6 AS c, epoch_us(l_shipdate) / 1e6 AS f, epoch_us(l_shipdate - INTERVAL 30 DAY) / 1e6 AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN c < f THEN 'backdated' END, CASE WHEN m < c THEN 'modified_first' END, CASE WHEN c = floor(c) AND f <> floor(f) THEN 'whole_second' END) AS marks FROM x"""
+_ANOMALIES = """WITH x AS (SELECT l_orderkey, l_linenumber, epoch_us(o_orderdate) / 1e6 AS c, epoch_us(l_shipdate) / 1e6 + (l_linenumber % 3) * 0.25 AS f, epoch_us(l_shipdate - INTERVAL 30 DAY) / 1e6 + (l_suppkey % 2) * 0.5 AS m, epoch_us(l_shipdate) / 1e6 + (l_linenumber % 2) * 0.75 AS fm FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN c < f THEN 'backdated' END, CASE WHEN m < c THEN 'modified_first' END, CASE WHEN c = floor(c) AND m = floor(m) AND (f <> floor(f) OR fm <> floor(fm)) THEN 'whole_second' END) AS marks FROM x"""
 
 
 @query("timeline_anomalies", _ANOMALIES)
 def timeline_anomalies(spark, d):
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    text = lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = lambda c, ms=F.lit(0): F.date_format(F.timestamp_millis(F.unix_millis(c.cast("timestamp")) + ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     ship = F.col("l_shipdate")
-    marks = T.anomaly_marks(text(F.col("o_orderdate")), text(ship), text(ship - F.expr("INTERVAL 30 DAYS")), text(ship))
+    marks = T.anomaly_marks(text(F.col("o_orderdate")), text(ship, F.col("l_linenumber") % 3 * 250), text(ship - F.expr("INTERVAL 30 DAYS"), F.col("l_suppkey") % 2 * 500), text(ship, F.col("l_linenumber") % 2 * 750))
     return joined.select("l_orderkey", "l_linenumber", F.array_join(marks, ",").alias("marks"))
 
 

@@ -34,6 +34,11 @@ def test_carving_over_block_edges(spark):
 def test_nested_hits(spark):
     df = spark.createDataFrame([(1, "a", 0, 100, "footer"), (1, "b", 10, 20, "footer"), (1, "c", 0, 100, "limit"), (1, "d", 200, 50, "limit"), (1, "e", 210, 5, "footer"), (2, "f", 10, 20, "footer")], "evidence_id long, name string, offset long, length long, method string")
     assert {r["name"] for r in carving.drop_nested(df).collect()} == {"a", "c", "d", "e", "f"}
+    # All kept hits count among those looked back at, so what is too far back holds nothing.
+    rows = [(1, "big", 0, 1000, "footer"), *((1, f"open{i}", 5, 2000, "limit") for i in range(3)), (1, "late", 20, 5, "footer")]
+    far = spark.createDataFrame(rows, df.schema)
+    assert "late" not in {r["name"] for r in carving.drop_nested(far, 4).collect()}
+    assert "late" in {r["name"] for r in carving.drop_nested(far, 3).collect()}
 
 
 @pytest.mark.parametrize("header", ["ff", "??ffd8", "ffd", "zz00", "00" * 65])

@@ -93,6 +93,9 @@ def test_unpivot_and_marks(spark):
     marks = df.select(timeline.anomaly_marks(F.col("created"), F.col("fn_created"), F.col("modified"), F.lit(None).cast("string"))).collect()
     assert marks[0][0] == ["backdated", "modified_first", "whole_second"]
     assert marks[1][0] == []
+    odd = [("2024-01-02T00:00:00Z", "2024-01-03T00:00:00.5Z", None, "2024-01-01T00:00:00.5Z"), ("2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5Z"), ("2024-01-02T00:00:00Z", None, "2024-01-01T00:00:00.5Z", None)]
+    df = spark.createDataFrame(odd, "c string, m string, fc string, fm string")
+    assert [r[0] for r in df.select(timeline.anomaly_marks(F.col("c"), F.col("fc"), F.col("m"), F.col("fm"))).collect()] == [[], ["whole_second"], []]
 
 
 def test_duplicates(spark):
@@ -114,7 +117,7 @@ def test_hash_list(spark, tmp_path):
     h = hashlib.md5(b"x").hexdigest()
     (tmp_path / "list.txt").write_text(f'"{h.upper()}","b.exe"\n{h} a.exe\nnothing here\n{hashlib.sha256(b"y").hexdigest()}\n')
     got = {(r["algo"], r["label"]) for r in hashing.read_hash_list(spark, str(tmp_path / "list.txt")).collect()}
-    assert got == {("md5", "a.exe"), ("sha256", "")}
+    assert got == {("md5", "b.exe"), ("sha256", "")}
 
 
 def test_fuzzy_scores():

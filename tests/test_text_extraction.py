@@ -10,3 +10,22 @@ def test_long_texts_and_blocks_are_read_to_their_end(spark):
     docs = spark.createDataFrame([(1, 0, bytearray(text.encode()))], "evidence_id long, offset long, data binary")
     assert docs.select(textindex.extracted(F.col("data"))).first()[0] == text
     assert textindex.index_regions(docs).first()["body"] == text
+
+
+def test_scripts_beyond_ascii():
+    said = "Größe und Füße, naïve Häuser"
+    assert textindex.extract(said.encode()) == said
+    for text in (said, "Привет, это простой текст", "Καλημέρα σε όλους", "東京で日本語の文章を読む", "שלום לכולם"):
+        for shift in (b"", b"\xff"):
+            assert textindex.extract(b"\x00\x00" + shift + text.encode("utf-16-le") + b"\x00\x00\xff") == text
+    assert textindex.extract(b"only plain ascii words here") == "only plain ascii words here"
+
+
+def test_noise_reads_as_nothing_long():
+    import random
+
+    noise = random.Random(3).randbytes(1 << 16)
+    said = textindex.extract(noise)
+    assert max(map(len, said.split())) < 16
+    # Four ASCII characters in a row come up by chance; ideographs in a row hardly.
+    assert sum("\u4e00" <= c <= "\ud7a3" for c in said) < 100
