@@ -154,7 +154,7 @@ def calibrated(lexicon: Lexicon, rows: DataFrame, sample: int) -> Lexicon:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.raw(t, automaton) for t in utf8(batch.column(1))], pa.float64())], ["y", "s"])
 
-    got = rows.mapInArrow(raws, "y int, s double").limit(sample).collect()
+    got = rows.mapInArrow(raws, "y int, s double").orderBy(F.xxhash64("s", "y"), "y", "s").limit(sample).collect()
     y, s = np.array([r[0] for r in got]), np.array([r[1] for r in got])
     values = np.unique(s)
     if len(values) < 2:
@@ -186,7 +186,9 @@ class _Scorer:
 def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, score (0 to 1) and the columns ``keep`` of every document; null texts count as empty.
 
-    The score is a function of the text alone.  An empty table gives an empty result.
+    The score is a function of the whole text alone, so rows that repeat are scored alike and a null id
+    stays null.  A column ``score`` of the documents is left out unless renamed.  An empty table gives an
+    empty result.
     """
     model = _Scorer(lexicon)
     return documents.select(id_col, scorer(model, model.vector)(F.col(text_col).cast("string")).alias("score"), *keep)
