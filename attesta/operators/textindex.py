@@ -21,11 +21,21 @@ def tokens_of(text: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[^\W_]+", text)]
 
 
-def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
-    """(term, id, field, pos) of every token.  Written bucketed or partitioned by term, a query reads its terms only."""
+def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """(term, id, field, pos, and the columns of ``scope``) of every token; ``textstore`` keeps them on disk."""
     rows = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("text")) for f in fields if f in docs.columns))
-    each = docs.select(F.col(key).alias("id"), F.explode(rows).alias("r"))
-    return each.select("id", "r.field", F.posexplode(F.regexp_extract_all(F.lower("r.text"), F.lit(TOKEN), F.lit(0))).alias("pos", "term")).select("term", "id", "field", "pos")
+    each = docs.select(F.col(key).alias("id"), *scope, F.explode(rows).alias("r"))
+    return each.select("id", "r.field", *scope, F.posexplode(F.regexp_extract_all(F.lower("r.text"), F.lit(TOKEN), F.lit(0))).alias("pos", "term")).select("term", "id", "field", "pos", *scope)
+
+
+def token_count(docs: DataFrame, fields: tuple[str, ...] = FIELDS):
+    """A column: tokens of a document over its fields, counted where it stands."""
+    return sum((F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))) for f in fields if f in docs.columns), F.lit(0)).cast("long")
+
+
+def document_sizes(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
+    """(id, length) as ``lengths`` gives them, without a row for each token; ``key`` is unique."""
+    return docs.select(F.col(key).alias("id"), token_count(docs, fields).alias("length")).where("length > 0")
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -33,19 +43,24 @@ def lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("id").agg(F.count("*").alias("length"))
 
 
-def phrase_hits(index: DataFrame, phrase: str) -> DataFrame:
-    """(id, hits): how often the tokens of ``phrase`` stand in a row within one field.
+def phrases_hits(index: DataFrame, phrases: list[str]) -> DataFrame:
+    """(id, q, hits): how often the tokens of each phrase stand in a row within one field; ``q`` is its place in the list.
 
-    Positions are shifted by the token's place in the phrase and counted together, so a phrase of any
-    length is one aggregate and no chain of joins.
+    Positions are shifted by the token's place in the phrase and counted together, so phrases of any
+    number and length are one pass and one aggregate and no chain of joins.
     """
-    terms = tokens_of(phrase)
-    if not terms:
-        return index.select("id", F.lit(0).cast("long").alias("hits")).limit(0)
-    wanted = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(terms)))
-    at = index.where(F.col("term").isin(sorted(set(terms)))).withColumn("w", F.explode(F.filter(wanted, lambda x: x["t"] == F.col("term"))))
-    starts = at.groupBy("id", "field", (F.col("pos") - F.col("w.i")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
-    return starts.groupBy("id").agg(F.count("*").alias("hits"))
+    split = [tokens_of(p) for p in phrases]
+    wanted = [F.struct(F.lit(t).alias("t"), F.lit(q).alias("q"), F.lit(i).alias("i"), F.lit(len(ts)).alias("k")) for q, ts in enumerate(split) for i, t in enumerate(ts)]
+    if not wanted:
+        return index.select("id", F.lit(0).alias("q"), F.lit(0).cast("long").alias("hits")).limit(0)
+    at = index.where(F.col("term").isin(sorted({t for ts in split for t in ts}))).withColumn("w", F.explode(F.filter(F.array(*wanted), lambda x: x["t"] == F.col("term"))))
+    starts = at.groupBy("id", "w.q", "w.k", "field", (F.col("pos") - F.col("w.i")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == F.col("k"))
+    return starts.groupBy("id", "q").agg(F.count("*").alias("hits"))
+
+
+def phrase_hits(index: DataFrame, phrase: str) -> DataFrame:
+    """(id, hits) of one phrase."""
+    return phrases_hits(index, [phrase]).select("id", "hits")
 
 
 def ranked(index: DataFrame, terms: list[str], mode: str = "any", sizes: DataFrame | None = None) -> DataFrame:
@@ -58,11 +73,8 @@ def ranked(index: DataFrame, terms: list[str], mode: str = "any", sizes: DataFra
     phrases = [t for t in dict.fromkeys(terms) if tokens_of(t)]
     sizes = lengths(index) if sizes is None else sizes
     whole = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = None
-    for i, p in enumerate(phrases):
-        found = phrase_hits(index, p).select("id", F.lit(i).alias("q"), "hits")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    hits = phrases_hits(index, phrases)
+    if not phrases:
         return index.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import artefacts, casebook, search, textindex
+from ..operators import artefacts, casebook, search, textindex, textstore
+from ..operators.scratch import shared_dir
 from .base import EV, contents, query, table, timeline
 
 _TERMS = ("stand", "mitted", "the and")
@@ -57,6 +60,10 @@ def _index(spark, d):
     return textindex.postings(contents(spark, d), ("body",))
 
 
+def _sizes(spark, d):
+    return textindex.document_sizes(contents(spark, d), ("body",))
+
+
 @query("index_terms", f"WITH {_TOK} SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM ix GROUP BY term")
 def index_terms(spark, d):
     return _index(spark, d).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
@@ -78,12 +85,39 @@ FROM h JOIN df USING (q) JOIN sizes USING (id), whole GROUP BY id {mode_filter}"
 
 @query("index_query_any", _bm25(""))
 def index_query_any(spark, d):
-    return textindex.ranked(_index(spark, d), ["license", "of the"]).withColumn("score", F.round("score", 6))
+    return textindex.ranked(_index(spark, d), ["license", "of the"], sizes=_sizes(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("index_query_all", _bm25("HAVING count(*) = 2"))
 def index_query_all(spark, d):
-    return textindex.ranked(_index(spark, d), ["license", "of the"], "all").withColumn("score", F.round("score", 6))
+    return textindex.ranked(_index(spark, d), ["license", "of the"], "all", _sizes(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def _stored(spark, d):
+    """The folder of an index of ``documents``, by language, built for this call."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    textstore.build(contents(spark, d).drop("name", "path").withColumns({"evidence": F.col("part"), "part": F.lit("")}).withColumn("kind", F.when(F.col("id") % 3 == 0, "raw").when(F.col("id") % 3 == 1, "usn")), path)
+    return path
+
+
+@query("stored_index_query", _bm25(""))
+def stored_index_query(spark, d):
+    return textstore.ranked(spark, _stored(spark, d), ["license", "of the"]).withColumn("score", F.round("score", 6))
+
+
+_STATUS = """d AS (SELECT doc_id, lang, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN text IS NULL THEN 'unreadable' WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'no_text' ELSE 'indexed' END AS status FROM documents)"""
+
+
+@query("stored_index_report", f"""WITH {_STATUS} SELECT coalesce(lang, '') AS evidence, '' AS part, count(*) AS candidates, count(*) FILTER (WHERE status = 'indexed') AS indexed, count(*) FILTER (WHERE status <> 'empty') AS with_content,
+count(*) FILTER (WHERE status = 'empty') AS empty, count(*) FILTER (WHERE status = 'unreadable') AS unreadable, count(*) FILTER (WHERE status = 'no_text') AS no_text,
+CASE WHEN count(*) FILTER (WHERE status <> 'empty') = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE status = 'indexed')::DOUBLE / count(*) FILTER (WHERE status <> 'empty'), 4) END AS coverage FROM d GROUP BY ALL""")
+def stored_index_report(spark, d):
+    return textstore.build_report(textstore.documents(spark, _stored(spark, d)), ["evidence", "part"])
+
+
+@query("stored_index_status", f"""WITH {_STATUS} SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 2) AS file_documents, count(*) FILTER (WHERE doc_id % 3 = 1) AS usn_documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS raw_documents, count(*) FILTER (WHERE doc_id % 3 = 0) > 0 AS complete FROM d WHERE status = 'indexed'""")
+def stored_index_status(spark, d):
+    return textstore.status(textstore.documents(spark, _stored(spark, d)))
 
 
 @query("index_query_snippets")
