@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import from_unix, from_webkit
+
 
 def journal_fold(journal: DataFrame) -> DataFrame:
     """One row per name without case and file: records, all reasons, first and last time, the name as first read."""
@@ -34,6 +36,73 @@ def urls_without_visits(urls: DataFrame, history: DataFrame) -> DataFrame:
     return urls.join(history.select("url").distinct(), "url", "left_anti").withColumn("note", F.lit("no visit recorded"))
 
 
+def chromium_downloads(downloads: DataFrame, chains: DataFrame) -> DataFrame:
+    """Downloads with the last URL of their redirect chain (id, chain_index, url), null where none is kept."""
+    last = chains.groupBy("id").agg(F.max_by("url", "chain_index").alias("url"))
+    return downloads.join(last, "id", "left").select(
+        "id", F.col("target_path").alias("target"), "url", from_webkit(F.col("start_time")).alias("started_at"), from_webkit(F.col("end_time")).alias("finished_at"),
+        F.col("received_bytes").alias("bytes"), "total_bytes", F.coalesce(F.col("opened") != 0, F.lit(False)).alias("opened"), F.lit("chromium").alias("source"),
+    )
+
+
+def firefox_downloads(annotations: DataFrame, attributes: DataFrame, places: DataFrame) -> DataFrame:
+    """Annotations that name a download's target, with the page they belong to; the time is that of its last visit."""
+    named = attributes.where(F.col("name") == "downloads/destinationFileURI").select(F.col("id").alias("anno_attribute_id")).distinct()
+    pages = places.select(F.col("id").alias("place_id"), "url", "last_visit_date")
+    said = annotations.join(named, "anno_attribute_id", "left_semi").join(pages, "place_id", "left")
+    return said.select("id", F.col("content").alias("target"), "url", from_unix(F.col("last_visit_date"), "us").alias("started_at"), F.lit("firefox").alias("source"))
+
+
+def chromium_cookies(cookies: DataFrame) -> DataFrame:
+    """Cookies of a Chromium profile under common names; a value that is kept encrypted is told, not read."""
+    flag = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    return cookies.select(
+        F.col("host_key").alias("host"), "name", "path", from_webkit(F.col("creation_utc")).alias("created_at"), from_webkit(F.col("expires_utc")).alias("expires_at"), from_webkit(F.col("last_access_utc")).alias("last_access"),
+        flag("is_secure").alias("secure"), flag("is_httponly").alias("http_only"), (F.coalesce(F.octet_length("encrypted_value"), F.lit(0)) > 0).alias("encrypted"), F.lit("chromium").alias("source"),
+    )
+
+
+def firefox_cookies(cookies: DataFrame) -> DataFrame:
+    """Cookies of a Firefox profile under the same names; ``expiry`` is in seconds, the other times in microseconds."""
+    flag = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    return cookies.select(
+        "host", "name", "path", from_unix(F.col("creationTime"), "us").alias("created_at"), from_unix(F.col("expiry")).alias("expires_at"), from_unix(F.col("lastAccessed"), "us").alias("last_access"),
+        flag("isSecure").alias("secure"), flag("isHttpOnly").alias("http_only"), F.lit(False).alias("encrypted"), F.lit("firefox").alias("source"),
+    )
+
+
+def recovered_urls(records: DataFrame) -> DataFrame:
+    """Deleted rows that hold a URL, of ``values`` ARRAY<STRUCT<text STRING, number BIGINT>>.
+
+    url: the first text with a web or file scheme; title: the first other text of over three characters;
+    visited_at: the first number that reads as a time, in microseconds since 1601 or since 1970.
+    """
+    texts = F.filter(F.transform("values", lambda v: v["text"]), lambda t: t.isNotNull())
+    url = F.try_element_at(F.filter(texts, lambda t: t.rlike("^(https?|ftp|file)://")), F.lit(1))
+    title = F.try_element_at(F.filter("_texts", lambda t: (t != F.col("url")) & (F.length(t) > 3)), F.lit(1))
+    webkit = lambda n: (n > F.lit(10**16)) & (n < F.lit(14 * 10**16))
+    stamp = F.try_element_at(F.filter(F.transform("values", lambda v: v["number"]), lambda n: webkit(n) | ((n > F.lit(10**15)) & (n < F.lit(2 * 10**15)))), F.lit(1))
+    out = records.withColumns({"_texts": texts, "url": url, "_stamp": stamp}).where("url is not null")
+    seen = F.when(webkit(F.col("_stamp")), from_webkit(F.col("_stamp"))).otherwise(from_unix(F.col("_stamp"), "us"))
+    return out.withColumns({"title": title, "visited_at": seen, "deleted": F.lit(True)}).drop("_texts", "_stamp", "values")
+
+
+def cache_key_url(key: Column) -> Column:
+    """The URL within a browser's HTTP cache key, null where the key holds none.
+
+    A key is a URL itself, or ``credential/upload/[_dk_... ]url``: the part behind the second slash,
+    and behind its last space where it starts with the mark of a partitioned cache.
+    """
+    rest = F.regexp_extract(key, r"(?s)^[^/]*/[^/]*/(.*)$", 1)
+    inner = F.when(rest.startswith("_dk_"), F.when(F.contains(rest, F.lit(" ")), F.regexp_extract(rest, r"(?s)^.* (.*)$", 1)).otherwise("")).otherwise(rest)
+    return F.when(key.rlike("^(https?|ftp|file|wss?)://"), key).when(inner.rlike("(?i)^[a-z][a-z0-9+.-]*:"), inner)
+
+
+def http_status(head: Column) -> Column:
+    """The status of the last HTTP status line in a text, null without one."""
+    return F.try_element_at(F.regexp_extract_all(head, F.lit(r"HTTP/\d(?:\.\d)? +(\d{3})"), F.lit(1)), F.lit(-1)).cast("int")
+
+
 PRODUCTS = (("\\google\\chrome\\", "Chrome"), ("\\microsoft\\edge\\", "Edge"), ("\\brave-browser\\", "Brave"), ("\\opera software\\", "Opera"), ("\\vivaldi\\", "Vivaldi"), ("\\mozilla\\firefox\\", "Firefox"))
 
 
@@ -85,9 +154,26 @@ def parity_mismatch(words: DataFrame, by: list[str]) -> DataFrame:
     return words.groupBy(*by).agg(F.bit_xor("word").alias("parity")).where("parity != 0")
 
 
+# Windows logon types, fixed values.
+LOGON_TYPES = {
+    2: "interactive", 3: "network", 4: "batch", 5: "service", 7: "unlock", 8: "network, clear text", 9: "new credentials",
+    10: "remote interactive (Remote Desktop)", 11: "cached interactive",
+}
+
+
 def described(events: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Events with the description of their (provider, event_id), null where none is known."""
-    return events.join(catalogue.select("provider", "event_id", "description"), ["provider", "event_id"], "left")
+    """Events with the description of their (provider, event_id), null where none is known.
+
+    Where the catalogue marks an event ``with_logon`` and the event has a ``logon_type``, its meaning follows.
+    """
+    more = [c for c in ("with_logon",) if c in catalogue.columns]
+    out = events.join(catalogue.select("provider", "event_id", "description", *more), ["provider", "event_id"], "left")
+    if not more or "logon_type" not in events.columns:
+        return out.drop(*more)
+    names = F.create_map(*(F.lit(x) for pair in LOGON_TYPES.items() for x in pair))
+    kind = F.col("logon_type").cast("int")
+    suffix = F.concat(F.lit(" (logon type "), kind, F.lit(": "), F.coalesce(F.try_element_at(names, kind), F.lit("unrecognised")), F.lit(")"))
+    return out.withColumn("description", F.concat("description", F.when(F.col("with_logon") & kind.isNotNull(), suffix).otherwise(""))).drop("with_logon")
 
 
 def latest_usable(versions: DataFrame, by: list[str], usable, sequence: str = "sequence") -> DataFrame:

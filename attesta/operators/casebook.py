@@ -95,6 +95,41 @@ def triage(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "kind").agg(F.count("*").alias("n")).orderBy(severity_rank(F.col("severity")), "kind")
 
 
+def triage_over(parts: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """``triage`` over relations of findings, each with its severity and kind; kinds without a finding have no row."""
+    out = None
+    for severity, kind, df in parts:
+        row = df.agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out.where("n > 0").orderBy(severity_rank(F.col("severity")), "kind")
+
+
+def type_scan(judged: DataFrame, by: list[str]) -> DataFrame:
+    """checked, mismatches and grave ones of files with a ``type_verdict`` in column ``v``."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    wrong = F.col("v.verdict") == "mismatch"
+    return judged.groupBy(*by).agg(F.count("*").alias("checked"), count(wrong).alias("mismatches"), count(wrong & (F.col("v.severity") == "high")).alias("high"))
+
+
+def storage(files: DataFrame, folder: str = "folder", size: str = "size") -> DataFrame:
+    """files and bytes by folder, and those of all under a null folder."""
+    return files.rollup(folder).agg(F.count("*").alias("files"), F.sum(size).cast("long").alias("bytes"))
+
+
+# Techniques that an artefact of a kind may show, fixed values.
+SUGGESTIONS = {
+    "prefetch": ("T1204.002", "T1059.003"), "recyclebin": ("T1070.004",), "lnk": ("T1547.009", "T1204.002"), "browser": ("T1071.001", "T1105", "T1567.002"), "appcompat": ("T1204.002",), "shellbags": ("T1083",),
+    "usn": ("T1070.004", "T1070.006"), "mail": ("T1114.001", "T1566.001"), "vss": ("T1490",), "evtx": ("T1070.001",), "registry": ("T1547.001", "T1112"), "leveldb": ("T1071.001",),
+}
+
+
+def suggestions(findings: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Techniques of ``catalogue`` (technique, name, ...) that the kinds of ``findings`` may show, with how many findings stand behind each."""
+    known = F.create_map(*(x for k, ts in SUGGESTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))))
+    seen = findings.groupBy("kind").agg(F.count("*").alias("findings")).withColumn("technique", F.explode(F.try_element_at(known, F.col("kind"))))
+    return seen.join(catalogue, "technique").withColumn("status", F.lit("proposed"))
+
+
 def reassociate(tags: DataFrame, identities: DataFrame) -> DataFrame:
     """Tags of evidence that is gone, moved to the only other evidence with the same volume key.
 

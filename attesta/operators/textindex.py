@@ -195,6 +195,16 @@ def index_regions(blocks: DataFrame, most_entropy: float = 7.2, shortest: int =
     return some.select(place.alias("id"), F.lit("").alias("name"), place.alias("path"), body.alias("body"), F.lit("raw").alias("kind")).where(F.length("body") >= shortest)
 
 
+def with_metadata(docs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``docs`` with their metadata (id, name, value) before the body, so that a search finds both.
+
+    Values stand in the order of their names; a document without metadata keeps its body.
+    """
+    said = F.array_sort(F.collect_list(F.concat_ws(" ", "name", F.col("value").cast("string"))))
+    rows = metadata.groupBy("id").agg(F.array_join(said, " ").alias("_said"))
+    return docs.join(rows, "id", "left").withColumn("body", F.when(F.col("_said").isNull(), F.col("body")).otherwise(F.concat_ws(" ", "_said", "body"))).drop("_said")
+
+
 def index_all(*parts: DataFrame) -> DataFrame:
     """Documents of volumes, journals and raw regions as one relation to index."""
     out = parts[0]

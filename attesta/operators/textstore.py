@@ -54,6 +54,8 @@ def build(files: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
 
 def _scoped(df: DataFrame, evidence: str | None, part: str | None) -> DataFrame:
+    # An empty value stands in the folder for nulls.
+    df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in SCOPE})
     for name, value in (("evidence", evidence), ("part", part)):
         if value is not None:
             df = df.where(F.col(name) == str(value))
@@ -107,8 +109,9 @@ def status(held: DataFrame) -> DataFrame:
 def clear(spark: SparkSession, path: str, evidence: str | None = None, part: str | None = None) -> None:
     """Removes a scope, or all of the index: its folders go, no file of another scope is read."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for name in ("postings", "documents"):
-        levels = [f"evidence={'*' if evidence is None else evidence}", f"part={'*' if part is None else part}"]
+        levels = [f"{c}=*" if v is None else folder(c, str(v) or None) for c, v in zip(SCOPE, (evidence, part), strict=True)]
         root = fs_path(f"{path}/{name}")
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         for found in fs.globStatus(fs_path(f"{path}/{name}/{'/'.join(levels)}")) or []:

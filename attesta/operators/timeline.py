@@ -64,12 +64,22 @@ def page(events: DataFrame, cursor: tuple | None = None, limit: int = 200, **cri
     """
     if not 1 <= limit <= PAGE_LIMIT:
         raise ValueError(f"limit: 1 to {PAGE_LIMIT}")
-    out = events.where(timeline_predicate(**criteria))
-    if cursor is not None:
-        s, p, a, i = cursor
-        after = (F.col("path") > p) | ((F.col("path") == p) & ((F.col("action") > a) | ((F.col("action") == a) & (F.col("id") > i))))
-        out = out.where((F.col("sort") >= s) & ((F.col("sort") > s) | after))
-    return out.orderBy("sort", "path", "action", "id").limit(limit)
+    return events.where(timeline_predicate(**criteria)).where(_after(cursor)).orderBy("sort", "path", "action", "id").limit(limit)
+
+
+def _after(cursor: tuple | None) -> Column:
+    if cursor is None:
+        return F.lit(True)
+    s, p, a, i = cursor
+    rest = (F.col("path") > p) | ((F.col("path") == p) & ((F.col("action") > a) | ((F.col("action") == a) & (F.col("id") > i))))
+    return (F.col("sort") >= s) & ((F.col("sort") > s) | rest)
+
+
+def page_status(events: DataFrame, cursor: tuple | None = None, limit: int = 200, **criteria) -> DataFrame:
+    """matched (all events that meet ``criteria``), returned and done of a page, in one row and one pass."""
+    left = F.coalesce(F.sum(_after(cursor).cast("long")), F.lit(0))
+    out = events.where(timeline_predicate(**criteria)).agg(F.count("*").alias("matched"), left.alias("_left"))
+    return out.select("matched", F.least("_left", F.lit(limit)).cast("long").alias("returned"), (F.col("_left") <= limit).alias("done"))
 
 
 def minutes(events: DataFrame) -> DataFrame:
@@ -125,6 +135,29 @@ def histogram(events: DataFrame, bins: int, start: float | None = None, end: flo
     return frame.join(counts, "bucket", "left").select("bucket", (lo + F.col("bucket") * width).alias("lo"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def histogram_totals(events: DataFrame, bounds: dict, **criteria) -> DataFrame:
+    """before, inside, after and total of a histogram's range over the events that meet ``criteria``, in one row."""
+    s = F.col("sort")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    kinds = [count(s < bounds["lo"]).alias("before"), count((s >= bounds["lo"]) & (s < bounds["hi"])).alias("inside"), count(s >= bounds["hi"]).alias("after")]
+    return events.where(timeline_predicate(**criteria)).agg(*kinds).withColumn("total", F.col("before") + F.col("inside") + F.col("after"))
+
+
+def histogram_from_minutes(buckets: DataFrame, bounds: dict, flagged: bool = False) -> DataFrame:
+    """The rows of ``histogram`` from minute buckets (m, n, flagged) alone, for bounds on whole minutes.
+
+    Such buckets are kept once per timeline, so a zoom out reads a row a minute and not an event each.
+    """
+    lo, width, n = (int(bounds[k]) for k in ("lo", "width", "n"))
+    if lo % 60 or width % 60 or not width or lo != bounds["lo"] or width != bounds["width"]:
+        raise ValueError("bounds: whole minutes")
+    place = F.floor((F.col("m") - lo // 60) / (width // 60)).cast("int")
+    inside = buckets.where((F.col("m") >= lo // 60) & (F.col("m") < (lo + n * width) // 60))
+    counts = inside.groupBy(place.alias("bucket")).agg(F.sum("flagged" if flagged else "n").alias("n"))
+    frame = buckets.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
+    return frame.join(counts, "bucket", "left").select("bucket", (F.lit(float(lo)) + F.col("bucket") * F.lit(float(width))).alias("lo"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def summary(events: DataFrame) -> DataFrame:
     """events, files, deleted, flagged and the span of a timeline, in one row."""
     return events.agg(
