@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower
 from ..operators.scratch import cut, shared_dir
 
-__all__ = ["ascii_lower", "beside", "cut", "parallelism", "shared_dir", "table", "utf8"]
+__all__ = ["ascii_lower", "beside", "cut", "parallelism", "shared_dir", "table", "utf8", "worker_store"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +24,11 @@ def beside(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def worker_store() -> dict:
+    """What this Python process keeps from task to task.  Functions travel by value, so their own globals last one task."""
+    return sys.modules.setdefault("_attesta_kept", ModuleType("_attesta_kept")).__dict__.setdefault("kept", {})
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,4 +1,4 @@
-"""The ten operators over the tables, under fixed production parameters.
+"""The operators over the tables, under fixed production parameters.
 
 ``QUERIES`` maps a name to ``f(spark, sf_dir)``; ``ORACLES`` holds DuckDB SQL where SQL can say the
 same over whole tables in fair time.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, lines, packing, quality, simhash, spans, toxicity, urls
+from . import bpe, decontaminate, embeddings, infill, licenses, lines, packing, quality, simhash, spans, toxicity, tries, urls
 from .common import table
 
 
@@ -65,6 +65,23 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return out.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op11_conversation_trie(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return tries.prefix_trie(tries.share_heads(tries.sequences(conversations), block=100, modulus=6))
+
+
+def op12_bpe_round_trip(spark, sf_dir):
+    coded = bpe.encode(table(spark, sf_dir, "documents"))
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    cut = infill.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50, units="lines")
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -76,5 +93,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op3_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.ORACLE, "op3_line_dedup": lines.ORACLE, "op11_conversation_trie": tries.ORACLE, "op13_fill_in_middle": infill.ORACLE}
