@@ -11,7 +11,6 @@ covers every document.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +26,26 @@ for _name, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
     _KINDS[list(_chars)] = _name
 _N_KINDS = 10
 FEATURES = ("log_bytes", *(f"kind_{i}" for i in range(_N_KINDS)), "log_words", "mean_word", "distinct_words", "top_word", "distinct_pairs", "short_words", "distinct_lines", "top_byte", "marked_words", "shouted_words")
-_MARKED = re.compile(rb"[^\s.,;:'\")\]\w\x80-\xff]{2,}(?=\s|$)")
+# Classes of bytes of a word: blank, small, those that may begin a shouted word, those that mark a word at its end.
+_BLANK, _SMALL, _LOUD, _MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\v\f", bytes(range(97, 123)), bytes([*range(65, 91), *range(128, 256)]), bytes(set(range(128)) - set(b" \t\n\r\v\f.,;:'\")]_" + bytes([*range(48, 58), *range(65, 91), *range(97, 123)])))))
+
+
+def _marked_and_shouted(data: np.ndarray) -> tuple[int, int]:
+    """Words that end with two marks or more; words of three large or foreign letters and more without a small letter."""
+    blank = np.concatenate(([True], _BLANK[data], [True]))
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    size, mark, loud = ends - starts, _MARK[data], _LOUD[data]
+    long, three = ends[size >= 2], size >= 3
+    marked = int((mark[long - 1] & mark[long - 2]).sum())
+    at, small = starts[three], np.concatenate(([0], np.cumsum(_SMALL[data])))
+    shouted = int((loud[at] & loud[at + 1] & loud[at + 2] & (small[ends[three]] == small[at])).sum())
+    return marked, shouted
 
 
 def features(text: bytes) -> np.ndarray:
     """The features of a whole UTF-8 text; the empty text has its own fixed ones."""
-    raw = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    data = np.frombuffer(text, dtype=np.uint8)
+    raw = np.bincount(data, minlength=256)
     size = max(len(text), 1)
     kinds = np.bincount(_KINDS, weights=raw, minlength=_N_KINDS) / size
     words = text.lower().split()
@@ -41,11 +54,11 @@ def features(text: bytes) -> np.ndarray:
     distinct, counts = np.unique(codes, return_counts=True) if len(words) else (codes, np.zeros(1))
     pairs = len(np.unique(codes[:-1] * 31 + codes[1:])) if len(words) > 1 else 1
     lines = [x for x in text.split(b"\n") if x.strip()]
-    shouted = len(re.findall(rb"(?:(?<=\s)|^)[A-Z\x80-\xff]{3,}[^a-z\s]*(?=\s|$)", text))
+    marked, shouted = _marked_and_shouted(data)
     return np.array(
         [
             np.log1p(len(text)), *kinds, np.log1p(len(words)), min(len(text) / n, 40.0), len(distinct) / n, counts.max() / n, pairs / max(n - 1, 1),
-            sum(len(w) < 3 for w in words) / n, len(set(lines)) / max(len(lines), 1), raw.max() / size, len(_MARKED.findall(text)) / n, shouted / n,
+            sum(len(w) < 3 for w in words) / n, len(set(lines)) / max(len(lines), 1), raw.max() / size, marked / n, shouted / n,
         ]
     )
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import timeit
 import zlib
 from collections import defaultdict
 
@@ -338,6 +339,25 @@ def test_scores_depend_on_the_text_alone(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_marked_and_shouted_words_against_patterns():
+    rng = random.Random(2)
+    pool = ["A", "B", "É", "a", " ", "\n", "\t", "\v", "#", "!", "_", "0", ".", ")", "\x1c", "\x85", "漢"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(40))).encode()
+        marked = re.findall(rb"[^\s.,;:'\")\]\w\x80-\xff]{2,}(?=\s|$)", text)
+        shouted = re.findall(rb"(?:(?<=\s)|^)[A-Z\x80-\xff]{3,}[^a-z\s]*(?=\s|$)", text)
+        assert quality._marked_and_shouted(np.frombuffer(text, dtype=np.uint8)) == (len(marked), len(shouted))
+
+
+@pytest.mark.parametrize("unit", ["中", "ы", "#", " ", "A", "\n"])
+def test_scoring_takes_time_in_line_with_the_text(unit):
+    def took(n):
+        text = (unit * n + "abc").encode()
+        return min(timeit.repeat(lambda: (quality.features(text), toxicity.fold(text.decode())), number=1, repeat=3))
+
+    assert took(1_000_000) < 8 * took(250_000) + 0.05
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Sсum, SCUM 5cum a$cum") == " scum scum scum ascum "
     assert toxicity.fold("1d10t!") == " idiot "
@@ -480,6 +500,22 @@ def test_fast_ids_equal_the_tokenizers():
         assert encode(t.encode()).tolist() == encode.slow.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "7", "#", "中", " \xa0"])
+def test_ids_of_very_long_runs(unit):
+    encode = packing.Encoder(*packing.default_files())
+    for n in (9_000 // len(unit.encode()), 1_000_000):
+        text = "x" + unit * n + "a"
+        assert encode(text.encode()).tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_runs(spark):
+    texts = ["x" + u * n + "a" for u in " \na7" for n in (1_000_000, 2_000_000)]
+    rows = packing.pack_documents(docs_of(spark, texts)).collect()
+    encode = packing.Encoder(*packing.default_files())
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(encode(t.encode())) + 1 for i, t in enumerate(texts)}
+    assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+
+
 def test_first_fit_decreasing_against_plain_search():
     rng = random.Random(3)
     for _ in range(20):
