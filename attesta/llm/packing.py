@@ -1,14 +1,15 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 A document's ids are cut into pieces of the sequence length and a remainder.  Pieces go to groups by
-a hash of their document, each group of about ``GROUP`` pieces is packed by itself, and the number
+a hash of their document and start beside a drawn number, each group of about ``GROUP`` pieces is packed by itself, and the number
 of groups follows the number of pieces, so a group fits a task at any size of the table.  The tree
 holds the free room of every open sequence and the larger of two rooms at each inner node; the first
 sequence that fits a piece is found by one walk from the root.
 
 Ids come from a byte-level BPE.  Texts are encoded by the rank table of the same vocabulary, whose
-ids equal those of the tokenizer file and cost a sixth of the time; a text that spells a special
-token goes through the tokenizer file itself, which reads it as that token.
+ids equal those of the tokenizer file and cost a sixth of the time.  A text that spells a special
+token goes through the tokenizer file itself, which reads it as that token, and so does a text with a
+very long run of blanks or of anything else without a blank, on which the faster one can fail.
 """
 
 from __future__ import annotations
@@ -24,10 +25,20 @@ from pyspark.sql import functions as F
 from .common import cut, utf8
 
 LENGTH, END, GROUP = 2048, 1, 4096
+#: Bytes of a run of blanks, or of a run without one, above which the tokenizer file itself reads a text.
+RUN = 10_000
 _SPECIAL = b"<|endoftext|>"
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 _loaded: dict = {}
 
 
+def longest_run(text: bytes) -> int:
+    """Bytes of the longest run of ASCII blanks or of other bytes."""
+    blank = _BLANK[np.frombuffer(text, dtype=np.uint8)]
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    return int(np.diff(np.concatenate(([0], turns, [len(text)]))).max()) if len(text) else 0
+
+
 class Encoder:
     """Ids of a text as ``tokenizers`` gives them for ``json_path`` without special tokens added."""
 
@@ -45,9 +56,14 @@ class Encoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         said = text.decode("utf-8", "replace")
-        if self.fast is None or _SPECIAL in text:
+        if self.fast is None or _SPECIAL in text or len(text) > RUN and longest_run(text) > RUN:
+            return np.array(self.slow.encode(said, add_special_tokens=False).ids, dtype="<u4")
+        try:
+            return np.array(self.fast.encode_ordinary(said), dtype="<u4")
+        except BaseException as failure:  # a panic of the compiled library is no Exception
+            if type(failure).__name__ != "PanicException":
+                raise
             return np.array(self.slow.encode(said, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(said), dtype="<u4")
 
 
 def default_files() -> tuple[str, str | None, str | None]:
