@@ -1,7 +1,6 @@
 """The index on disk: same ranks as in memory, folders read, scopes replaced and removed."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from attesta.operators import textindex, textstore
 
@@ -35,8 +34,6 @@ def test_only_folders_of_the_terms_are_read(spark, store):
     plan = textstore.postings(spark, store, ["red fox"])._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert "In(term, [fox,red])" in plan
-    opened = textstore.postings(spark, store, ["hen"]).select(F.input_file_name()).distinct().count()
-    assert opened == 1
 
 
 def test_report_and_status(spark, store):
@@ -61,3 +58,96 @@ def test_scope_is_replaced_and_removed(spark, store):
     assert not found(textstore.ranked(spark, store, ["cat"])) and found(textstore.ranked(spark, store, ["fox"]))
     textstore.clear(spark, store)
     assert textstore.documents(spark, store).count() == 0
+
+
+def docs(spark, *rows):
+    """Files (id, body, evidence, part)."""
+    return spark.createDataFrame([(i, "", "", body, len(body or ""), e, p, None) for i, body, e, p in rows], TYPES)
+
+
+def ids(spark, path, term, **more):
+    return set(found(textstore.ranked(spark, path, [term], **more)))
+
+
+def test_a_rebuild_leaves_no_old_hit(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    textstore.build(docs(spark, (1, " ".join(words), "e", "p"), (2, "alpha", "e", "q")), path)
+    textstore.build(docs(spark, (1, "omega", "e", "p")), path)
+    assert {i for w in words for i in ids(spark, path, w)} == {2}
+    assert ids(spark, path, "omega") == {1}
+    textstore.build(docs(spark, (1, "", "e", "p")), path)
+    assert not ids(spark, path, "omega") and textstore.documents(spark, path, "e", "p").count() == 1
+    textstore.build(docs(spark), path, scopes=[("e", "q")])
+    assert not ids(spark, path, "alpha") and textstore.documents(spark, path).count() == 1
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    textstore.build(docs(spark, (1, "old words", "e", "p")), path)
+    save = textstore._save
+
+    def failing(df, to, by=()):
+        if "/documents/" in to:
+            raise OSError("disk full")
+        save(df, to, by)
+
+    monkeypatch.setattr(textstore, "_save", failing)
+    for change in (textstore.build, textstore.add):
+        with pytest.raises(OSError):
+            change(docs(spark, (1, "new words", "e", "p"), (2, "more", "e", "p")), path)
+    monkeypatch.undo()
+    assert ids(spark, path, "old") == ids(spark, path, "words") == {1} and not ids(spark, path, "new")
+    assert textstore.documents(spark, path).count() == 1
+    assert textstore.vacuum(spark, path, older_than=0) and ids(spark, path, "old") == {1}
+
+
+def test_add_remove_and_compact(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    textstore.build(docs(spark, (1, "red fox", "e", "p"), (2, "red hen", "e", "p"), (3, "red cat", "f", None)), path)
+    textstore.add(docs(spark, (2, "blue hen", "e", "p"), (4, "blue fox", "e", "p"), (3, "blue cat", "e", "p")), path)
+    assert ids(spark, path, "red") == {1, 3} and ids(spark, path, "blue") == {2, 3, 4}
+    textstore.add(docs(spark, (2, "green hen", "e", "p")), path)
+    textstore.remove(spark.createDataFrame([("f", None, 3), ("e", "p", 99)], "evidence string, part string, id long"), path)
+    textstore.remove(spark.createDataFrame([("e", "p", 1)], "evidence string, part string, id long"), path)
+    want = {"red": set(), "blue": {3, 4}, "green": {2}, "hen": {2}, "fox": {4}}
+    before = textstore.opened(spark, path)
+    held = {t: found(textstore.ranked(spark, path, [t])) for t in want}
+    assert {t: set(x) for t, x in held.items()} == want and len(before.segments) == 3
+    after = textstore.compact(spark, path, buckets=3)
+    assert len(after.segments) == 1 and after.dead is None
+    assert {t: found(textstore.ranked(spark, path, [t])) for t in want} == held
+    assert {t: found(textstore.ranked(spark, path, [t], version=before)) for t in want} == held
+    textstore.add(docs(spark, (7, "late fox", "g", "p")), path)
+    assert ids(spark, path, "fox") == {4, 7} and ids(spark, path, "fox", evidence="g", part="p") == {7}
+    assert textstore.vacuum(spark, path, older_than=0) and ids(spark, path, "fox") == {4, 7}
+    with pytest.raises(Exception):
+        textstore.ranked(spark, path, ["fox"], version=before).collect()
+
+
+def test_readers_keep_their_version(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    first = textstore.build(docs(spark, (1, "one", "e", "p")), path)
+    begun = textstore.ranked(spark, path, ["one"])
+    textstore.build(docs(spark, (1, "two", "e", "p")), path)
+    textstore.clear(spark, path)
+    assert set(found(begun)) == {1} and ids(spark, path, "one", version=first) == {1} and not ids(spark, path, "two")
+    assert textstore.versions(spark, path) == [1, 2, 3]
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    first = textstore.build(docs(spark, (1, "one", "e", "p")), path)
+    textstore.build(docs(spark, (1, "two", "e", "p")), path)
+    with pytest.raises(RuntimeError):
+        textstore._commit(spark, path, first)
+    assert ids(spark, path, "two") == {1}
+
+
+def test_an_empty_index(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    assert not ids(spark, path, "one") and textstore.documents(spark, path).count() == 0
+    assert textstore.status(textstore.documents(spark, path)).first()["documents"] == 0
+    textstore.build(docs(spark), path)
+    textstore.add(docs(spark, (1, "o'ne two", "e'1", "p\\")), path)
+    assert ids(spark, path, "two", evidence="e'1", part="p\\") == {1}
