@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import block_class
+from .scan import Ordered
 from .search import with_edges
 
 MAX_RULES, MAX_PATTERN, OVERLAP, LOOK_BACK = 50, 64, 1024, 64
@@ -84,9 +86,8 @@ def carve(blocks: DataFrame, sizes: DataFrame, signatures=SIGNATURES, overlap: i
     found = marks(blocks, signatures, overlap)
     rules = " ".join(f"WHEN '{s.name}' THEN {s.max_length}L" for s in signatures)
     footed = [s.name for s in signatures if s.footer]
-    # Looking back from the end of a kind's marks, the nearest footer and header after each header.
-    later = Window.partitionBy("evidence_id", "name").orderBy(F.desc("offset"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    near = found.withColumn("foot", F.last(F.when(F.col("kind") == "footer", F.col("end")), ignorenulls=True).over(later)).withColumn("head", F.last(F.when(F.col("kind") == "header", F.col("offset")), ignorenulls=True).over(later))
+    footer, header = F.when(F.col("kind") == "footer", F.col("end")), F.when(F.col("kind") == "header", F.col("offset"))
+    near = Ordered(found, ["evidence_id", "name"], ["offset", "end"]).carry(ahead=True, foot=("near", footer), head=("near", header)).rows()
     most = F.expr(f"CASE name {rules} END")
     rows = near.where("kind = 'header'").join(sizes.select("evidence_id", "size"), "evidence_id").withColumn("most", most)
     closed = F.col("name").isin(footed) & (F.col("foot") - F.col("offset") <= F.col("most"))
@@ -99,27 +100,25 @@ def carve(blocks: DataFrame, sizes: DataFrame, signatures=SIGNATURES, overlap: i
 def drop_nested(hits: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """Hits without those strictly smaller and inside one of the ``look_back`` kept before them.
 
-    Only hits whose end is known can hold others, but all that are kept count among the ``look_back``.  Kept rows decide on later ones, so the hits of an
-    evidence are read in order by one task, which holds ``look_back`` of them at a time.
+    Only hits whose end is known can hold others, but all that are kept count among the ``look_back``.  Kept
+    rows decide on later ones: hits are read in order by ranges, of one evidence in many tasks, and each range
+    begins with the last ``look_back`` that the one before kept.
     """
-    names = [*hits.columns]
 
-    def run(batches):
-        evidence, kept = None, []
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["evidence_id"] != evidence:
-                    evidence, kept = row["evidence_id"], []
-                a, z = row["offset"], row["offset"] + row["length"]
-                if any(k[2] and k[0] <= a and z <= k[1] and k[1] - k[0] > z - a for k in kept):
-                    continue
-                out.append(row)
-                kept = [*kept, (a, z, row["method"] == "footer")][-look_back:]
-            yield pa.RecordBatch.from_pylist(out, batch.schema)
-
-    ordered = hits.repartition("evidence_id").sortWithinPartitions("evidence_id", "offset", F.desc("length"))
-    return ordered.select(names).mapInArrow(run, hits.schema)
+    def fold(rows: pa.Table, state: str) -> tuple[pa.Table, str]:
+        evidence, kept = json.loads(state) if state else (None, [])
+        keep = []
+        for at, (own, a, length, method) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("evidence_id", "offset", "length", "method")), strict=True)):
+            z = a + length
+            if own != evidence:
+                evidence, kept = own, []
+            if any(k[2] and k[0] <= a and z <= k[1] and k[1] - k[0] > length for k in kept):
+                continue
+            keep.append(at)
+            kept = [*kept, (a, z, method == "footer")][-look_back:]
+        return rows.take(pa.array(keep, pa.int64())), json.dumps([evidence, kept])
+
+    return Ordered(hits, ["evidence_id"], ["offset", "-length"]).threaded(fold)
 
 
 def core_sample(blocks: DataFrame, size: int | DataFrame, block_size: int, buckets: int = 256, windows: int = 16, whole: int = 64 << 20) -> DataFrame:

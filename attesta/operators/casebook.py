@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import Ordered
 from .scratch import cut
 
 
@@ -17,11 +18,12 @@ def audit_hash(prev, at, examiner, action, detail):
 def audit_checks(audit: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Entries with ``ok``: the hash is that of the entry, and it names the hash of the one before.
 
-    Chains of several cases are kept apart by ``by``; one chain is verified in order by its ``seq``.
+    Chains of several cases are kept apart by ``by``; one chain is verified in order by its ``seq``, by ranges of it in many tasks.
     """
-    previous = F.coalesce(F.lag("hash").over(Window.partitionBy(*(by or [])).orderBy("seq")), F.lit(""))
+    chained = Ordered(audit, by or [], ["seq"]).carry(_before=("near", F.struct("hash"))).rows()
+    previous = F.coalesce("_before.hash", F.lit(""))
     own = audit_hash(F.col("prev_hash"), F.col("at"), F.col("examiner"), F.col("action"), F.col("detail"))
-    return audit.withColumn("ok", (F.col("hash") == own) & (F.coalesce("prev_hash", F.lit("")) == previous))
+    return chained.withColumn("ok", (F.col("hash") == own) & (F.coalesce("prev_hash", F.lit("")) == previous)).drop("_before")
 
 
 def audit_verdict(audit: DataFrame, by: list[str], heads: DataFrame | None = None) -> DataFrame:

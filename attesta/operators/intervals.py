@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import Ordered
+
 BIN = 1 << 26
 
 
@@ -83,8 +85,8 @@ def single_gap(hits: DataFrame, allocated: DataFrame, by: list[str], bin_size: i
 
 def bounds_by_next(hits: DataFrame, by: list[str], limit: str = "max_length") -> DataFrame:
     """Hits with the length up to the next hit of their kind, at most ``limit``, and which of both bound it."""
-    following = F.lead("offset").over(Window.partitionBy(*by).orderBy("offset")) - F.col("offset")
-    return hits.withColumn("_next", following).select(
+    near = Ordered(hits, by, ["offset"]).carry(ahead=True, _next=("near", F.col("offset"))).rows()
+    return near.withColumn("_next", F.col("_next") - F.col("offset")).select(
         *hits.columns, F.least(F.col("_next"), F.col(limit)).alias("length"), F.when(F.col("_next") < F.col(limit), "next_header").otherwise("limit").alias("bounded_by")
     )
 
@@ -97,11 +99,12 @@ def volume_map(spans: DataFrame, sizes: DataFrame, by: list[str], limit: int = 1
     """
     sized = spans.join(sizes.select(*by, "size"), by).withColumn("_in", (F.col("start") >= 0) & (F.col("end") <= F.col("size")) & (F.col("start") < F.col("end")))
     out_of_range = sized.groupBy(*by).agg(F.sum((~F.col("_in")).cast("long")).alias("dropped"))
-    order = Window.partitionBy(*by).orderBy("start", "end", "family")
-    inside = sized.where("_in")
-    new = ~(F.col("family").eqNullSafe(F.lag("family").over(order)) & F.col("kind").eqNullSafe(F.lag("kind").over(order)) & (F.col("start") <= F.lag("end").over(order)))
-    runs = inside.withColumn("_new", new.cast("long")).withColumn("_run", F.sum("_new").over(order))
+    before = F.struct("family", "kind", "end")
+    placed = Ordered(sized.where("_in"), by, ["start", "end", "family"]).carry(_b=("near", before))
+    same = F.col("family").eqNullSafe(F.col("_b.family")) & F.col("kind").eqNullSafe(F.col("_b.kind")) & (F.col("start") <= F.col("_b.end"))
+    placed = placed.add(_new=(~F.coalesce(same, F.lit(False))).cast("long"))
+    runs = placed.carry(_run=("sum", F.col("_new"))).rows().withColumn("_run", F.coalesce("_run", F.lit(0)) + F.col("_new"))
     merged = runs.groupBy(*by, "_run").agg(F.first("family").alias("family"), F.first("kind").alias("kind"), F.min("number").alias("first_number"), F.max("number").alias("last_number"), F.min("start").alias("start"), F.max("end").alias("end"))
     place = Window.partitionBy(*by).orderBy("start", "end", "family")
-    told = merged.withColumn("_n", F.row_number().over(place)).withColumn("total", F.count("*").over(Window.partitionBy(*by))).where(F.col("_n") <= limit)
+    told = merged.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= limit).join(merged.groupBy(*by).agg(F.count("*").alias("total")), by)
     return told.join(out_of_range, by).drop("_n", "_run")
