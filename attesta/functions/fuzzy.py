@@ -73,13 +73,18 @@ def _shortened(s: str) -> str:
 
 
 def _edits(a: str, b: str) -> int:
-    """Cost of turning one text into the other; a replacement counts as deletion and insertion."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal if x == y else min(row[j], row[j - 1]) + 1
-    return row[-1]
+    """Cost of turning one text into the other by deletions and insertions.
+
+    The longest common subsequence is counted in the bits of one integer, all of ``a`` at each step.
+    """
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = free = (1 << len(a)) - 1
+    for y in b:
+        met = free & places.get(y, 0)
+        free = (free + met | free - met) & whole
+    return len(a) + len(b) - 2 * (len(a) - free.bit_count())
 
 
 def _score(a: str, b: str, block: int) -> int:

@@ -1,40 +1,135 @@
-"""Similar files by fuzzy signatures, through an equality join on what two of them must share."""
+"""Similar files by fuzzy signatures: classes of equal signatures, links between classes, counts for files.
+
+Two signatures score above 0 where they are equal, or where they have a run of seven characters in common
+at one block size.  Equal ones are one class, so copies cost a row each and no pairs.  Classes meet on the
+runs (grams) they share; a gram that many classes have is dealt over tasks in pairs of chunks, and a pair of
+classes is looked at for the first of its common grams only.  What meets is compared where it meets: counts
+of characters bound the score, and those that may reach the threshold are scored by the whole signatures.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import WINDOW, fuzzy_score
+from ..functions.fuzzy import LENGTH, MIN_BLOCK, WINDOW, compare
+from .scratch import cut
+
+#: Classes of one gram that meet in one piece of work.
+CHUNK = 512
+
 
+def classes_of(hashes: DataFrame) -> DataFrame:
+    """(signature, class, members): files of equal signatures, runs of a character shortened to three; the
+    class is named by its least node.  Signatures that are null or not of three parts have none."""
+    return _signed(hashes).groupBy("signature").agg(F.min("node").alias("class"), F.count("*").alias("members"))
 
-def signature_parts(hashes: DataFrame) -> DataFrame:
-    """(node, fuzzy, sha256, block, part): both signatures of a file with the block size of each."""
+
+def _signed(hashes: DataFrame) -> DataFrame:
     s = F.split("fuzzy", ":", 3)
     block = F.get(s, F.lit(0)).try_cast("long")
-    rows = F.explode(F.array(F.struct(block.alias("block"), F.get(s, F.lit(1)).alias("part")), F.struct((block * 2).alias("block"), F.get(s, F.lit(2)).alias("part"))))
-    return hashes.where("fuzzy is not null").select("node", "fuzzy", "sha256", rows.alias("r")).select("node", "fuzzy", "sha256", "r.*")
+    parts = [F.regexp_replace(F.get(s, F.lit(i)), r"(.)\1{3,}", "$1$1$1") for i in (1, 2)]
+    return hashes.withColumn("signature", F.concat(block.cast("string"), F.lit(":"), parts[0], F.lit(":"), parts[1])).where("signature is not null")
+
+
+def _parts(classes: DataFrame) -> DataFrame:
+    """(class, signature, block, part, gram): a row for each distinct gram of both parts of a class."""
+    s = F.split("signature", ":", 3)
+    block = s[0].cast("long")
+    each = F.explode(F.array(F.struct(block.alias("block"), s[1].alias("part")), F.struct((block * 2).alias("block"), s[2].alias("part"))))
+    parts = classes.select("class", "signature", each.alias("r")).select("class", "signature", "r.*").where(F.length("part") >= WINDOW)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - (WINDOW - 1)), lambda i: F.substring("part", i, F.lit(WINDOW))))
+    return parts.select("class", "signature", "block", "part", F.explode(grams).alias("gram"))
+
+
+def _most_distance(threshold: int) -> int:
+    return max((d for d in range(LENGTH + 1) if 100 - 100 * d // LENGTH >= threshold), default=-1)
+
+
+def _links_in(rows: pa.Table, threshold: int) -> pa.Table:
+    """(a, b, score) of the classes of some grams; of a gram in chunks, those of the first against those of the second."""
+    most = _most_distance(threshold)
+    held = rows.sort_by([("block", "ascending"), ("gram", "ascending"), ("signature", "ascending")]).to_pydict()
+    n, out = rows.num_rows, []
+    edges = [i for i in range(n) if i == 0 or (held["block"][i], held["gram"][i]) != (held["block"][i - 1], held["gram"][i - 1])] + [n]
+    for a, z in zip(edges, edges[1:], strict=False):
+        gram, block, k = held["gram"][a], held["block"][a], z - a
+        parts, side = held["part"][a:z], np.array(held["side"][a:z])
+        counts = np.zeros((k, 128), dtype=np.int16)
+        for i, p in enumerate(parts):
+            np.add.at(counts[i], np.frombuffer(p.encode("ascii", "replace"), dtype=np.uint8) & 127, 1)
+        size = np.array([len(p) for p in parts])
+        grams = [{p[i : i + WINDOW] for i in range(len(p) - WINDOW + 1)} for p in parts]
+        for i in range(k):
+            # Sides 0 and 1 are two chunks, side 2 is one chunk against itself.
+            there = np.flatnonzero((side == 1) if side[i] == 0 else (np.arange(k) > i) & (side[i] == 2))
+            if not len(there):
+                continue
+            both = size[i] + size[there]
+            common = np.minimum(counts[i], counts[there]).sum(axis=1)
+            near = ((both - 2 * np.minimum(common, both // 2)) * LENGTH // both <= most) & (block // MIN_BLOCK * np.minimum(size[i], size[there]) >= threshold)
+            for j in there[near].tolist():
+                if min(grams[i] & grams[j]) != gram:
+                    continue
+                score = compare(held["signature"][a + i], held["signature"][a + j])
+                if score >= threshold:
+                    out.append((*sorted((held["class"][a + i], held["class"][a + j])), score))
+    kind = rows.schema.field("class").type
+    return pa.table({"a": pa.array([x[0] for x in out], kind), "b": pa.array([x[1] for x in out], kind), "score": pa.array([x[2] for x in out], pa.int32())})
+
+
+def class_links(classes: DataFrame, threshold: int = 60) -> DataFrame:
+    """(a, b, score): classes whose signatures score ``threshold`` (above 0) or more, a < b, each pair once."""
+    if threshold < 1:
+        raise ValueError("the threshold is at least 1")
+    keyed = cut(_parts(classes))
+    shared = cut(keyed.groupBy("block", "gram").agg(F.count("*").alias("n")).where("n > 1"))
+    totals = shared.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, -(-totals // 20_000))
+    many = F.ceil(F.col("n") / CHUNK).cast("int")
+    met = keyed.join(shared, ["block", "gram"]).withColumn("k", many).withColumn("c", F.pmod(F.xxhash64("signature"), F.col("k")).cast("int"))
+    small = met.where("k = 1").select("class", "signature", "block", "part", "gram", F.lit(2).alias("side"), F.pmod(F.xxhash64("block", "gram"), F.lit(buckets)).alias("unit"))
+    # A chunk meets itself (side 2), those after it (as side 0) and those before it (as side 1).
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    dealt = met.where("k > 1").select("*", other).withColumn("side", F.when(F.col("o") == F.col("c"), 2).when(F.col("o") > F.col("c"), 0).otherwise(1))
+    large = dealt.select("class", "signature", "block", "part", "gram", "side", F.xxhash64("block", "gram", F.least("c", "o"), F.greatest("c", "o")).bitwiseOR(F.lit(-(2**63))).alias("unit"))
+    kind = classes.schema["class"].dataType.simpleString()
+    links = small.unionByName(large).groupBy("unit", "block", F.when(F.col("unit") < 0, F.col("gram")).alias("_g")).applyInArrow(lambda rows: _links_in(rows, threshold), f"a {kind}, b {kind}, score int")
+    return links.distinct()
+
+
+def summary(hashes: DataFrame, threshold: int = 60) -> DataFrame:
+    """(node, class, members, n_links, best): for each file its class, how many files of other content score
+    ``threshold`` or more against it, and the best of the scores against another class (null without one).
+
+    Rows of one node count each.  Files of one SHA-256, unless it is null or empty, are the same content; a
+    signature without a first part is like nothing, itself included.
+    """
+    signed = cut(_signed(hashes).select("node", "signature", F.when(F.col("sha256") != "", F.col("sha256")).alias("sha")))
+    classes = cut(signed.groupBy("signature").agg(F.min("node").alias("class"), F.count("*").alias("members")))
+    links = cut(class_links(classes, threshold))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    told = both.join(classes.select(F.col("class").alias("b"), "members"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("near"), F.max("score").alias("best"))
+    same = signed.where("sha is not null").groupBy("signature", "sha").agg(F.count("*").alias("same"))
+    each = signed.join(classes, "signature").join(same, ["signature", "sha"], "left").join(told, "class", "left")
+    inside = F.when(F.split("signature", ":", 3)[1] == "", 0).otherwise(F.col("members") - F.coalesce("same", F.lit(1)))
+    return each.select("node", "class", "members", (F.coalesce("near", F.lit(0)) + inside).alias("n_links"), "best")
 
 
 def similar_files(hashes: DataFrame, threshold: int = 60) -> DataFrame:
     """(a, b, score) of files with different content whose signatures score ``threshold`` or more.
 
-    A score above 0 needs a run of seven characters in common at one block size, so files meet on
-    such runs; pairs are told apart once and scored by the whole signatures.  Equal signatures meet
-    as one class.
+    Writes every pair, for reports on few files; ``summary`` and ``class_links`` say the same of many.
     """
-    classes = hashes.where("fuzzy is not null").groupBy("fuzzy").agg(F.min("node").alias("node"), F.min("sha256").alias("sha256"))
-    shortened = F.regexp_replace("part", r"(.)\1{3,}", "$1$1$1")
-    parts = signature_parts(classes).withColumn("part", shortened).where(F.length("part") >= WINDOW)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - (WINDOW - 1)), lambda i: F.substring("part", i, F.lit(WINDOW))))
-    keyed = parts.select("fuzzy", "block", F.explode(grams).alias("gram"))
-    other = keyed.select(F.col("fuzzy").alias("other"), "block", "gram")
-    pairs = keyed.join(other, ["block", "gram"]).where("fuzzy < other").select("fuzzy", "other").distinct()
-    scored = pairs.withColumn("score", fuzzy_score(F.col("fuzzy"), F.col("other"))).where(F.col("score") >= threshold)
-    same = classes.select("fuzzy", F.col("fuzzy").alias("other"), F.lit(100).alias("score"))
-    left = hashes.select(F.col("fuzzy"), F.col("node").alias("a"), F.col("sha256").alias("sha_a"))
-    right = hashes.select(F.col("fuzzy").alias("other"), F.col("node").alias("b"), F.col("sha256").alias("sha_b"))
-    both = scored.unionByName(same).join(left, "fuzzy").join(right, "other")
-    apart = ~((F.col("sha_a") == F.col("sha_b")) & (F.col("sha_a") != ""))
-    once = (F.col("fuzzy") != F.col("other")) | (F.col("a") < F.col("b"))
-    return both.where(once & F.coalesce(apart, F.lit(True))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    signed = _signed(hashes).select("node", "signature", "sha256")
+    classes = cut(classes_of(hashes))
+    links = class_links(classes, threshold)
+    same = classes.where(F.split("signature", ":", 3)[1] != "").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(100).alias("score"))
+    of = signed.join(classes, "signature")
+    left, right = (of.select(F.col("class").alias(c), F.col("node").alias(f"n{c}"), F.col("sha256").alias(f"s{c}")) for c in "ab")
+    both = links.unionByName(same).join(left, "a").join(right, "b")
+    apart = F.coalesce(~((F.col("sa") == F.col("sb")) & (F.col("sa") != "")), F.lit(True))
+    once = (F.col("a") != F.col("b")) | (F.col("na") < F.col("nb"))
+    return both.where(once & apart).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "score")

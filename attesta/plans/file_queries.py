@@ -107,7 +107,7 @@ def match_counts(spark, d):
 def fuzzy_similar(spark, d):
     docs = contents(spark, d).where("body is not null")
     hashed = docs.select(F.col("id").alias("node"), fuzzy.fuzzy(F.col("body").cast("binary")).alias("fuzzy"), F.sha2("body", 256).alias("sha256"))
-    return similar.similar_files(hashed)
+    return similar.summary(hashed)
 
 
 def _two_listings(spark, d):
