@@ -212,3 +212,14 @@ def related(classes: DataFrame) -> DataFrame:
     each = classes.select("class", F.explode("items").alias("item"))
     both = each.withColumnRenamed("class", "a").join(each.withColumnRenamed("class", "b"), "item").where("a < b")
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def related_to(belongings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(member, related, shared): for each asked member the others that have items of it, and how many.
+
+    The work is what the asked have and who else has it, whatever the number of members; no pairs of others meet.
+    """
+    own = belongings.distinct()
+    wanted = own.join(asked.select("member").distinct(), "member", "left_semi")
+    met = wanted.join(own.withColumnRenamed("member", "related"), "item").where("member != related")
+    return met.groupBy("member", "related").agg(F.count("*").alias("shared"))

@@ -97,6 +97,34 @@ def carve(blocks: DataFrame, sizes: DataFrame, signatures=SIGNATURES, overlap: i
     return rows.select("evidence_id", "name", "offset", length.alias("length"), method.alias("method"))
 
 
+#: What bounds a file without a footer, of equal lengths the first.
+BOUNDS = ("next_header", "allocated", "empty_sector", "limit")
+
+
+def bounded(hits: DataFrame, allocated: DataFrame, empty: DataFrame) -> DataFrame:
+    """(evidence_id, name, offset, length, method) of headers (evidence_id, name, offset, cap, stop_at_allocated, stop_at_zeros).
+
+    A file ends at the next header of its kind, at the next allocated span (evidence_id, start) or at the first empty
+    sector (evidence_id, at) after its header, or at its cap: at the least of them, of equal ones the first of
+    ``BOUNDS``.  Spans and sectors count for kinds that stop at them only.  A length below 1 is 0 by method none.
+    """
+    next_of_kind = Ordered(hits, ["evidence_id", "name"], ["offset"]).carry(ahead=True, head=("near", F.col("offset"))).rows()
+    none = lambda df, *names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    rest = [c for c in next_of_kind.columns if c not in ("evidence_id", "offset")]
+    marked = next_of_kind.select("evidence_id", F.col("offset").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("long").alias("span"), F.lit(None).cast("long").alias("zeros"), *rest)
+    spans = allocated.select("evidence_id", F.col("start").alias("at"), F.lit(0).alias("what"), F.col("start").cast("long").alias("span"), F.lit(None).cast("long").alias("zeros"), *none(next_of_kind, *rest))
+    sectors = empty.select("evidence_id", "at", F.lit(0).alias("what"), F.lit(None).cast("long").alias("span"), F.col("at").cast("long").alias("zeros"), *none(next_of_kind, *rest))
+    # What lies at the very offset of a header is no end of it, so it sorts before.
+    near = Ordered(marked.unionByName(spans).unionByName(sectors), ["evidence_id"], ["at", "what"]).carry(ahead=True, s=("near", F.col("span")), z=("near", F.col("zeros"))).rows()
+    at, found = F.col("at"), near.where("what = 1")
+    lengths = (F.col("head") - at, F.when(F.col("stop_at_allocated"), F.col("s") - at), F.when(F.col("stop_at_zeros"), F.col("z") - at), F.col("cap"))
+    bounds = F.filter(F.array(*(F.struct(n.cast("long").alias("length"), F.lit(rank).alias("rank")) for rank, n in enumerate(lengths))), lambda b: b["length"].isNotNull())
+    least = found.withColumn("_l", F.array_min(bounds))
+    positive = F.coalesce(F.col("_l.length") > 0, F.lit(False))
+    method = F.when(positive, F.get(F.array(*map(F.lit, BOUNDS)), F.col("_l.rank"))).otherwise("none")
+    return least.select("evidence_id", "name", at.alias("offset"), F.when(positive, F.col("_l.length")).otherwise(0).alias("length"), method.alias("method"))
+
+
 def drop_nested(hits: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """Hits without those strictly smaller and inside one of the ``look_back`` kept before them.
 

@@ -7,10 +7,11 @@ import operator
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, excerpt
+from .scratch import cut
 
 PER_FILE, OVERLAP = 20, 1024
 
@@ -87,9 +88,12 @@ def with_edges(blocks: DataFrame, overlap: int) -> DataFrame:
     return blocks.select("evidence_id", "offset", F.lit(None).cast("int").alias("edge"), "data").unionByName(crossing)
 
 
-def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...] = ("ascii", "utf-16-le"), regex: bool = False, case_sensitive: bool = False, overlap: int = OVERLAP) -> DataFrame:
+def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...] = ("ascii", "utf-16-le"), regex: bool = False, case_sensitive: bool = False, overlap: int = OVERLAP, context: int | None = None) -> DataFrame:
     """(evidence_id, offset, encoding, term): places in raw blocks (evidence_id, offset, data).
 
+    With ``context`` also the bytes up to that far on either side of a place, of the block or the edge it was found
+    in, and the offset they begin at (context, context_offset).
+
     A match across the edge of two blocks is found in the bytes round it, up to ``overlap`` bytes on
     either side.
     """
@@ -107,8 +111,45 @@ def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...
                             # A character beyond the first plane is two code units.
                             start, end = (shift + len(text[:k].encode("utf-16-le", "surrogatepass")) if wide else k for k in m.span())
                             if start < end and (edge is None or start < edge < end):
-                                rows.add((evidence, base + start, encoding, term))
-            columns = list(zip(*sorted(rows), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["evidence_id", "offset", "encoding", "term"])
+                                low = max(0, start - (context or 0))
+                                rows.add((evidence, base + start, encoding, term, *(() if context is None else (data[low : end + context], base + low))))
+            columns = list(zip(*sorted(rows), strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"evidence_id": pa.int64(), "offset": pa.int64(), "encoding": pa.string(), "term": pa.string()} | ({} if context is None else {"context": pa.binary(), "context_offset": pa.int64()})
+    schema = "evidence_id long, offset long, encoding string, term string" + ("" if context is None else ", context binary, context_offset long")
+    return with_edges(blocks, overlap).mapInArrow(run, schema).distinct()
+
 
-    return with_edges(blocks, overlap).mapInArrow(run, "evidence_id long, offset long, encoding string, term string").distinct()
+def search_first(blocks: DataFrame, sizes: DataFrame, terms: list[str], max_hits: int = 5000, first: int = 64 << 20, context: int = 32, **more) -> tuple[DataFrame, DataFrame]:
+    """The earliest ``max_hits`` places of each evidence, and how far each was searched.
+
+    Places (evidence_id, offset, encoding, term, context, context_offset) are those of ``search_blocks``, by offset,
+    encoding and term, with the context that it gives.  Coverage
+    is (evidence_id, hits, truncated, complete_to): every place before ``complete_to`` is among the rows and none at or
+    after it; where more than ``max_hits`` are there it is the offset of the first that is left out, else the size.
+    Places that share that offset are left out with it.
+
+    Evidence is searched from its start in rounds that end at ``first`` bytes, then twice, four times as far; one with
+    more places than asked for is not read further.  A round reads the blocks of its ranges alone.
+    """
+    spark = blocks.sparkSession
+    overlap = more.get("overlap", OVERLAP)
+    left = cut(sizes.select("evidence_id", "size"))
+    found, start, end = [], 0, first
+    while not left.isEmpty():
+        asked = blocks.where((F.col("offset") < end + overlap) & (F.col("offset") + F.length("data") > start - overlap)).join(left, "evidence_id", "left_semi")
+        hits = search_blocks(asked, terms, context=context, **more).where((F.col("offset") >= start) & (F.col("offset") < end))
+        found.append(cut(hits))
+        counts = functools.reduce(DataFrame.unionByName, found).groupBy("evidence_id").count()
+        full = counts.where(F.col("count") > max_hits)
+        left = cut(left.where(F.col("size") > end).join(full, "evidence_id", "left_anti"))
+        start, end = end, end * 2
+    every = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "evidence_id long, offset long, encoding string, term string, context binary, context_offset long")
+    order = Window.partitionBy("evidence_id").orderBy("offset", "encoding", "term")
+    ranked = cut(every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_hits + 1))
+    stops = ranked.where(F.col("_n") == max_hits + 1).select("evidence_id", F.col("offset").alias("_stop"))
+    rows = ranked.join(stops, "evidence_id", "left").where((F.col("_n") <= max_hits) & (F.col("_stop").isNull() | (F.col("offset") < F.col("_stop")))).drop("_n", "_stop")
+    told = sizes.join(stops, "evidence_id", "left").join(rows.groupBy("evidence_id").agg(F.count("*").alias("hits")), "evidence_id", "left")
+    coverage = told.select("evidence_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("_stop").isNotNull().alias("truncated"), F.coalesce("_stop", F.col("size")).alias("complete_to"))
+    return rows, coverage
