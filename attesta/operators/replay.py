@@ -67,7 +67,8 @@ def replay_report(hives: DataFrame, entries: DataFrame, pages: DataFrame) -> Dat
 def replayed_ranges(hives: DataFrame, entries: DataFrame, pages: DataFrame, bin_size: int = BIN) -> DataFrame:
     """(hive, start, end, sequence, page, skip): who wrote each byte of the replayed hives last.
 
-    ``skip`` is where in the page the range begins.  Later sequences and later pages of one win.  Writes meet within
+    ``skip`` is where in the page the range begins.  Later sequences and later pages of one win, of pages
+    of one number the one at the larger offset.  Writes meet within
     bins of the axis only, after equal ranges were reduced to their last writer, so a range that is written again
     and again costs one row.
     """
