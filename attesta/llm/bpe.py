@@ -3,8 +3,9 @@
 A text is split into words by the pattern of the vocabulary, and each word is merged by itself.  A
 short word lies in a contiguous array of parts beside the ranks of its adjacent pairs: the smallest
 rank is looked for by a scan, the boundary between its two parts goes, and the two ranks beside it
-are looked up anew.  Scans of a word of n bytes cost n * n, so words above ``SHORT`` bytes keep the
-same ranks in a heap over a linked list, which gives the same parts in n * log n.
+are looked up anew.  Words of up to ``SHORT`` bytes are rows of one matrix each step of which scans and
+merges all of them.  Scans of a word of n bytes cost n * n, so longer words keep the same ranks in a heap
+over a linked list, which gives the same parts in n * log n.
 
 Ids are those of the ``tokenizers`` library for the same file, special tokens in the text included.
 """
@@ -15,7 +16,6 @@ import json
 import re
 import unicodedata
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import utf8, worker_store
 
-SHORT = 128
+SHORT = 64
+#: Bytes of text whose words are looked up together.
+PIECE = 4 << 20
 #: Words that a worker remembers at most; beyond it begins anew.
 REMEMBERED = 400_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BITS = 20
 _ID = (1 << _BITS) - 1
-_NONE = 1 << 62
+_NONE, _LAST = 1 << 62, 2**31 - 1
 # Texts of code points below U+0180, whose UTF-8 bytes are these, are split by the same pattern with its classes spelt out.
 _LATIN = 0x180
 _LATIN_BYTES = bytes(range(0xC6))
@@ -52,22 +54,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Words(dict):
-    """Ids by word, made when asked for."""
-
-    def __init__(self, encode_word):
-        super().__init__()
-        self.encode_word = encode_word
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.encode_word(word.encode()))
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Bpe:
     """A byte-level vocabulary read from a ``tokenizers`` file."""
 
@@ -101,28 +87,70 @@ class Bpe:
         self.splitter, self.latin = regex.compile(PATTERN), re.compile(_latin_pattern())
         # Code points that this Python doesn't know as assigned may belong to other classes in the library.
         self.library = Tokenizer.from_file(path).pre_tokenizer
-        self.words = Words(self.encode_word)
+        pairs = np.array([*sorted((k, v >> _BITS) for k, v in self.merges.items()), (_NONE, _LAST)], dtype=np.int64)
+        self.pairs, self.rank_of = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+        self.merged = np.zeros(len(model["merges"]) + 1, dtype=np.int32)
+        self.merged[[v >> _BITS for v in self.merges.values()]] = [v & _ID for v in self.merges.values()]
+        self.byte_table = np.array(self.byte_ids, dtype=np.int32)
+        # Bytes of all tokens behind one another, with the start and the length of each.
+        self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        #: Little-endian 32-bit ids by word.
+        self.words: dict[str, bytes] = {}
         names = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(names) + ")") if names else None
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of adjacent parts, ``_LAST`` where they don't merge."""
+        key = left.astype(np.int64) << _BITS | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.rank_of[at], np.int32(_LAST))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24), (24, 40), (40, SHORT)):
+            which = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(which):
+                self._merge_rows([words[i] for i in which.tolist()], sizes[which], which, out, high)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = np.array(self._encode_long([self.byte_ids[b] for b in words[i]]), dtype="<i4").tobytes()
+        return out
+
+    def _merge_rows(self, words: list[bytes], n: np.ndarray, which: np.ndarray, out: list[bytes], width: int) -> None:
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
+        parts, n = self.byte_table[raw], n.copy()
+        # One column more than there are pairs, so that the last step has a rank to look at.
+        ranks = np.full(parts.shape, _LAST, dtype=np.int32)
+        ranks[:, :-1] = np.where(np.arange(width - 1) < (n - 1)[:, None], self._ranks(parts[:, :-1], parts[:, 1:]), _LAST)
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            over = best == _LAST
+            if over.any():
+                ended = parts[over][np.arange(parts.shape[1]) < n[over][:, None]].astype("<i4").tobytes()
+                ends = (np.cumsum(n[over]) * 4).tolist()
+                for i, a, z in zip(which[over].tolist(), [0, *ends], ends, strict=False):
+                    out[i] = ended[a:z]
+                going = ~over
+                which, parts, ranks, n, at, best = which[going], parts[going], ranks[going], n[going], at[going], best[going]
+                if not len(which):
+                    return
+            # The boundary behind part ``at`` goes, and with it a column of both arrays.
+            m, w = parts.shape
+            rows, columns = np.arange(m), np.arange(w)
+            parts[rows, at] = self.merged[best]
+            parts = parts[columns != at[:, None] + 1].reshape(m, w - 1)
+            ranks = ranks[columns != at[:, None]].reshape(m, w - 1)
+            n -= 1
+            for where, has in ((at, at + 1 < n), (at - 1, at > 0)):
+                r, c = rows[has], where[has]
+                ranks[r, c] = self._ranks(parts[r, c], parts[r, c + 1])
+
     def encode_word(self, word: bytes) -> list[int]:
-        parts = [self.byte_ids[b] for b in word]
-        if len(word) > SHORT:
-            return self._encode_long(parts)
-        look = self.merges.get
-        ranks = [look(a << _BITS | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == _NONE:
-                break
-            i = ranks.index(best)
-            parts[i] = best & _ID
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = look(parts[i] << _BITS | parts[i + 1], _NONE)
-            if i:
-                ranks[i - 1] = look(parts[i - 1] << _BITS | parts[i], _NONE)
-        return parts
+        return np.frombuffer(self.encode_words([word])[0], dtype="<i4").tolist()
 
     def _encode_long(self, parts: list[int]) -> list[int]:
         look, n = self.merges.get, len(parts)
@@ -152,28 +180,42 @@ class Bpe:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.splitter.findall(text)
 
-    def encode(self, raw: bytes) -> list[int]:
-        """Ids of a whole UTF-8 text."""
+    def _pieces(self, raw: bytes) -> list[list[str] | int]:
+        """Lists of words of a text, and the ids of special tokens between them."""
         text = raw.decode("utf-8", "replace")
         if self.marks is None or not self.marks.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, self.split(text, raw))))
-        ids: list[int] = []
-        for piece in self.marks.split(text):
-            if piece in self.added:
-                ids.append(self.added[piece])
-            elif piece:
-                ids.extend(chain.from_iterable(map(self.words.__getitem__, self.split(piece, piece.encode()))))
-        return ids
+            return [self.split(text, raw)]
+        return [self.added[p] if p in self.added else self.split(p, p.encode()) for p in self.marks.split(text) if p]
+
+    def encode_texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole UTF-8 texts, as little-endian 32-bit numbers.  Words not met before are merged together."""
+        known, new, found = self.words, set(), []
+        for raw in texts:
+            pieces = self._pieces(raw)
+            ids = [piece.to_bytes(4, "little") if isinstance(piece, int) else list(map(known.get, piece)) for piece in pieces]
+            missing = any(None in x for x in ids if isinstance(x, list))
+            if missing:
+                new.update(w for x, piece in zip(ids, pieces, strict=True) if isinstance(x, list) for w, k in zip(piece, x, strict=True) if k is None)
+            found.append(pieces if missing else b"".join(x if isinstance(x, bytes) else b"".join(x) for x in ids))
+        words = list(new)
+        fresh = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
+        known.update(fresh)
+        done = [x if isinstance(x, bytes) else b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in x) for x in found]
+        if len(known) > REMEMBERED or any(len(w) > 1000 for w in words):
+            self.words = {}
+        return done
+
+    def encode(self, raw: bytes) -> list[int]:
+        """Ids of a whole UTF-8 text."""
+        return np.frombuffer(self.encode_texts([raw])[0], dtype="<i4").tolist()
 
     def decode(self, ids) -> bytes:
         """The text of ``ids`` as UTF-8; bytes that form no code point become U+FFFD.  Unknown ids say nothing."""
-        size = len(self.tokens)
-        try:
-            raw = b"".join(map(self.tokens.__getitem__, ids)) if not len(ids) or min(ids) >= 0 else None
-        except IndexError:
-            raw = None
-        if raw is None:
-            raw = b"".join(self.tokens[i] for i in ids if 0 <= i < size)
+        ids = np.asarray(ids, dtype=np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.tokens))]
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        raw = self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         try:
             raw.decode()
         except UnicodeDecodeError:
@@ -200,12 +242,18 @@ def encoder(path: str | None = None):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        model = loaded(path)
-        ids = [np.array(model.encode(raw), dtype=np.int32) for raw in utf8(texts)]
-        ends = np.cumsum([0, *map(len, ids)])
+        model, done, waiting, size = loaded(path), [], [], 0
+        for raw in utf8(texts):
+            waiting.append(raw)
+            size += len(raw)
+            if size > PIECE:
+                done += model.encode_texts(waiting)
+                waiting, size = [], 0
+        done += model.encode_texts(waiting)
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in done)])
         if ends[-1] > 2**31 - 1:
             raise ValueError("a batch holds too many ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(done), dtype="<i4"), pa.int32()))
 
     return encode
 
@@ -217,8 +265,8 @@ def decoder(path: str | None = None):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         model = loaded(path)
-        sizes = [n or 0 for n in pc.list_value_length(ids).to_pylist()]
-        flat, ends = ids.flatten().fill_null(-1).to_pylist(), np.cumsum([0, *sizes]).tolist()
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(ids).to_pylist())]).tolist()
+        flat = ids.flatten().fill_null(-1).to_numpy()
         return pa.array([model.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()).cast(pa.string())
 
     return decode
