@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import artefacts, carving, replay, search
-from .base import query, table
+from ..operators import artefacts, carving, replay, search, timelinestore
+from ..operators.scratch import cut, shared_dir
+from .base import EV, query, table, timeline
 from .file_queries import _S, _spans
 from .media_queries import _blocks, _sizes
 
@@ -105,3 +108,16 @@ def related_to(spark, d):
     held = table(spark, d, "events").select(F.col("user_id").alias("member"), F.concat_ws("/", "event_type", F.col("event_id") % 500).alias("item"))
     return artefacts.related_to(held, held.where("member % 100 = 0").select("member"))
 
+
+
+@query("timeline_store_page", f"WITH {EV} SELECT id, sort, action, name FROM ev WHERE sort IS NOT NULL AND (sort > (SELECT quantile_disc(sort, 0.9) FROM ev)) ORDER BY sort, id LIMIT 500")
+def timeline_store_page(spark, d):
+    """A page near the end of the timeline, read from the files that its bounds name."""
+    events = timeline(spark, d).select("id", "sort", "action", "name")
+    path = f"{shared_dir(spark)}/timeline-{uuid.uuid4().hex}"
+    timelinestore.append(events, path)
+    start = events.selectExpr("percentile_disc(0.9) WITHIN GROUP (ORDER BY sort)").first()[0]
+    page = cut(timelinestore.page(spark, path, "id long, sort double, action string, name string", (start, 2**63 - 1), 500))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return page
