@@ -1,5 +1,5 @@
 """Training-data operators: filters, deduplication, scoring and packing of document tables.
 
 Nothing outside this subpackage imports it.  Each module holds one operator with a general
-interface; ``queries`` binds the ten operators to the tables under fixed production parameters.
+interface; ``queries`` binds the operators to the tables under fixed production parameters.
 """
