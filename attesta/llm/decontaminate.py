@@ -6,8 +6,10 @@ the radius differ by ``RADIUS // BLOCKS`` bits at most in some block, so probing
 that near returns all items within the radius.  Those are verified by the weighted Jaccard similarity
 of the shingles themselves: weights count repeats, and a shingle of many items weighs less.
 
-A window that shares no shingle with any item of its length has similarity 0, so windows slide over
-the places around shared shingles only; nothing that could be similar lies elsewhere.
+The weight that a window shares with all items of its length together, over the window's own weight,
+is no less than its similarity to any one of them: what an item has not weighs at least as much in the
+pair as in the window.  So fingerprints are taken and searched where that bound reaches the similarity
+only; nothing that could be similar lies elsewhere.
 
 Shingles, their weights and the items' lengths are worked out by Spark over the whole benchmark.  Items
 come to the tasks in blocks of at most ``ITEMS``, one after the other through the driver, which holds
@@ -29,6 +31,7 @@ from .common import cut, utf8
 from .licenses import _TO_SPACE
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, ITEMS = 5, 0.8, 20, 7, 20_000
+WINDOWS, CANDIDATES = 4096, 1 << 20  # what a task holds at a time; results are the same at any value
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -91,16 +94,25 @@ class HammingIndex:
             self.blocks.append((lo, width, starts, np.argsort(values, kind="stable"), flips))
 
     def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``wanted``, place among the fingerprints) of all within the radius."""
-        found = np.zeros(0, dtype=np.int64)
-        for lo, width, starts, order, flips in self.blocks:
-            at = ((wanted >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None] ^ flips).ravel()
-            many = starts[at + 1] - starts[at]
-            w = np.repeat(np.repeat(np.arange(len(wanted)), len(flips)), many)
-            k = order[np.repeat(starts[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(w))]
-            close = np.bitwise_count(wanted[w] ^ self.held[k]) <= self.radius
-            found = np.union1d(found, w[close] * len(self.held) + k[close])
-        return found // max(len(self.held), 1), found % max(len(self.held), 1)
+        """(place in ``wanted``, place among the fingerprints) of all within the radius.
+
+        Candidates are looked at in chunks, so memory stays the same whatever is wanted or held.
+        """
+        found, many_held = [np.zeros(0, dtype=np.int64)], max(len(self.held), 1)
+        for first in range(0, len(wanted), WINDOWS):
+            part = wanted[first : first + WINDOWS]
+            for lo, width, starts, order, flips in self.blocks:
+                at = (part >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None] ^ flips
+                many = starts[at + 1] - starts[at]
+                chunk = np.cumsum(many.sum(axis=1)) // CANDIDATES
+                for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(chunk)) + 1):
+                    begin, n = starts[at[rows]].ravel(), many[rows].ravel()
+                    w = np.repeat(np.repeat(rows, len(flips)), n)
+                    k = order[np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(w))]
+                    close = np.bitwise_count(part[w] ^ self.held[k]) <= self.radius
+                    found.append((w[close] + first) * many_held + k[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // many_held, pairs % many_held
 
     def within(self, f: int) -> set[int]:
         return set(self.search(np.array([f], dtype=np.uint64))[1].tolist())
@@ -145,32 +157,43 @@ class Items:
             hits = np.flatnonzero(self.every[at] == codes)
             if not len(hits):
                 continue
+            weights = self.weigh(codes)
             for n, (members, index, own) in lengths.items():
                 mine = hits[np.isin(codes[hits], own)]
                 if len(mine):
-                    self._slide(codes, mine, n - size + 1, members, index, n, best)
+                    self._slide(codes, weights, mine, n - size + 1, members, index, n, best)
         out = []
         for item, found in best.items():
-            taken: list[tuple[int, int]] = []
-            for s, start, length in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-                if all(start + length <= a or b <= start for a, b in taken):
-                    taken.append((start, start + length))
+            # An item's windows are of one length, so one that is taken has its cell of that length to itself.
+            taken: dict[int, int] = {}
+            for s, start, length in sorted(found, key=lambda f: (-f[0], f[1])):
+                cell = start // length
+                if all(abs(start - taken[c]) >= length for c in (cell - 1, cell, cell + 1) if c in taken):
+                    taken[cell] = start
                     out.append((self.ids[item], start, min(length, len(words)), s))
         return out
 
-    def _slide(self, codes, hits, width: int, members, index, n: int, best) -> None:
-        """Windows of ``width`` codes over all places that hold one of ``hits``."""
+    def _slide(self, codes, weights, hits, width: int, members, index, n: int, best) -> None:
+        """Windows of ``width`` codes that share enough weight with the items of their length at ``hits``."""
         width = min(width, len(codes))
-        first, last = np.maximum(hits - width + 1, 0), np.minimum(hits, len(codes) - width)
-        for group in np.split(np.arange(len(hits)), np.flatnonzero(first[1:] > last[:-1] + 1) + 1):
-            lo, hi = int(first[group[0]]), int(last[group[-1]])
-            part = codes[lo : hi + width]
-            for w, k in zip(*(x.tolist() for x in index.search(window_simhashes(part, self.weigh(part), width))), strict=True):
-                item = members[k]
-                weights = self.weights[item]
-                s = weighted_jaccard(part[w : w + width], self.codes[item], lambda c: weights.get(c, self.rare))  # noqa: B023
+        shared, whole = np.zeros(len(codes) + 1), np.zeros(len(codes) + 1)
+        shared[hits + 1] = weights[hits]
+        np.cumsum(shared, out=shared)
+        np.cumsum(weights, out=whole[1:])
+        held = shared[width:] - shared[:-width]
+        # The slack stands for rounding of the running sums; a shingle weighs log(2) or more.
+        starts = np.flatnonzero((held > 0) & (held >= self.similarity * (whole[width:] - whole[:-width]) - 1e-3))
+        if not len(starts):
+            return
+        for run in np.split(starts, np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // WINDOWS) > 0)) + 1):
+            lo, hi = int(run[0]), int(run[-1])
+            prints = window_simhashes(codes[lo : hi + width], weights[lo : hi + width], width)[run - lo]
+            for w, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
+                item, start = members[k], int(run[w])
+                known = self.weights[item]
+                s = weighted_jaccard(codes[start : start + width], self.codes[item], lambda c: known.get(c, self.rare))  # noqa: B023
                 if s >= self.similarity:
-                    best[item].append((s, lo + w, n))
+                    best[item].append((s, start, n))
 
 
 def shingled_items(benchmark: DataFrame, shingle: int = SHINGLE, least: int = SHINGLE, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:

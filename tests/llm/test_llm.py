@@ -136,6 +136,64 @@ def test_hamming_index_is_exact():
             assert index.within(g) == {i for i, x in enumerate(held) if (x ^ g).bit_count() <= 20}
 
 
+def items_of(texts, shingle=5):
+    codes = [decontaminate.shingle_codes(decontaminate.word_codes(t.encode()), shingle) for t in texts]
+    held = [set(c.tolist()) for c in codes]
+    weigh = {c: math.log1p(len(texts) / sum(c in h for h in held)) for h in held for c in h}
+    rows = [(i, len(t.split()), c.view(np.int64).tolist(), [weigh[x] for x in c.tolist()]) for i, (t, c) in enumerate(zip(texts, codes, strict=True))]
+    return decontaminate.Items(rows, len(texts), shingle, 0.8, 20, 7), codes
+
+
+@pytest.mark.parametrize(("windows", "candidates"), [(4096, 1 << 20), (3, 5)])
+def test_no_window_is_passed_over(monkeypatch, windows, candidates):
+    # Few words, so that items share many shingles; all windows of all items are compared one by one.
+    monkeypatch.setattr(decontaminate, "WINDOWS", windows)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    rng = random.Random(11)
+    base = [rng.choice("abcdefgh") for _ in range(400)]
+    texts = []
+    for k in range(120):
+        at, n = rng.randrange(300), rng.choice((20, 33, 60))
+        item = base[at : at + n]
+        for _ in range(k % 3):
+            item[rng.randrange(n)] = rng.choice("abcdefgh")
+        texts.append(" ".join(item))
+    items, codes = items_of(texts)
+    words = base + [rng.choice("abcdefgh") for _ in range(200)] + base[50:200]
+    mine = decontaminate.shingle_codes(decontaminate.word_codes(" ".join(words).encode()), 5)
+    want = {}
+    for k, c in enumerate(codes):
+        known = items.weights[k]
+        for lo in range(len(mine) - len(c) + 1):
+            s = decontaminate.weighted_jaccard(mine[lo : lo + len(c)], c, lambda x: known.get(x, items.rare))  # noqa: B023
+            if s >= 0.8:
+                want.setdefault(k, []).append((lo, s))
+    found = items.find(" ".join(words).encode())
+    assert {i for i, *_ in found} == set(want)
+    assert len(want) > 20
+    for k, all_of in want.items():
+        got = sorted((start, n) for i, start, n, _ in found if i == k)
+        assert all(a + n <= b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+        assert max(s for i, *_, s in found if i == k) == pytest.approx(max(s for _, s in all_of))
+
+
+def test_decontamination_of_long_texts():
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(2000)]
+    items, _ = items_of(texts)
+    words = []
+    while len(words) < 100_000:
+        words += [rng.choice(vocab) for _ in range(31)] + texts[rng.randrange(2000)].split()[3:8]
+    words[70_000:70_040] = texts[7].split()
+    raw = " ".join(words).encode()
+    began = timeit.default_timer()
+    assert [f[:3] for f in items.find(raw)] == [(7, 70_000, 40)]
+    assert timeit.default_timer() - began < 10
+    once, _ = items_of(["a a a a a a"])
+    assert len(once.find(b"a " * 30_000)) == 5000
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "a b c d e f"), (4, "a b c d e f")], "item_id long, text string")
     got = decontaminate.matches(odd, bench).collect()
@@ -297,6 +355,24 @@ def test_embedding_query_recall(spark):
     assert got.sum() >= 0.97 * near.sum()
 
 
+@pytest.mark.parametrize("size", [32, 64, 384])
+def test_recall_by_band_of_cosine(spark, size):
+    rng, bands, each = np.random.default_rng(size), ((0.95, 0.955), (0.955, 0.96), (0.96, 0.97)), 400
+    rows = []
+    for k, (lo, hi) in enumerate(bands):
+        a, b = rng.standard_normal((2, each, size))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        c = rng.uniform(lo + 1e-6, hi, (each, 1))
+        rows += [(2 * (k * each + i) + j, v.tolist()) for i, pair in enumerate(zip(a, c * a + np.sqrt(1 - c * c) * b, strict=True)) for j, v in enumerate(pair)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("vec_id % 2 = 0").toPandas()
+    for k in range(len(bands)):
+        found = got[got["vec_id"].between(2 * k * each, 2 * (k + 1) * each - 1)]["n_links"]
+        assert len(found) == each
+        assert (found > 0).mean() >= 0.93
+
+
 # 6 and 10 Learned scores
 
 
