@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.times import from_unix, from_webkit
+from .intervals import merge
 
 
 def journal_fold(journal: DataFrame) -> DataFrame:
@@ -154,6 +156,37 @@ def parity_mismatch(words: DataFrame, by: list[str]) -> DataFrame:
     return words.groupBy(*by).agg(F.bit_xor("word").alias("parity")).where("parity != 0")
 
 
+def parity_ranges(words: DataFrame, chunk: int, members: int, by: list[str]) -> DataFrame:
+    """(*by, start, end, n): logical ranges of a stripe set whose rows do not cancel out; ``n`` rows in each.
+
+    Words are (*by, row, word at the same place of each member, at); a row is wrong if any of its words is.
+    """
+    wrong = parity_mismatch(words, [*by, "row", "at"]).select(*by, "row").distinct()
+    span = chunk * (members - 1)
+    return merge(wrong.select(*by, (F.col("row") * span).alias("start"), ((F.col("row") + 1) * span).alias("end")), by)
+
+
+def mirror_ranges(sectors: DataFrame, primary: Column, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Where the members of mirrored sets differ from the primary: ranges (*by, start, end), and per set a summary.
+
+    Sectors are (*by, member, offset, length, content), ``content`` being the bytes or a digest of them; a place that
+    the primary lacks is not compared.  Summaries are (*by, compared_bytes, differing_ranges, differing_bytes,
+    differing_members); sets that agree have a row of zeros.  Members meet by sector, so a set of any size is many
+    tasks' work.
+    """
+    base = sectors.where(primary).select(*by, "offset", "length", F.col("content").alias("_base"))
+    met = base.join(sectors.where(~primary).select(*by, "offset", "member", "content"), [*by, "offset"], "left")
+    told = met.withColumn("_differs", F.col("member").isNotNull() & ~F.col("content").eqNullSafe(F.col("_base")))
+    places = told.where("_differs").select(*by, F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")).distinct()
+    ranges = merge(places, by).drop("n")
+    sums = ranges.groupBy(*by).agg(F.count("*").alias("differing_ranges"), F.sum(F.col("end") - F.col("start")).alias("differing_bytes"))
+    members = told.where("_differs").groupBy(*by).agg(F.array_sort(F.collect_set("member")).alias("differing_members"))
+    every = base.groupBy(*by).agg(F.sum("length").alias("compared_bytes"))
+    out = every.join(sums, by, "left").join(members, by, "left")
+    kind = sectors.schema["member"].dataType
+    return ranges, out.select(*by, "compared_bytes", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("differing_ranges", "differing_bytes")), F.coalesce("differing_members", F.array().cast(ArrayType(kind))).alias("differing_members"))
+
+
 # Windows logon types, fixed values.
 LOGON_TYPES = {
     2: "interactive", 3: "network", 4: "batch", 5: "service", 7: "unlock", 8: "network, clear text", 9: "new credentials",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import file_queries, media_queries, record_queries, relation_queries, replay_queries, timeline_queries
+from .plans import file_queries, media_queries, record_queries, relation_queries, replay_queries, timeline_queries, triage_queries
 from .plans.base import ORACLES, QUERIES
 
-__all__ = ["file_queries", "flagship", "media_queries", "oracle_sql", "queries", "record_queries", "relation_queries", "replay_queries"]
+__all__ = ["file_queries", "flagship", "media_queries", "oracle_sql", "queries", "record_queries", "relation_queries", "replay_queries", "triage_queries"]
 
 
 def flagship(spark, sf_dir):
