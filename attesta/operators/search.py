@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -121,7 +122,7 @@ def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...
     return with_edges(blocks, overlap).mapInArrow(run, schema).distinct()
 
 
-def search_first(blocks: DataFrame, sizes: DataFrame, terms: list[str], max_hits: int = 5000, first: int = 64 << 20, context: int = 32, **more) -> tuple[DataFrame, DataFrame]:
+def search_first(blocks: DataFrame, sizes: DataFrame, terms: list[str], max_hits: int = 5000, first: int = 64 << 20, context: int = 32, stop: Callable[[], bool] | None = None, **more) -> tuple[DataFrame, DataFrame]:
     """The earliest ``max_hits`` places of each evidence, and how far each was searched.
 
     Places (evidence_id, offset, encoding, term, context, context_offset) are those of ``search_blocks``, by offset,
@@ -132,12 +133,15 @@ def search_first(blocks: DataFrame, sizes: DataFrame, terms: list[str], max_hits
 
     Evidence is searched from its start in rounds that end at ``first`` bytes, then twice, four times as far; one with
     more places than asked for is not read further.  A round reads the blocks of its ranges alone.
+
+    ``stop`` is asked before each round; once it says yes no more is read, what was found is given, and evidence not
+    read to its end is complete to the end of the last round, short of its size and not truncated.
     """
     spark = blocks.sparkSession
     overlap = more.get("overlap", OVERLAP)
     left = cut(sizes.select("evidence_id", "size"))
     found, start, end = [], 0, first
-    while not left.isEmpty():
+    while not left.isEmpty() and not (stop and stop()):
         asked = blocks.where((F.col("offset") < end + overlap) & (F.col("offset") + F.length("data") > start - overlap)).join(left, "evidence_id", "left_semi")
         hits = search_blocks(asked, terms, context=context, **more).where((F.col("offset") >= start) & (F.col("offset") < end))
         found.append(cut(hits))
@@ -150,6 +154,7 @@ def search_first(blocks: DataFrame, sizes: DataFrame, terms: list[str], max_hits
     ranked = cut(every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_hits + 1))
     stops = ranked.where(F.col("_n") == max_hits + 1).select("evidence_id", F.col("offset").alias("_stop"))
     rows = ranked.join(stops, "evidence_id", "left").where((F.col("_n") <= max_hits) & (F.col("_stop").isNull() | (F.col("offset") < F.col("_stop")))).drop("_n", "_stop")
-    told = sizes.join(stops, "evidence_id", "left").join(rows.groupBy("evidence_id").agg(F.count("*").alias("hits")), "evidence_id", "left")
-    coverage = told.select("evidence_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("_stop").isNotNull().alias("truncated"), F.coalesce("_stop", F.col("size")).alias("complete_to"))
+    left = left.select("evidence_id", F.lit(start).cast("long").alias("_read"))
+    told = sizes.join(stops, "evidence_id", "left").join(left, "evidence_id", "left").join(rows.groupBy("evidence_id").agg(F.count("*").alias("hits")), "evidence_id", "left")
+    coverage = told.select("evidence_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("_stop").isNotNull().alias("truncated"), F.coalesce("_stop", F.least("_read", "size"), F.col("size")).alias("complete_to"))
     return rows, coverage

@@ -171,6 +171,18 @@ def newest(records: DataFrame, order: list[str], limit: int) -> DataFrame:
     return records.orderBy(*(F.desc(c) for c in order)).limit(limit).orderBy(*order)
 
 
+def newest_by(records: DataFrame, by: str, order: list[str], limit: int) -> DataFrame:
+    """The ``limit`` newest records of each log by ``order``, with their rank from 1, oldest first, and the log's total.
+
+    Tasks keep ``limit`` records a log before they exchange any.  Nulls are oldest; orders should have no ties.
+    """
+    back = Window.partitionBy(by).orderBy(*(F.desc_nulls_last(c) for c in order))
+    kept = records.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= limit)
+    totals = records.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("total"))
+    rank = (F.least("total", F.lit(limit)) - F.col("_back") + 1).alias("rank")
+    return kept.join(totals, F.col(by).eqNullSafe(F.col("_by"))).select("total", rank, *records.columns)
+
+
 def log_summaries(records: DataFrame, by: str, channel: str | None = None) -> DataFrame:
     """Records, first and last time of each log, and its first channel that is not null."""
     more = [F.min_by(channel, F.when(F.col(channel).isNotNull(), F.col("sort"))).alias("channel")] if channel else []

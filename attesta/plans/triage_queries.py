@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import artefacts, triage
-from .base import query, table
+from ..operators import artefacts, timeline, triage
+from .base import EV, query, table
+from .base import timeline as events_of
 
 # A part is a volume, a line a journal record of its part, a customer a hive and each of its orders a section.
 _CASE = """vol AS (SELECT p_size AS evidence_id, p_partkey AS part, p_partkey % 7 <> 0 AS allocated, p_partkey % 11 = 0 AS container, ['NTFS','BitLocker','LUKS','ext4'][p_partkey % 5] AS detected, p_partkey % 3 = 0 AS unlocked, p_partkey * 4096 AS size FROM part),
@@ -121,3 +122,8 @@ def parity_ranges(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     words = lines.select(F.col("o_custkey").alias("set"), F.col("o_orderkey").alias("row"), (F.col("l_linenumber") % 2).alias("at"), (F.col("l_partkey") % 4).alias("word"))
     return artefacts.parity_ranges(words, 4096, 3, ["set"])
+
+
+@query("newest_by_log", f"""WITH {EV} SELECT count(*) OVER (PARTITION BY log) AS total, least(50, count(*) OVER (PARTITION BY log)) - row_number() OVER (PARTITION BY log ORDER BY sort DESC, id DESC) + 1 AS rank, log, id, sort, action FROM ev QUALIFY row_number() OVER (PARTITION BY log ORDER BY sort DESC, id DESC) <= 50""")
+def newest_by_log(spark, d):
+    return timeline.newest_by(events_of(spark, d).select("log", "id", "sort", "action"), "log", ["sort", "id"], 50)
