@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import file_queries, media_queries, mnemonic_queries, record_queries, relation_queries, replay_queries, timeline_queries, triage_queries
+from .plans import file_queries, hashset_queries, media_queries, mnemonic_queries, record_queries, relation_queries, replay_queries, timeline_queries, triage_queries
 from .plans.base import ORACLES, QUERIES
 
-__all__ = ["file_queries", "flagship", "media_queries", "mnemonic_queries", "oracle_sql", "queries", "record_queries", "relation_queries", "replay_queries", "triage_queries"]
+__all__ = ["file_queries", "flagship", "hashset_queries", "media_queries", "mnemonic_queries", "oracle_sql", "queries", "record_queries", "relation_queries", "replay_queries", "triage_queries"]
 
 
 def flagship(spark, sf_dir):
