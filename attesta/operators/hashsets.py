@@ -39,9 +39,9 @@ def imported(hash_sets: DataFrame, hash_entries: DataFrame, sets: DataFrame, dig
     good = judged(sets, digests).where("refused is null").drop("refused")
     known = hash_sets.select(F.col("id").alias("_id"), "name", F.col("examiner").alias("_examiner"))
     met = good.join(known, "name", "left")
-    top = hash_sets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # One row a new list of this import and one of the largest id.
-    fresh = met.where("_id is null").withColumn("_n", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n"))
+    top = F.coalesce(hash_sets.agg(F.max("id")).scalar(), F.lit(0))
+    # One row a new list of this import.
+    fresh = met.where("_id is null").withColumn("id", top + F.row_number().over(Window.orderBy("name")))
     again = met.where("_id is not null").withColumn("id", F.col("_id")).withColumn("examiner", F.col("_examiner"))
     taken = again.select(*SET).unionByName(fresh.select(*SET))
     kept = hash_sets.select(*SET).join(taken.select("id"), "id", "left_anti").unionByName(taken)
