@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,12 +126,59 @@ def coverage(status: DataFrame) -> DataFrame:
     return status.groupBy("kind").agg(F.count("*").alias("candidates"), F.sum(F.col("indexed").cast("long")).alias("indexed"))
 
 
-# Runs of UTF-8 text; of UTF-16LE text in Latin letters, in one other alphabet (Greek to Arabic, Georgian, Thai),
-# and in Han, kana or Hangul.
-_NARROW = re.compile(rb"(?:[\t\x20-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}){4,}")
-_LATIN = re.compile(rb"(?:[\t\x20-\x7e\xa0-\xff]\x00|[\x00-\x7f]\x01){4,}")
-_LETTERS = re.compile(rb"(?:[\x20-\x40\x5b-\x60\x7b-\x7e]\x00|[\x00-\xff][\x03-\x06\x0e\x10]){4,}")
-_IDEOGRAPHS = re.compile(rb"(?:[\x00-\xff][\x30\x4e-\x9f\xac-\xd7]|[\x01-\xee]\xff|[\x20-\x40]\x00){4,}")
+# Runs of UTF-8 text; each kind of character is taken as far as it goes, and runs of fewer than four are left out after.
+_NARROW = re.compile(rb"(?:[\t\x20-\x7e]++|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2})++")
+_FOUR = re.compile(rb"(?:[\t\x20-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}){4}")
+_SCRIPTS = ("latin", "letters", "ideographs")
+_PAIR, _ALPHA, _BAD = 8, 16, 32
+
+
+def _kinds() -> np.ndarray:
+    """What each UTF-16 code unit is, in bits: of Latin text, of one other alphabet (Greek to Arabic, Georgian, Thai), of Han,
+    kana and Hangul; two ASCII characters, a letter, and not printable."""
+    low, high = np.tile(np.arange(256), 256), np.repeat(np.arange(256), 256)
+    within = lambda c, *ranges: np.logical_or.reduce([(c >= a) & (c <= z) for a, z in ranges])
+    text = [chr(i) for i in range(1 << 16)]
+    bits = (
+        within(low, (9, 9), (0x20, 0x7E), (0xA0, 0xFF)) & (high == 0) | (low <= 0x7F) & (high == 1),
+        within(low, (0x20, 0x40), (0x5B, 0x60), (0x7B, 0x7E)) & (high == 0) | within(high, (3, 6), (0x0E, 0x0E), (0x10, 0x10)),
+        within(high, (0x30, 0x30), (0x4E, 0x9F), (0xAC, 0xD7)) | within(low, (1, 0xEE)) & (high == 0xFF) | within(low, (0x20, 0x40)) & (high == 0),
+        within(low, (0x20, 0x7E)) & within(high, (0x20, 0x7E)),
+        np.array([c.isalpha() for c in text]),
+        np.array([not c.isprintable() and c != "\t" for c in text]),
+    )
+    return sum(b.astype(np.uint8) << i for i, b in enumerate(bits)).astype(np.uint8)
+
+
+_KINDS = _kinds()
+
+
+def _wide_runs(data: bytes, shift: int):
+    """(start, end, script) of runs of four or more UTF-16LE characters of a script that may be plausible."""
+    if len(data) < shift + 8:
+        return
+    kinds = _KINDS[np.frombuffer(data, "<u2", (len(data) - shift) // 2, shift)]
+    pairs = (kinds & _PAIR) != 0
+    if pairs.all():  # ASCII only
+        return
+    sums = None
+    for bit, script in enumerate(_SCRIPTS):
+        inside = np.zeros(len(kinds) + 2, np.bool_)
+        np.not_equal(kinds & (1 << bit), 0, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        long = end - start >= 4
+        if not long.any():
+            continue
+        start, end = start[long], end[long]
+        if sums is None:
+            sums = [np.concatenate(([0], np.cumsum(c))) for c in ((kinds & _ALPHA) != 0, (kinds & _BAD) != 0, pairs)]
+        letters, bad, ascii_pairs = (c[end] - c[start] for c in sums)
+        likely = (2 * letters >= end - start) & (bad == 0)
+        if script == "ideographs":
+            likely &= 2 * ascii_pairs < end - start
+        for a, z in zip(start[likely].tolist(), end[likely].tolist(), strict=True):
+            yield 2 * a + shift, 2 * z + shift, script
 
 
 def _plausible(raw: bytes, text: str, script: str) -> bool:
@@ -157,21 +205,15 @@ def extract(data: bytes) -> str:
     UTF-16 runs are of Latin letters, of one other alphabet, or of Han, kana and Hangul, and have to be
     plausible as such; of runs that overlap the longest counts.  Runs come in order, white space collapsed.
     """
-    runs = [(m.start(), m.end(), m[0].decode("utf-8", "ignore")) for m in _NARROW.finditer(data)]
-    for script, pattern in (("latin", _LATIN), ("letters", _LETTERS), ("ideographs", _IDEOGRAPHS)):
-        for shift in (0, 1):
-            at = shift
-            while m := pattern.search(data, at):
-                if (m.start() - shift) % 2:
-                    at = m.start() + 1
-                    continue
-                text = m[0].decode("utf-16-le", "replace")
-                if _plausible(m[0], text, script):
-                    runs.append((m.start(), m.end(), text))
-                at = m.end()
+    runs = [(m.start(), m.end(), m[0].decode("utf-8", "ignore")) for m in _NARROW.finditer(data) if m.end() - m.start() >= 12 or _FOUR.match(m[0])]
+    for shift in (0, 1):
+        for start, end, script in _wide_runs(data, shift):
+            text = data[start:end].decode("utf-16-le", "replace")
+            if _plausible(data[start:end], text, script):
+                runs.append((start, end, text))
     taken, kept = bytearray(len(data)), []
     for start, end, text in sorted(runs, key=lambda r: (r[0] - r[1], r[0])):
-        if not any(taken[start:end]):
+        if taken.find(1, start, end) < 0:
             taken[start:end] = b"\1" * (end - start)
             kept.append((start, text))
     return " ".join(" ".join(t for _, t in sorted(kept)).split())

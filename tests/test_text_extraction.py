@@ -1,5 +1,9 @@
 """Text extraction returns all readable text of its input."""
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from attesta.operators import textindex
@@ -29,3 +33,27 @@ def test_noise_reads_as_nothing_long():
     assert max(map(len, said.split())) < 16
     # Four ASCII characters in a row come up by chance; ideographs in a row hardly.
     assert sum("\u4e00" <= c <= "\ud7a3" for c in said) < 100
+
+
+def test_plain_text_is_read_in_little_time():
+    text = b"Words of a letter, set out at some length. \n" * 20_000
+    started = time.process_time()
+    assert textindex.extract(text) == " ".join(text.decode().split())
+    assert time.process_time() - started < 0.6
+
+
+def test_utf16_runs_are_those_of_the_patterns():
+    patterns = {"latin": rb"(?:[\t\x20-\x7e\xa0-\xff]\x00|[\x00-\x7f]\x01){4,}", "letters": rb"(?:[\x20-\x40\x5b-\x60\x7b-\x7e]\x00|[\x00-\xff][\x03-\x06\x0e\x10]){4,}", "ideographs": rb"(?:[\x00-\xff][\x30\x4e-\x9f\xac-\xd7]|[\x01-\xee]\xff|[\x20-\x40]\x00){4,}"}
+    rng = random.Random(3)
+    said = ["straße", "日本語のテキストを読む", "Привет мир", "hello world", "한국어텍스트입니다", "\n\na\nb\nc\nd\ne\nf\ng", "ｆｕｌｌｗｉｄｔｈ", "\x00"]
+    for _ in range(2000):
+        data = b"".join(rng.choice([rng.choice(said).encode("utf-16-le"), rng.choice(said).encode(), rng.randbytes(rng.randrange(9))]) for _ in range(rng.randrange(7)))
+        for shift in (0, 1):
+            wanted = set()
+            for script, pattern in patterns.items():
+                at = shift
+                while m := re.compile(pattern).search(data, at):
+                    at = m.end() if (m.start() - shift) % 2 == 0 else m.start() + 1
+                    if (m.start() - shift) % 2 == 0 and textindex._plausible(m[0], m[0].decode("utf-16-le", "replace"), script):
+                        wanted.add((m.start(), m.end(), script))
+            assert {r for r in textindex._wide_runs(data, shift) if textindex._plausible(data[r[0] : r[1]], data[r[0] : r[1]].decode("utf-16-le", "replace"), r[2])} == wanted
