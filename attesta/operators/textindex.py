@@ -224,6 +224,15 @@ def extracted(content: pa.Array) -> pa.Array:
     return pa.array([None if b is None else extract(b) for b in content.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def _region_text(content: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else " ".join(w for w in extract(b).split(" ") if w) for b in content.to_pylist()], pa.string())
+
+
+# A filter on a deterministic function is pushed below the projection, and the text would be looked for twice.
+_region_text = _region_text.asNondeterministic()
+
+
 def index_regions(blocks: DataFrame, most_entropy: float = 7.2, shortest: int = 8) -> DataFrame:
     """Documents (id, name, path, body, kind) of readable text in raw blocks.
 
@@ -231,10 +240,8 @@ def index_regions(blocks: DataFrame, most_entropy: float = 7.2, shortest: int =
     their text is looked for; runs under ``shortest`` characters are no text.
     """
     some = blocks.withColumn("_c", block_class("data")).where((F.col("_c.class") != "zero") & (F.col("_c.entropy") <= most_entropy))
-    words = F.filter(F.split(extracted("data"), " "), lambda w: w != "")
-    body = F.array_join(words, " ")
     place = F.concat_ws("@", F.col("evidence_id"), F.col("offset"))
-    return some.select(place.alias("id"), F.lit("").alias("name"), place.alias("path"), body.alias("body"), F.lit("raw").alias("kind")).where(F.length("body") >= shortest)
+    return some.select(place.alias("id"), F.lit("").alias("name"), place.alias("path"), _region_text("data").alias("body"), F.lit("raw").alias("kind")).where(F.length("body") >= shortest)
 
 
 def with_metadata(docs: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -57,3 +57,10 @@ def test_utf16_runs_are_those_of_the_patterns():
                     if (m.start() - shift) % 2 == 0 and textindex._plausible(m[0], m[0].decode("utf-16-le", "replace"), script):
                         wanted.add((m.start(), m.end(), script))
             assert {r for r in textindex._wide_runs(data, shift) if textindex._plausible(data[r[0] : r[1]], data[r[0] : r[1]].decode("utf-16-le", "replace"), r[2])} == wanted
+
+
+def test_regions_look_for_text_once(spark):
+    text = b"Words of a letter, set out at some length. " * 90
+    docs = spark.createDataFrame([(1, 0, bytearray(text))], "evidence_id long, offset long, data binary")
+    plan = textindex.index_regions(docs).select("id", "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_region_text") == 1
