@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import block_class
 from .scan import Ordered
-from .search import with_edges
+from .search import few_at_once, with_edges
 
 MAX_RULES, MAX_PATTERN, OVERLAP, LOOK_BACK = 50, 64, 1024, 64
 
@@ -65,7 +65,7 @@ def marks(blocks: DataFrame, signatures=SIGNATURES, overlap: int = OVERLAP) -> D
     wanted = [(s.name, kind, Signature.pattern(p), s.offset if kind == "header" else 0) for s in signatures for kind, p in (("header", s.header), ("footer", s.footer)) if p]
 
     def run(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             out = []
             for evidence, base, edge, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for name, kind, pattern, shift in wanted:

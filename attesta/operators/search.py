@@ -15,6 +15,15 @@ from ..functions.text import ascii_lower, excerpt
 from .scratch import cut
 
 PER_FILE, OVERLAP = 20, 1024
+#: Rows of raw bytes that a task holds as Python objects at a time.
+AT_ONCE = 64
+
+
+def few_at_once(batches, rows: int = AT_ONCE):
+    """Arrow batches in slices of ``rows``, so that what is found in a full batch of 10,000 blocks is never held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def search_names(entries: DataFrame, terms: list[str], regex: bool = False) -> DataFrame:
@@ -101,7 +110,7 @@ def search_blocks(blocks: DataFrame, terms: list[str], encodings: tuple[str, ...
     patterns = list(_patterns(terms, encodings, regex, case_sensitive))
 
     def run(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             rows = set()
             for evidence, base, edge, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for term, encoding, pattern, alignments in patterns:

@@ -7,10 +7,11 @@ import zipfile
 import zlib
 from io import BytesIO
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import carving, export, timeline
+from attesta.operators import carving, export, search, timeline
 from attesta.sources import documents, formats
 from attesta.streaming import buckets
 
@@ -163,3 +164,12 @@ def test_streams_equal_batches(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     buckets.index_new(buckets.follow(spark, str(tmp_path / "docs"), docs.schema), str(tmp_path / "ix"), str(tmp_path / "ckix")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ix")).where("term = 'x'").count() == 2
+
+
+def test_marks_are_found_in_few_blocks_at_a_time(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([b"ab." * 50] * 1000)], ["i", "data"])
+    parts = list(search.few_at_once([batch]))
+    assert max(p.num_rows for p in parts) <= 64 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
+    blocks = spark.createDataFrame([(1, i * 150, bytearray(b"ab." * 50)) for i in range(300)], "evidence_id long, offset long, data binary").coalesce(1)
+    found = carving.marks(blocks, (carving.Signature("x", b"ab".hex(), b".".hex(), 9),), 64)
+    assert found.groupBy("kind").count().orderBy("kind").collect() == [("footer", 15_000), ("header", 15_000)]
