@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.times import from_unix, from_webkit
 from .intervals import merge
+from .scratch import cut
+
+#: Rows that meet in one task of ``related_to``, on average, and rows of the asked that come to all tasks at once.
+MEETINGS, ASKED = 1_000_000, 500_000
 
 
 def journal_fold(journal: DataFrame) -> DataFrame:
@@ -251,8 +257,17 @@ def related_to(belongings: DataFrame, asked: DataFrame) -> DataFrame:
     """(member, related, shared): for each asked member the others that have items of it, and how many.
 
     The work is what the asked have and who else has it, whatever the number of members; no pairs of others meet.
+    Rows are dealt by the other member over as many tasks as there are ``MEETINGS``, and what the asked have comes to
+    them, in slices of ``ASKED`` rows; so pairs are counted where they meet and never exchanged.
     """
-    own = belongings.distinct()
-    wanted = own.join(asked.select("member").distinct(), "member", "left_semi")
-    met = wanted.join(own.withColumnRenamed("member", "related"), "item").where("member != related")
-    return met.groupBy("member", "related").agg(F.count("*").alias("shared"))
+    own = cut(belongings.distinct())
+    wanted = cut(own.join(asked.select("member").distinct(), "member", "left_semi"))
+    total, meetings = own.join(wanted.groupBy("item").agg(F.count("*").alias("n")), "item").agg(F.lit(wanted.count()), F.coalesce(F.sum("n"), F.lit(0))).first()
+    slices = max(1, -(-total // ASKED))
+    tasks = max(8, -(-meetings // (slices * MEETINGS)))
+    dealt = own.withColumnRenamed("member", "related").repartition(tasks, "related")
+    counted = []
+    for i in range(slices):
+        some = F.broadcast(wanted.where(F.pmod(F.xxhash64("member"), F.lit(slices)) == i))
+        counted.append(dealt.join(some, "item").where("member != related").groupBy("member", "related").agg(F.count("*").alias("shared")))
+    return reduce(DataFrame.unionByName, counted)

@@ -154,3 +154,15 @@ def test_related_to_the_asked(spark):
         held[m].add(i)
     got = artefacts.related_to(spark.createDataFrame(rows, "member long, item string"), spark.createDataFrame([(3,), (3,), (50,), (999,)], "member long"))
     assert {tuple(r) for r in got.collect()} == {(a, b, len(held[a] & held[b])) for a in (3, 50) for b in held if a != b and held[a] & held[b]}
+
+
+def test_related_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(artefacts, "MEETINGS", 5)
+    monkeypatch.setattr(artefacts, "ASKED", 7)
+    rows = [(m, f"i{k}") for m in range(40) for k in range(1, 6) if m % k == 0] + [(None, "i1"), (4, None)]
+    got = artefacts.related_to(spark.createDataFrame(rows, "member long, item string"), spark.createDataFrame([(m,) for m in range(0, 40, 4)], "member long"))
+    own = {m: {i for n, i in rows if n == m and i} for m in range(40)}
+    wanted = {(a, r, len(own[a] & own[r])) for a in range(0, 40, 4) for r in range(40) if a != r and own[a] & own[r]}
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    assert got.rdd.getNumPartitions() > 8
+    assert "hashpartitioning(member" not in got._jdf.queryExecution().executedPlan().toString()
