@@ -151,3 +151,16 @@ def test_an_empty_index(spark, tmp_path):
     textstore.build(docs(spark), path)
     textstore.add(docs(spark, (1, "o'ne two", "e'1", "p\\")), path)
     assert ids(spark, path, "two", evidence="e'1", part="p\\") == {1}
+
+
+def test_compacting_equal_buckets_exchanges_no_posting(spark, store, monkeypatch):
+    textstore.add(spark.createDataFrame([(1, "a.txt", "/a.txt", "a blue fox", 10, "e1", "p1", None)], TYPES), store)
+    before, ranks = sorted(map(tuple, textstore.postings(spark, store).select("term", "id", "field", "pos", "evidence", "part").collect())), found(textstore.ranked(spark, store, ["fox", "blue"]))
+    plans, save, split = [], textstore._save, spark.conf.get(textstore._SPLIT)
+    monkeypatch.setattr(textstore, "_save", lambda df, path, by=(): (plans.append((path, df._jdf.queryExecution().optimizedPlan().toString())), save(df, path, by)))
+    after = textstore.compact(spark, store)
+    plan = next(p for path, p in plans if "/postings/" in path)
+    assert "Repartition" not in plan and "Rebalance" not in plan and spark.conf.get(textstore._SPLIT) == split
+    assert len(after.segments) == 1 and after.dead is None
+    assert sorted(map(tuple, textstore.postings(spark, store).select("term", "id", "field", "pos", "evidence", "part").collect())) == before
+    assert found(textstore.ranked(spark, store, ["fox", "blue"])) == ranks
