@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import LENGTH, MIN_BLOCK, WINDOW, compare
 from .scratch import cut
 
-#: Classes of one gram that meet in one piece of work.
-CHUNK = 512
+#: Classes of one gram that meet in one piece of work.  A class goes to as many pieces as its gram has chunks, so what is
+#: exchanged for a hot gram falls with this; a piece holds two chunks of about 0.2 KB a class, and their counts.
+CHUNK = 2048
+#: Shared grams up to which they come to the rows of all grams; with more, both are exchanged.
+FEW = 1_000_000
 
 
 def classes_of(hashes: DataFrame) -> DataFrame:
@@ -35,13 +38,18 @@ def _signed(hashes: DataFrame) -> DataFrame:
 
 
 def _parts(classes: DataFrame) -> DataFrame:
-    """(class, signature, block, part, gram): a row for each distinct gram of both parts of a class."""
+    """(class, signature, block, gram): a row for each distinct gram of both parts of a class; the block tells the part."""
     s = F.split("signature", ":", 3)
     block = s[0].cast("long")
     each = F.explode(F.array(F.struct(block.alias("block"), s[1].alias("part")), F.struct((block * 2).alias("block"), s[2].alias("part"))))
     parts = classes.select("class", "signature", each.alias("r")).select("class", "signature", "r.*").where(F.length("part") >= WINDOW)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - (WINDOW - 1)), lambda i: F.substring("part", i, F.lit(WINDOW))))
-    return parts.select("class", "signature", "block", "part", F.explode(grams).alias("gram"))
+    return parts.select("class", "signature", "block", F.explode(grams).alias("gram"))
+
+
+def _part(signature: str, block: int) -> str:
+    own, first, second = signature.split(":", 2)
+    return first if int(own) == block else second
 
 
 def _most_distance(threshold: int) -> int:
@@ -56,7 +64,7 @@ def _links_in(rows: pa.Table, threshold: int) -> pa.Table:
     edges = [i for i in range(n) if i == 0 or (held["block"][i], held["gram"][i]) != (held["block"][i - 1], held["gram"][i - 1])] + [n]
     for a, z in zip(edges, edges[1:], strict=False):
         gram, block, k = held["gram"][a], held["block"][a], z - a
-        parts, side = held["part"][a:z], np.array(held["side"][a:z])
+        parts, side = [_part(s, block) for s in held["signature"][a:z]], np.array(held["side"][a:z])
         counts = np.zeros((k, 128), dtype=np.int16)
         for i, p in enumerate(parts):
             np.add.at(counts[i], np.frombuffer(p.encode("ascii", "replace"), dtype=np.uint8) & 127, 1)
@@ -86,15 +94,16 @@ def class_links(classes: DataFrame, threshold: int = 60) -> DataFrame:
         raise ValueError("the threshold is at least 1")
     keyed = cut(_parts(classes))
     shared = cut(keyed.groupBy("block", "gram").agg(F.count("*").alias("n")).where("n > 1"))
-    totals = shared.agg(F.sum("n")).first()[0] or 0
+    totals, grams = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shared = F.broadcast(shared) if grams <= FEW else shared
     buckets = max(8, -(-totals // 20_000))
     many = F.ceil(F.col("n") / CHUNK).cast("int")
     met = keyed.join(shared, ["block", "gram"]).withColumn("k", many).withColumn("c", F.pmod(F.xxhash64("signature"), F.col("k")).cast("int"))
-    small = met.where("k = 1").select("class", "signature", "block", "part", "gram", F.lit(2).alias("side"), F.pmod(F.xxhash64("block", "gram"), F.lit(buckets)).alias("unit"))
+    small = met.where("k = 1").select("class", "signature", "block", "gram", F.lit(2).alias("side"), F.pmod(F.xxhash64("block", "gram"), F.lit(buckets)).alias("unit"))
     # A chunk meets itself (side 2), those after it (as side 0) and those before it (as side 1).
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     dealt = met.where("k > 1").select("*", other).withColumn("side", F.when(F.col("o") == F.col("c"), 2).when(F.col("o") > F.col("c"), 0).otherwise(1))
-    large = dealt.select("class", "signature", "block", "part", "gram", "side", F.xxhash64("block", "gram", F.least("c", "o"), F.greatest("c", "o")).bitwiseOR(F.lit(-(2**63))).alias("unit"))
+    large = dealt.select("class", "signature", "block", "gram", "side", F.xxhash64("block", "gram", F.least("c", "o"), F.greatest("c", "o")).bitwiseOR(F.lit(-(2**63))).alias("unit"))
     kind = classes.schema["class"].dataType.simpleString()
     links = small.unionByName(large).groupBy("unit", "block", F.when(F.col("unit") < 0, F.col("gram")).alias("_g")).applyInArrow(lambda rows: _links_in(rows, threshold), f"a {kind}, b {kind}, score int")
     return links.distinct()

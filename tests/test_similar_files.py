@@ -91,3 +91,11 @@ def test_a_hot_gram_is_many_tasks(spark, monkeypatch):
     similar.class_links(classes).count()
     assert seen.value >= 36
     assert similar.class_links(classes.limit(0)).count() == 0
+
+
+def test_rows_of_grams_are_narrow_and_hot_grams_go_to_few_pieces(spark):
+    classes = spark.createDataFrame([("3:abcdefgh:ABCDEFG", 1)], "signature string, class long")
+    rows = similar._parts(classes)
+    assert rows.columns == ["class", "signature", "block", "gram"] and -(-2000 // similar.CHUNK) == 1
+    assert {similar._part(r["signature"], r["block"])[:7].lower() for r in rows.collect()} == {"abcdefg"}
+    assert [similar._part("3:abcdefgh:ABCDEFG", b) for b in (3, 6)] == ["abcdefgh", "ABCDEFG"]
