@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.detect import block_class
+from .scratch import cut
 
 TOKEN = r"[\p{L}\p{N}]+"
 FIELDS = ("name", "path", "body")
@@ -67,16 +68,16 @@ def phrase_hits(index: DataFrame, phrase: str) -> DataFrame:
 def ranked(index: DataFrame, terms: list[str], mode: str = "any", sizes: DataFrame | None = None) -> DataFrame:
     """(id, matched, score) of documents that hold any or all of the terms, each a phrase; BM25.
 
-    Statistics are over the whole index.
+    Statistics are over the whole index, which is read once: what it has of the terms is kept, a row a document and phrase.
     """
     if mode not in ("any", "all"):
         raise ValueError("mode: any or all")
     phrases = [t for t in dict.fromkeys(terms) if tokens_of(t)]
     sizes = lengths(index) if sizes is None else sizes
     whole = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = phrases_hits(index, phrases)
     if not phrases:
         return index.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
+    hits = cut(phrases_hits(index, phrases))
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

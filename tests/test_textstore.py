@@ -164,3 +164,10 @@ def test_compacting_equal_buckets_exchanges_no_posting(spark, store, monkeypatch
     assert len(after.segments) == 1 and after.dead is None
     assert sorted(map(tuple, textstore.postings(spark, store).select("term", "id", "field", "pos", "evidence", "part").collect())) == before
     assert found(textstore.ranked(spark, store, ["fox", "blue"])) == ranks
+
+
+def test_ranking_reads_the_index_once(spark):
+    docs = spark.createDataFrame(ROWS, TYPES).where("id in (1, 2, 6)")
+    sizes = spark.createDataFrame([(1, 9), (2, 9), (6, 9)], "id long, length long")
+    plan = textindex.ranked(textindex.postings(docs), ["red fox", "hen"], sizes=sizes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
