@@ -162,14 +162,15 @@ def parity_mismatch(words: DataFrame, by: list[str]) -> DataFrame:
     return words.groupBy(*by).agg(F.bit_xor("word").alias("parity")).where("parity != 0")
 
 
-def parity_ranges(words: DataFrame, chunk: int, members: int, by: list[str]) -> DataFrame:
+def parity_ranges(words: DataFrame, chunk: int, members: int, by: list[str], tasks: int | None = None) -> DataFrame:
     """(*by, start, end, n): logical ranges of a stripe set whose rows do not cancel out; ``n`` rows in each.
 
     Words are (*by, row, word at the same place of each member, at); a row is wrong if any of its words is.
+    Wrong rows are merged in ``tasks``, if given.
     """
     wrong = parity_mismatch(words, [*by, "row", "at"]).select(*by, "row").distinct()
     span = chunk * (members - 1)
-    return merge(wrong.select(*by, (F.col("row") * span).alias("start"), ((F.col("row") + 1) * span).alias("end")), by)
+    return merge(wrong.select(*by, (F.col("row") * span).alias("start"), ((F.col("row") + 1) * span).alias("end")), by, tasks=tasks)
 
 
 def mirror_ranges(sectors: DataFrame, primary: Column, by: list[str]) -> tuple[DataFrame, DataFrame]:

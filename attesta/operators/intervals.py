@@ -21,17 +21,19 @@ def _islands(spans: DataFrame, by: list[str], touching: bool, kind: str | None)
     return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *more).drop("_island")
 
 
-def merge(spans: DataFrame, by: list[str], touching: bool = True, kind: str | None = None, bin_size: int = BIN) -> DataFrame:
+def merge(spans: DataFrame, by: list[str], touching: bool = True, kind: str | None = None, bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
     """Overlapping (and touching) spans [start, end) of each group as one, with how many went in.
 
     Spans are merged within bins of the axis first, so a group with most of the rows is many tasks'
     work and what meets in its last step are islands.  With ``kind``, a change of that column starts
     a new span as well; neighbours decide then, and groups are merged whole.
+    With ``tasks`` spans are dealt over that many, where adaptive execution decides otherwise.
     """
+    deal = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     held = spans.where("start < end").select(*by, "start", "end", *([kind] if kind else []), F.lit(1).cast("long").alias("n"))
     if kind is None:
-        held = _islands(held.withColumn("_bin", F.floor(F.col("start") / bin_size)), [*by, "_bin"], touching, None).drop("_bin")
-    return _islands(held, by, touching, kind)
+        held = _islands(deal(held.withColumn("_bin", F.floor(F.col("start") / bin_size)), *by, "_bin"), [*by, "_bin"], touching, None).drop("_bin")
+    return _islands(deal(held, *by) if by else held, by, touching, kind)
 
 
 def gaps(spans: DataFrame, sizes: DataFrame, by: list[str], least: int = 1) -> DataFrame:

@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that a task takes in a join or sort, where adaptive execution would give it what 64 MB of shuffled
+#: data come to, which may be many millions.
+TASK_ROWS = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only where that is unset and the master is
@@ -24,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so a lost executor costs a re-read only."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def tasks_for(read: DataFrame) -> int:
+    """Tasks of ``TASK_ROWS`` rows each for a table as it is read, whose files tell how many it has; at least what runs at once."""
+    return max(read.sparkSession.sparkContext.defaultParallelism, -(-read.count() // TASK_ROWS))

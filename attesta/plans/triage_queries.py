@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import artefacts, timeline, triage
+from ..operators.scratch import tasks_for
 from .base import EV, query, table
 from .base import timeline as events_of
 
@@ -119,9 +120,11 @@ def mirror_summary(spark, d):
     SELECT "set", min(row) * 8192 AS start, (max(row) + 1) * 8192 AS "end", count(*) AS n FROM isl GROUP BY "set", g""",
 )
 def parity_ranges(spark, d):
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem")
+    tasks = tasks_for(lines)
+    lines = lines.repartition(tasks, "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     words = lines.select(F.col("o_custkey").alias("set"), F.col("o_orderkey").alias("row"), (F.col("l_linenumber") % 2).alias("at"), (F.col("l_partkey") % 4).alias("word"))
-    return artefacts.parity_ranges(words, 4096, 3, ["set"])
+    return artefacts.parity_ranges(words, 4096, 3, ["set"], tasks)
 
 
 @query("newest_by_log", f"""WITH {EV} SELECT count(*) OVER (PARTITION BY log) AS total, least(50, count(*) OVER (PARTITION BY log)) - row_number() OVER (PARTITION BY log ORDER BY sort DESC, id DESC) + 1 AS rank, log, id, sort, action FROM ev QUALIFY row_number() OVER (PARTITION BY log ORDER BY sort DESC, id DESC) <= 50""")

@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import artefacts, report, search, timeline, triage
+from attesta.operators import artefacts, report, scratch, search, timeline, triage
+from attesta.plans import triage_queries
 from attesta.streaming import buckets
 
 SHAPES = {
@@ -124,3 +125,12 @@ def test_newest_of_a_stream_are_those_of_the_table(spark, tmp_path):
     assert len(want) == 140
     assert drained("newest") == want
     assert drained("newest_idle", time="ts", idle="4000 days") == want
+
+
+def test_parity_ranges_are_dealt_by_rows(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, triage_queries.parity_ranges(spark, data).collect()))
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    got = triage_queries.parity_ranges(spark, data)
+    assert got.rdd.getNumPartitions() >= spark.read.parquet(f"{data}/lineitem.parquet").count() // 100
+    assert sorted(map(tuple, got.collect())) == want
