@@ -108,15 +108,16 @@ def bounded(hits: DataFrame, allocated: DataFrame, empty: DataFrame) -> DataFram
     sector (evidence_id, at) after its header, or at its cap: at the least of them, of equal ones the first of
     ``BOUNDS``.  Spans and sectors count for kinds that stop at them only.  A length below 1 is 0 by method none.
     """
-    next_of_kind = Ordered(hits, ["evidence_id", "name"], ["offset"]).carry(ahead=True, head=("near", F.col("offset"))).rows()
-    none = lambda df, *names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
-    rest = [c for c in next_of_kind.columns if c not in ("evidence_id", "offset")]
-    marked = next_of_kind.select("evidence_id", F.col("offset").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("long").alias("span"), F.lit(None).cast("long").alias("zeros"), *rest)
-    spans = allocated.select("evidence_id", F.col("start").alias("at"), F.lit(0).alias("what"), F.col("start").cast("long").alias("span"), F.lit(None).cast("long").alias("zeros"), *none(next_of_kind, *rest))
-    sectors = empty.select("evidence_id", "at", F.lit(0).alias("what"), F.lit(None).cast("long").alias("span"), F.col("at").cast("long").alias("zeros"), *none(next_of_kind, *rest))
-    # What lies at the very offset of a header is no end of it, so it sorts before.
-    near = Ordered(marked.unionByName(spans).unionByName(sectors), ["evidence_id"], ["at", "what"]).carry(ahead=True, s=("near", F.col("span")), z=("near", F.col("zeros"))).rows()
-    at, found = F.col("at"), near.where("what = 1")
+    none = lambda *names: [F.lit(None).cast(hits.schema[n].dataType).alias(n) for n in names]
+    rest = [c for c in hits.columns if c not in ("evidence_id", "offset")]
+    place = lambda at, what: (F.col("evidence_id"), F.col(at).cast("long").alias("at"), F.lit(what).alias("what"))
+    sectors, spans, headers = -1, 0, 1
+    marked = hits.select(*place("offset", headers), *rest).unionByName(allocated.select(*place("start", spans), *none(*rest))).unionByName(empty.select(*place("at", sectors), *none(*rest)))
+    # What lies at the very offset of a header is no end of it, so it sorts before.  Headers are placed once for all bounds.
+    of = lambda what: ("near", F.when(F.col("what") == what, F.col("at")))
+    near = Ordered(marked, ["evidence_id"], ["at", "what"]).carry(ahead=True, s=of(spans), z=of(sectors))
+    found = near.where(F.col("what") == headers).carry(ahead=True, within=("name",), head=("near", F.col("at"))).rows()
+    at = F.col("at")
     lengths = (F.col("head") - at, F.when(F.col("stop_at_allocated"), F.col("s") - at), F.when(F.col("stop_at_zeros"), F.col("z") - at), F.col("cap"))
     bounds = F.filter(F.array(*(F.struct(n.cast("long").alias("length"), F.lit(rank).alias("rank")) for rank, n in enumerate(lengths))), lambda b: b["length"].isNotNull())
     least = found.withColumn("_l", F.array_min(bounds))

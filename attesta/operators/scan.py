@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
+#: Rows carried up to which they are broadcast.
+FEW = 100_000
+
 
 def _sorted_by(name: str) -> Column:
     return F.desc(name[1:]) if name.startswith("-") else F.asc(name)
@@ -38,23 +41,33 @@ class Ordered:
     def add(self, **columns: Column) -> Ordered:
         return self._with(self.df.withColumns(columns))
 
-    def carry(self, ahead: bool = False, **wanted: tuple[str, Column]) -> Ordered:
+    def where(self, condition: Column | str) -> Ordered:
+        return self._with(self.df.where(condition))
+
+    def carry(self, ahead: bool = False, within: tuple[str, ...] = (), **wanted: tuple[str, Column]) -> Ordered:
         """Adds columns over the rows before each row of its group, or after it with ``ahead``: the ``sum``, ``max`` or
-        ``min`` of a column there, or its value that is ``near``, the closest one that isn't null; null where there is none."""
+        ``min`` of a column there, or its value that is ``near``, the closest one that isn't null; null where there is none.
+
+        With ``within`` only rows count that agree in these columns too, in the order that the rows have already; what is
+        carried is then a row a range and value; it is kept, and broadcast up to ``FEW`` of them."""
         fold = {"sum": F.sum, "max": F.max, "min": F.min, "near": lambda c: F.last(c, ignorenulls=True)}
         join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least, "near": lambda a, b: F.coalesce(b, a)}
         toward = F.desc if ahead else F.asc
         rows = self.df.withColumns({f"_v_{n}": c for n, (_, c) in wanted.items()})
-        here = Window.partitionBy(*self.by, "_range").orderBy(toward("_at")).rowsBetween(Window.unboundedPreceding, -1)
+        by = [*self.by, *within]
+        here = Window.partitionBy(*by, "_range").orderBy(toward("_at")).rowsBetween(Window.unboundedPreceding, -1)
         last = F.min_by if ahead else F.max_by
         total = {"sum": F.sum, "max": F.max, "min": F.min, "near": lambda c: last(c, F.when(c.isNotNull(), F.col("_at")))}
-        totals = rows.groupBy(*self.by, "_range").agg(*(total[k](F.col(f"_v_{n}")).alias(f"_v_{n}") for n, (k, _) in wanted.items()))
-        over = Window.partitionBy(*self.by).orderBy(toward("_range"))
+        totals = rows.groupBy(*by, "_range").agg(*(total[k](F.col(f"_v_{n}")).alias(f"_v_{n}") for n, (k, _) in wanted.items()))
+        over = Window.partitionBy(*by).orderBy(toward("_range"))
         earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(*(F.col(c).alias(f"_k_{i}") for i, c in enumerate(self.by)), F.col("_range").alias("_k_range"), F.row_number().over(over).alias("_n"), *(fold[k](F.col(f"_v_{n}")).over(earlier).alias(f"_c_{n}") for n, (k, _) in wanted.items()))
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{i}")) for i, c in enumerate(self.by)], F.col("_range") == F.col("_k_range"))
+        carried = totals.select(*(F.col(c).alias(f"_k_{i}") for i, c in enumerate(by)), F.col("_range").alias("_k_range"), F.row_number().over(over).alias("_n"), *(fold[k](F.col(f"_v_{n}")).over(earlier).alias(f"_c_{n}") for n, (k, _) in wanted.items()))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_k_range"))
         scanned = rows.withColumns({f"_h_{n}": fold[k](F.col(f"_v_{n}")).over(here) for n, (k, _) in wanted.items()})
-        both = scanned.join(F.broadcast(carried.where("_n > 1")), same, "left")
+        later = carried.where("_n > 1")
+        if within:
+            later = cut(later)
+        both = scanned.join(F.broadcast(later) if not within or later.count() <= FEW else later, same, "left")
         return self._with(both.select(*self.df.columns, *(join[k](F.col(f"_c_{n}"), F.col(f"_h_{n}")).alias(n) for n, (k, _) in wanted.items())))
 
     def rows(self) -> DataFrame:

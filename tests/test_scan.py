@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import carving, casebook, intervals
+from attesta.operators import carving, casebook, intervals, scan
 from attesta.operators.scan import Ordered
 
 
@@ -41,6 +41,27 @@ def test_carry_against_loops(spark, ranges, ahead, groups):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("ahead", [False, True])
+def test_carry_within_against_loops(spark, ranges, monkeypatch, ahead, few):
+    monkeypatch.setattr(scan, "FEW", few)
+    rows = [(g, at, v, random.Random(at).choice([None, "x", "y"])) for g, at, v in table(spark, 300, ["a"] * 9 + [None, "b"])]
+    got = Ordered(spark.createDataFrame(rows, "g string, at long, v long, k string"), ["g"], ["at"]).carry(ahead, within=("k",), s=("sum", F.col("v")), near=("near", F.col("v"))).rows().collect()
+    for g, at, v, k, s, near in got:
+        there = [(a, x) for h, a, x, j in rows if (h, j) == (g, k) and x is not None and (a > at if ahead else a < at)]
+        assert s == (sum(x for _, x in there) if there else None)
+        assert near == ((min(there) if ahead else max(there))[1] if there else None)
+    assert len(got) == len(rows)
+
+
+def test_bounds_place_headers_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(carving, "Ordered", lambda *a: made.append(a) or Ordered(*a))
+    frames = [spark.createDataFrame(rows, t) for rows, t in (([(1, "a", 3, 9, True, True), (1, "b", 4, 9, True, True), (1, "a", 8, 9, True, True)], "evidence_id long, name string, offset long, cap long, stop_at_allocated boolean, stop_at_zeros boolean"), ([(1, 12)], "evidence_id long, start long"), ([(1, 10)], "evidence_id long, at long"))]
+    got = sorted(map(tuple, carving.bounded(*frames).collect()))
+    assert got == [(1, "a", 3, 5, "next_header"), (1, "a", 8, 2, "empty_sector"), (1, "b", 4, 6, "empty_sector")] and len(made) == 1
+
+
 def brute_nested(rows, look_back):
     kept, out, evidence = [], [], object()
     for e, a, n, m in sorted(rows, key=lambda r: (r[0], r[1], -r[2])):
