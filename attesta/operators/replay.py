@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import Ordered
+from .scratch import cut
 
 #: Bytes before the bins of a hive.
 BASE = 4096
@@ -31,10 +32,10 @@ def applied_entries(hives: DataFrame, entries: DataFrame) -> DataFrame:
     return counted.where(F.col("sequence") - F.col("secondary") == F.coalesce("before", F.lit(0))).select("hive", "sequence", "e.*")
 
 
-def _replayed(hives: DataFrame, entries: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the report, the pages that are written with their entry)."""
+def _replayed(hives: DataFrame, entries: DataFrame, pages: DataFrame, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(the report, the pages that are written with their entry); ``keep`` makes of the pages what is read again."""
     run = applied_entries(hives, entries)
-    written = pages.join(run.select("hive", "log", "position", "sequence", "log_size"), ["hive", "log", "position"])
+    written = keep(pages.join(run.select("hive", "log", "position", "sequence", "log_size"), ["hive", "log", "position"]).select("hive", "sequence", "page", "offset", "length", "log_size"))
     by_entry = run.join(hives.select("hive", "size"), "hive").groupBy("hive").agg(
         F.count("*").alias("applied"), F.max("sequence").alias("sequence_after"), F.max(F.col("hbins_size") + BASE).alias("need"),
         F.max((F.col("hbins_size") + BASE > F.col("size") + F.col("log_size")).cast("int")).alias("big_entry"),
@@ -72,16 +73,18 @@ def replayed_ranges(hives: DataFrame, entries: DataFrame, pages: DataFrame, bin_
     bins of the axis only, after equal ranges were reduced to their last writer, so a range that is written again
     and again costs one row.
     """
-    report, written = _replayed(hives, entries, pages)
+    report, written = _replayed(hives, entries, pages, cut)
     wins = F.struct("sequence", "page")
     done = written.where("length > 0").join(report.where("status = 'replayed'").select("hive"), "hive", "left_semi")
-    writes = done.groupBy("hive", (F.col("offset") + BASE).alias("from"), (F.col("offset") + F.col("length") + BASE).alias("to")).agg(F.max(wins).alias("w"))
+    bounds = done.select("hive", (F.col("offset") + BASE).alias("from"), (F.col("offset") + F.col("length") + BASE).alias("to"), "sequence", "page")
+    # Writes are dealt by bin once; all that follows up to the ranges of a bin stays where its writes lie.
     bins = F.explode(F.sequence(F.floor(F.col("from") / bin_size), F.floor((F.col("to") - 1) / bin_size)))
-    dealt = writes.select("hive", "from", "to", "w", bins.alias("bin")).withColumn("a", F.greatest("from", F.col("bin") * bin_size)).withColumn("z", F.least("to", (F.col("bin") + 1) * bin_size))
+    writes = bounds.withColumn("bin", bins).repartition("hive", "bin").groupBy("hive", "bin", "from", "to").agg(F.max(wins).alias("w"))
+    dealt = cut(writes.withColumn("a", F.greatest("from", F.col("bin") * bin_size)).withColumn("z", F.least("to", (F.col("bin") + 1) * bin_size)))
     edges = dealt.select("hive", "bin", F.explode(F.array("a", "z")).alias("start")).distinct()
     pieces = edges.withColumn("end", F.lead("start").over(Window.partitionBy("hive", "bin").orderBy("start"))).where("end is not null")
     met = pieces.join(dealt, ["hive", "bin"]).where("a <= start and z >= end")
-    last = met.groupBy("hive", "start", "end").agg(F.max(F.struct("w", "from")).alias("l")).select("hive", "start", "end", "l.w.sequence", "l.w.page", "l.from")
+    last = met.groupBy("hive", "bin", "start", "end").agg(F.max(F.struct("w", "from")).alias("l")).select("hive", "start", "end", "l.w.sequence", "l.w.page", "l.from")
     before = Ordered(last, ["hive"], ["start"]).carry(b=("near", F.struct("end", "sequence", "page", "from")))
     same = (F.col("b.end") == F.col("start")) & (F.col("b.sequence") == F.col("sequence")) & (F.col("b.page") == F.col("page")) & (F.col("b.from") == F.col("from"))
     begun = before.add(new=(~F.coalesce(same, F.lit(False))).cast("long")).carry(runs=("sum", F.col("new"))).rows()

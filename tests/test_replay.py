@@ -166,3 +166,15 @@ def test_related_pairs_are_counted_where_they_meet(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
     assert got.rdd.getNumPartitions() > 8
     assert "hashpartitioning(member" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_read_and_deal_pages_once(spark, monkeypatch):
+    """Pages are joined with their entries once, and the writes of a bin are dealt once."""
+    kept = []
+    monkeypatch.setattr(replay, "cut", lambda df: kept.append(df) or df.checkpoint())
+    hives = spark.createDataFrame([(1, 2, 1, 100000)], "hive long, primary long, secondary long, size long")
+    entries = spark.createDataFrame([(1, 0, 1, 1000, 1, 4096), (1, 0, 2, 1000, 2, 4096)], "hive long, log long, position long, log_size long, sequence long, hbins_size long")
+    pages = spark.createDataFrame([(1, 0, 1, 1, 0, 512), (1, 0, 1, 2, 512, 512), (1, 0, 2, 1, 256, 512), (1, 0, 2, 2, 0, 0)], "hive long, log long, position long, page long, offset long, length long")
+    got = replay.replayed_ranges(hives, entries, pages, bin_size=256)
+    assert sorted(map(tuple, got.collect())) == [(1, 4096, 4352, 1, 1, 0), (1, 4352, 4864, 2, 1, 0), (1, 4864, 5120, 1, 2, 256)]
+    assert len(kept) == 2 and {"length", "log_size"} <= set(kept[0].columns) and {"bin", "a", "z"} <= set(kept[1].columns)
