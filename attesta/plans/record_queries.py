@@ -98,10 +98,15 @@ def _stored_files(spark, d):
     return contents(spark, d).drop("name", "path").withColumns({"evidence": F.col("part"), "part": F.lit("")}).withColumn("kind", F.when(F.col("id") % 3 == 0, "raw").when(F.col("id") % 3 == 1, "usn"))
 
 
-def _stored(spark, d, asked, *changes):
-    """What ``asked`` finds in an index of ``documents`` built for this call, after ``changes`` to it; the index goes again."""
+def _sized(files):
+    """``files`` with the size of the text they hold: ranks go by texts, whatever ``n_chars`` says of an earlier or missing one."""
+    return files.withColumn("size", F.length("body"))
+
+
+def _stored(spark, files, asked, *changes):
+    """What ``asked`` finds in an index of ``files`` built for this call, after ``changes`` to it; the index goes again."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    textstore.build(_stored_files(spark, d), path)
+    textstore.build(files, path)
     for change in changes:
         change(path)
     found = cut(asked(path))
@@ -110,13 +115,14 @@ def _stored(spark, d, asked, *changes):
     return found
 
 
-def _stored_ranks(spark):
-    return lambda path: textstore.ranked(spark, path, ["license", "of the"]).withColumn("score", F.round("score", 6))
+def _stored_ranks(spark, d, *changes):
+    asked = lambda path: textstore.ranked(spark, path, ["license", "of the"]).withColumn("score", F.round("score", 6))
+    return _stored(spark, _sized(_stored_files(spark, d)), asked, *changes)
 
 
 @query("stored_index_query", _bm25(""))
 def stored_index_query(spark, d):
-    return _stored(spark, d, _stored_ranks(spark))
+    return _stored_ranks(spark, d)
 
 
 def _bm25_of(documents: str) -> str:
@@ -127,15 +133,15 @@ def _bm25_of(documents: str) -> str:
 @query("stored_index_after_replace_and_clear", _bm25_of("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN source || ' license of the' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'de'"))
 def stored_index_after_replace_and_clear(spark, d):
     """English texts are replaced by short ones, German ones cleared."""
-    short = contents(spark, d).where("part = 'en'").select("id", F.concat("evidence", F.lit(" license of the")).alias("body"), F.col("part").alias("evidence"), F.lit("").alias("part"), "size")
-    return _stored(spark, d, _stored_ranks(spark), lambda path: textstore.build(short, path), lambda path: textstore.clear(spark, path, "de"))
+    short = contents(spark, d).where("part = 'en'").select("id", F.concat("evidence", F.lit(" license of the")).alias("body"), F.col("part").alias("evidence"), F.lit("").alias("part"))
+    return _stored_ranks(spark, d, lambda path: textstore.build(_sized(short), path), lambda path: textstore.clear(spark, path, "de"))
 
 
 @query("stored_index_after_add_and_compact", _bm25_of("SELECT doc_id, lang, CASE WHEN source = 'src1' THEN 'the license of the web' ELSE text END AS text FROM documents"))
 def stored_index_after_add_and_compact(spark, d):
     """Documents of one source are added again with other texts, then segments are merged."""
-    again = contents(spark, d).where("evidence = 'src1'").select("id", F.lit("the license of the web").alias("body"), F.col("part").alias("evidence"), F.lit("").alias("part"), "size")
-    return _stored(spark, d, _stored_ranks(spark), lambda path: textstore.add(again, path), lambda path: textstore.compact(spark, path))
+    again = contents(spark, d).where("evidence = 'src1'").select("id", F.lit("the license of the web").alias("body"), F.col("part").alias("evidence"), F.lit("").alias("part"))
+    return _stored_ranks(spark, d, lambda path: textstore.add(_sized(again), path), lambda path: textstore.compact(spark, path))
 
 
 _STATUS = """d AS (SELECT doc_id, lang, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN text IS NULL THEN 'unreadable' WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'no_text' ELSE 'indexed' END AS status FROM documents)"""
@@ -145,12 +151,12 @@ _STATUS = """d AS (SELECT doc_id, lang, CASE WHEN coalesce(n_chars, 0) = 0 THEN
 count(*) FILTER (WHERE status = 'empty') AS empty, count(*) FILTER (WHERE status = 'unreadable') AS unreadable, count(*) FILTER (WHERE status = 'no_text') AS no_text,
 CASE WHEN count(*) FILTER (WHERE status <> 'empty') = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE status = 'indexed')::DOUBLE / count(*) FILTER (WHERE status <> 'empty'), 4) END AS coverage FROM d GROUP BY ALL""")
 def stored_index_report(spark, d):
-    return _stored(spark, d, lambda path: textstore.build_report(textstore.documents(spark, path), ["evidence", "part"]))
+    return _stored(spark, _stored_files(spark, d), lambda path: textstore.build_report(textstore.documents(spark, path), ["evidence", "part"]))
 
 
 @query("stored_index_status", f"""WITH {_STATUS} SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 2) AS file_documents, count(*) FILTER (WHERE doc_id % 3 = 1) AS usn_documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS raw_documents, count(*) FILTER (WHERE doc_id % 3 = 0) > 0 AS complete FROM d WHERE status = 'indexed'""")
 def stored_index_status(spark, d):
-    return _stored(spark, d, lambda path: textstore.status(textstore.documents(spark, path)))
+    return _stored(spark, _stored_files(spark, d), lambda path: textstore.status(textstore.documents(spark, path)))
 
 
 @query("index_query_snippets")

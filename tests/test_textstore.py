@@ -171,3 +171,19 @@ def test_ranking_reads_the_index_once(spark):
     sizes = spark.createDataFrame([(1, 9), (2, 9), (6, 9)], "id long, length long")
     plan = textindex.ranked(textindex.postings(docs), ["red fox", "hen"], sizes=sizes)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+@pytest.mark.parametrize("name", ["stored_index_query", "stored_index_after_replace_and_clear", "stored_index_after_add_and_compact"])
+def test_ranks_go_by_the_texts_that_are_there(spark, tmp_path, name):
+    import duckdb
+
+    from attesta import registry
+
+    texts = ["the license", "", None, "of the license", "", "rest of the text", None, "license", "of the same"]
+    rows = [(i, t, ("en", "de", "fr", None)[i * 3 % 4], ("src1", "src2", None)[i // 3 % 3], (0, None, len(t or ""))[i % 3]) for i, t in enumerate(texts * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {i: (m, s) for i, m, s in con.execute(f"SELECT id, matched, score FROM ({registry.oracle_sql()[name]})").fetchall()}
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert want and len(got) == len(want) and {r["id"]: (r["matched"], r["score"]) for r in got} == want
