@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.functions import fuzzy
 from attesta.operators import similar
@@ -99,3 +100,68 @@ def test_rows_of_grams_are_narrow_and_hot_grams_go_to_few_pieces(spark):
     assert rows.columns == ["class", "signature", "block", "gram"] and -(-2000 // similar.CHUNK) == 1
     assert {similar._part(r["signature"], r["block"])[:7].lower() for r in rows.collect()} == {"abcdefg"}
     assert [similar._part("3:abcdefgh:ABCDEFG", b) for b in (3, 6)] == ["abcdefgh", "ABCDEFG"]
+
+
+def plain_hash(data):
+    """A signature byte by byte."""
+    rolled, window, mixed = [], [0] * 7, 0
+    for b in data:
+        window = [*window[1:], b]
+        mixed = (mixed << 5 ^ b) & 0xFFFFFFFF
+        rolled.append((sum(window) + sum(i * x for i, x in enumerate(window, 1)) + mixed) & 0xFFFFFFFF)
+
+    def pieces(block, length):
+        out, h = "", 0x27
+        for b, r in zip(data, rolled, strict=True):
+            h = (h * 0x01000193 ^ b) & 63
+            if r % block == block - 1 and len(out) < length - 1:
+                out, h = out + LETTERS[h], 0x27
+        return out + LETTERS[h]
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(pieces(block, 64)) < 32:
+        block //= 2
+    return f"{block}:{pieces(block, 64)}:{pieces(block * 2, 32)}"
+
+
+def test_hashes_of_many_against_bytes():
+    rng = random.Random(4)
+    some = [bytes(rng.choices(range(m), k=n)) for m in (2, 30, 256) for n in (1, 6, 7, 8, 64, 192, 193, 900, 7000, *range(20, 60))]
+    some += [b"\xff" * 3000, b"ab" * 700, *(x[:at] for x in some[:40] for at in range(max(1, len(x) - 9), len(x)))]
+    assert fuzzy.fuzzy_hashes([None, b"", *some, None], 5000) == [None, None, *map(plain_hash, some), None]
+    assert [fuzzy.fuzzy_hash(x) for x in some[:60]] == [plain_hash(x) for x in some[:60]] and fuzzy.fuzzy_hash(b"") == "3::"
+    assert fuzzy.fuzzy_hashes(["é".encode() * 9]) == [plain_hash("é".encode() * 9)]
+
+
+def test_contents_are_hashed_once(spark):
+    hashed = spark.range(5).select(fuzzy.fuzzy(F.col("id").cast("string").cast("binary")).alias("fuzzy"), F.col("id").alias("node"))
+    assert similar._signed(hashed)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def families(seed, n, odd):
+    """Signatures of the same few runs with parts changed; with ``odd`` some are long or have other characters."""
+    rng = random.Random(seed)
+    bases = ["".join(rng.choice(LETTERS) for _ in range(64)) for _ in range(3)]
+
+    def near(base, changes):
+        s = list(base)
+        for _ in range(changes):
+            s[rng.randrange(len(s))] = rng.choice("é😀~ab" if odd and rng.random() < 0.3 else LETTERS)
+        return "".join(s) + (base if odd and rng.random() < 0.2 else "")
+
+    return [f"{rng.choice([48, 96])}:{near(rng.choice(bases), rng.randrange(22))}:{near(rng.choice(bases)[:32], rng.randrange(12))}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_links_are_scored_in_arrays(spark, odd, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 20)
+    monkeypatch.setattr(similar, "TOGETHER", 100)
+    files = [(f"n{i}", s) for i, s in enumerate(families(8, 130, odd))]
+    want = {i: [v for j, t in files if j != i and (v := fuzzy.compare(s, t)) >= 60] for i, s in files}
+    if not odd:
+        monkeypatch.setattr(similar, "compare", lambda a, b: 1 / 0)
+    got = similar.summary(spark.createDataFrame(files, "node string, fuzzy string").withColumn("sha256", F.lit(None).cast("string")))
+    assert {r["node"]: (r["n_links"], r["best"]) for r in got.collect()} == {i: (len(v), max(v, default=None)) for i, v in want.items()}
+    assert sum(map(len, want.values())) > 500
