@@ -43,14 +43,18 @@ def _signed(hashes: DataFrame) -> DataFrame:
     return hashes.withColumn("signature", F.concat(block.cast("string"), F.lit(":"), parts[0], F.lit(":"), parts[1])).where("signature is not null")
 
 
-def _parts(classes: DataFrame, *more: str) -> DataFrame:
-    """(class, signature, block, gram, and the columns ``more``): a row for each distinct gram of both parts of a class; the block tells the part."""
+def _parts(classes: DataFrame, *more: str, before: bool = False) -> DataFrame:
+    """(class, signature, block, gram, and the columns ``more``): a row for each distinct gram of both parts of a class; the
+    block tells the part.  ``before`` adds the number of the character before the gram, where it stands first, and -1 at the start."""
     s = F.split("signature", ":", 3)
     block = s[0].cast("long")
     each = F.explode(F.array(F.struct(block.alias("block"), s[1].alias("part")), F.struct((block * 2).alias("block"), s[2].alias("part"))))
     parts = classes.select("class", "signature", *more, each.alias("r")).select("class", "signature", *more, "r.*").where(F.length("part") >= WINDOW)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - (WINDOW - 1)), lambda i: F.substring("part", i, F.lit(WINDOW))))
-    return parts.select("class", "signature", *more, "block", F.explode(grams).alias("gram"))
+    rows = parts.select("class", "signature", *more, "block", "part", F.explode(grams).alias("gram"))
+    place = F.expr("locate(gram, part)")
+    added = [F.when(place > 1, F.ascii(F.substring("part", place - 1, F.lit(1)))).otherwise(-1).alias("before")] if before else []
+    return rows.select("class", "signature", *more, "block", "gram", *added)
 
 
 def _part(signature: str, block: int) -> str:
@@ -229,10 +233,12 @@ def _near_in(rows: pa.Table, threshold: int) -> pa.Table:
 
 
 def _dealt(classes: DataFrame, *more: str):
-    """The rows of ``_parts`` that share their gram, with ``side``, grouped into pieces of work."""
+    """The rows of ``_parts`` at whose gram pairs may count, with ``side``, grouped into pieces of work."""
     keyed = _parts(classes, *more).withColumn("key", F.xxhash64("block", "gram"))
-    # Grams of one key would be counted together, and that only makes more chunks or rows that meet nothing.
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # Where all have the same character before a gram, each pair has a common gram that comes before this one: no pair counts
+    # here.  Grams of one key would be taken together, and that only makes more chunks or rows that meet nothing.
+    told = _parts(classes, before=True).groupBy(F.xxhash64("block", "gram").alias("key")).agg(F.count("*").alias("n"), F.min("before").alias("least"), F.max("before").alias("most"))
+    shared = cut(told.where("n > 1 and (least < 0 or least < most)").select("key", "n"))
     totals, grams = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shared = F.broadcast(shared) if grams <= FEW else shared
     buckets = max(8, -(-totals // 20_000))

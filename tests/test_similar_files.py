@@ -165,3 +165,11 @@ def test_links_are_scored_in_arrays(spark, odd, monkeypatch):
     got = similar.summary(spark.createDataFrame(files, "node string, fuzzy string").withColumn("sha256", F.lit(None).cast("string")))
     assert {r["node"]: (r["n_links"], r["best"]) for r in got.collect()} == {i: (len(v), max(v, default=None)) for i, v in want.items()}
     assert sum(map(len, want.values())) > 500
+
+
+def test_grams_within_a_common_run_are_not_exchanged(spark):
+    rng = random.Random(2)
+    run = "".join(rng.choice(LETTERS) for _ in range(40))
+    classes = spark.createDataFrame([(i, f"96:{x}{run}{x * 2}:") for i, x in enumerate("abcd")], "class long, signature string")
+    assert similar._dealt(classes)._df.count() == 4
+    assert {(r["a"], r["b"]) for r in similar.class_links(classes).collect()} == {(i, j) for i in range(4) for j in range(i + 1, 4)}
